@@ -9,6 +9,8 @@ _REGISTERED = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
     "op3_warc": ("warc", "OP3_SQL"),
     "op6_best_fit_packing": ("packing", None),
+    "op7_sentencepiece": ("tokenizer", None),
+    "op8_language_id": ("langid", None),
 }
 
 
