@@ -8,6 +8,7 @@ from importlib import import_module
 _REGISTERED = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
     "op3_warc": ("warc", "OP3_SQL"),
+    "op4_spotsigs": ("spotsigs", None),
     "op6_best_fit_packing": ("packing", None),
     "op7_sentencepiece": ("tokenizer", None),
     "op8_language_id": ("langid", None),
