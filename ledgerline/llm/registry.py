@@ -9,9 +9,11 @@ _REGISTERED = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
     "op3_warc": ("warc", "OP3_SQL"),
     "op4_spotsigs": ("spotsigs", None),
+    "op5_quality_classifier": ("quality", None),
     "op6_best_fit_packing": ("packing", None),
     "op7_sentencepiece": ("tokenizer", None),
     "op8_language_id": ("langid", None),
+    "op10_html_extraction": ("html_extract", None),
 }
 
 
