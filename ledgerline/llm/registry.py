@@ -13,6 +13,7 @@ _REGISTERED = {
     "op6_best_fit_packing": ("packing", None),
     "op7_sentencepiece": ("tokenizer", None),
     "op8_language_id": ("langid", None),
+    "op9_embedding_near_dedup": ("lattice_dedup", None),
     "op10_html_extraction": ("html_extract", None),
 }
 
