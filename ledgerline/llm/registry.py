@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> (module, function, name of the module's SQL or None)
 _REGISTERED = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
+    "op2_ngram_jaccard_join": ("ngram_join", None),
     "op3_warc": ("warc", "OP3_SQL"),
     "op4_spotsigs": ("spotsigs", None),
     "op5_quality_classifier": ("quality", None),
