@@ -44,12 +44,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text, then by the other columns.
     """
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = named.join(repeated, "doc_id", "left_anti")
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
+    single = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = named.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    first = repeated.withColumn("_row", F.row_number().over(order)).where("_row = 1")
     return single.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
