@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import regime, relational
+
+_MODULES = [relational, regime]
+FLAGSHIP = "hamilton_filter"
 
 
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL."""
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items() if sql}
