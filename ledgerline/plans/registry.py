@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import regime, relational
+from . import news, regime, relational
 
-_MODULES = [relational, regime]
+_MODULES = [relational, regime, news]
 FLAGSHIP = "hamilton_filter"
 
 
