@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import news, regime, relational
+from . import estimation, news, regime, relational
 
-_MODULES = [relational, regime, news]
+_MODULES = [relational, regime, news, estimation]
 FLAGSHIP = "hamilton_filter"
 
 
