@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import estimation, news, regime, relational
+from . import estimation, news, regime, relational, streams
 
-_MODULES = [relational, regime, news, estimation]
+_MODULES = [relational, regime, news, estimation, streams]
 FLAGSHIP = "hamilton_filter"
 
 
