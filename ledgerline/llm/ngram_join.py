@@ -38,6 +38,7 @@ LONG = 32
 HOT_TOKENS = 1 << 17
 FILTER_BITS = 1 << 26
 BLOCK = 256
+SHARE = 6
 BUCKET_POSTINGS = 400_000
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -140,10 +141,15 @@ def least_share(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def needed(n):
+    """k: how many filing keys a set of n shingles must share with a linked one that is not smaller."""
+    return np.maximum(1, -(-n * SHARE // 100))
+
+
 def filing_keys(hashes: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the shingles a set is filed under: the first in the order (long lists last, then by hash)."""
     n = len(hashes)
-    keep = n - int(least_share(np.int64(n), percent)) + 1
+    keep = n - int(least_share(np.int64(n), percent)) + int(needed(np.int64(n)))
     keys = hashes >> np.uint64(16)
     if len(hot):
         is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
@@ -213,7 +219,7 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 
 
 def _bucket_links(batches, percent: int):
-    """Candidates of each bucket of postings: (a, b, dense)."""
+    """Candidates of each bucket of postings: (a, b, dense, keys shared here, keys needed in all)."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "rep", "n")), strict=True):
@@ -229,7 +235,8 @@ def _bucket_links(batches, percent: int):
         length = np.diff(np.append(start, len(keys)))
         run = np.repeat(np.arange(len(start)), length)
         size = length[run]
-        a, b = [], []
+        a, b, least = [], [], []
+        need = needed(n)
         live = np.flatnonzero((size > 1) & (size <= LONG))
         for k in range(1, LONG):  # sets in a list are by length: once too long, all later ones are
             live = live[(live + k < len(keys))]
@@ -239,10 +246,10 @@ def _bucket_links(batches, percent: int):
                 break
             a.append(np.minimum(rep[live], rep[live + k]))
             b.append(np.maximum(rep[live], rep[live + k]))
+            least.append(need[live])
         out = []
         if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            out.append((pairs, False))
+            out.append((*_counted(np.concatenate(a), np.concatenate(b), np.concatenate(least)), False))
         # in a long list, sets whose lengths follow each other closely enough form a chain
         chain = np.flatnonzero((size > LONG) & np.append(run[1:] == run[:-1], False))
         if len(chain):
@@ -250,11 +257,19 @@ def _bucket_links(batches, percent: int):
             head = np.ones(len(keys), bool)
             head[chain + 1] = False
             head = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
-            stars = np.stack([rep[head[chain + 1]], rep[chain + 1]], 1)
-            out.append((np.unique(np.sort(stars, 1), axis=0), True))
-        for pairs, dense in out:
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), dense))], names=["a", "b", "dense"])
+            x, y = rep[head[chain + 1]], rep[chain + 1]
+            out.append((*_counted(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)), True))
+        for x, y, shared, least, dense in out:
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), dense)), pa.array(shared), pa.array(least)], names=["a", "b", "dense", "shared", "need"])
+
+
+def _counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs with their numbers of occurrences and their (common) need; a pair of one node goes."""
+    order = np.lexsort((b, a))
+    order = order[a[order] != b[order]]
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.diff(np.append(first, len(a))), need[first]
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
@@ -369,10 +384,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
                 lambda x: _pack(keys[x]), lambda x: reps[row[x]].astype("<i8").tobytes(), lambda x: n[row[x]].astype("<i4").tobytes())]], names=["bucket", "keys", "rep", "n"])
 
     posted = classes.select("c.*").mapInArrow(post, "bucket int, keys binary, rep binary, n binary")
-    found = (posted.repartition("bucket").mapInArrow(lambda b: _bucket_links(b, percent), "a bigint, b bigint, dense boolean").distinct())
+    found = (posted.repartition("bucket").mapInArrow(lambda b: _bucket_links(b, percent), "a bigint, b bigint, dense boolean, shared bigint, need bigint")
+             .groupBy("a", "b", "dense").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("dense or shared >= need"))
     found = materialise(found, "candidates")
     clusters = connected_components(found.where("dense").select("a", "b"))
     clusters = materialise(clusters, "clusters")
+    # what shares a long list and may link is in one cluster, so the other pairs' counts are complete
     ca, cb = clusters.select(F.col("node").alias("a"), F.col("component").alias("ca")), clusters.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = found.where("not dense").select("a", "b").join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(clusters.select(F.col("node").alias("id"))).distinct()
