@@ -191,3 +191,114 @@ def simulate_hawkes(mu: float, alpha: float, beta: float, horizon: float, seed:
             times.append(t)
             out.append(m)
             state += m
+
+
+def grid_fit(series: DataFrame, values: list[str], objective, starts, names: list[str], n_starts: int, rounds: int = 60, key: str = "key", order: str = "t") -> DataFrame:
+    """Best of seeded starts of any batch objective: (key, n, start, loglik, one column per parameter).
+
+    ``objective(points, *arrays)`` gives negative log likelihoods of a batch of unconstrained points, and
+    ``starts(rng, *arrays)`` a start; the arrays are the ``values`` columns of a key in order. Parameters come
+    back unconstrained, as the objective takes them.
+    """
+    packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[v for v in values if v != order]))).alias("x")).select(F.col(key).cast("string").alias("key"), *[F.col(f"x.{v}").alias(v) for v in values])
+    jobs = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_starts - 1)))).repartition("key", "start")
+    spec = ", ".join(["key string", "n int", "start int", "loglik double", *[f"{n} double" for n in names]])
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for _, row in frame.iterrows():
+                arrays = [np.asarray(row[v], float) for v in values]
+                x, value, _ = minimise(lambda p, a=arrays: objective(p, *a), starts(np.random.default_rng((17, int(row["start"]))), *arrays), rounds)
+                rows.append((row["key"], len(arrays[0]), int(row["start"]), -value, *map(float, x)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in spec.split(", ")])
+
+    fits = jobs.mapInPandas(run, spec)
+    return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
+
+
+def power_law_negative_loglik(points: np.ndarray, t: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Batch of log (mu, alpha, c, p - 1): intensity mu + alpha sum s / (t - t_j + c) ** p up to the last event.
+
+    Quadratic in the events, computed in blocks of rows.
+    """
+    mu, alpha, c, p1 = np.exp(np.clip(np.atleast_2d(points), -30, 30)).T
+    horizon, out = t[-1], np.zeros(len(mu))
+    for at in range(0, len(t), 256):
+        gap = t[at : at + 256, None] - t[None, :]
+        earlier = np.arange(len(t))[None, :] < np.arange(at, min(at + 256, len(t)))[:, None]
+        for k in range(len(mu)):
+            kernel = np.where(earlier, s[None, :] * (np.maximum(gap, 0) + c[k]) ** -(p1[k] + 1), 0.0).sum(1)
+            out[k] -= np.log(np.maximum(mu[k] + alpha[k] * kernel, 1e-300)).sum()
+    tail = horizon - t
+    out += mu * horizon + alpha / p1 * (s[:, None] * (c**-p1 - (tail[:, None] + c) ** -p1)).sum(0)
+    return np.where(np.isfinite(out), out, INFEASIBLE)
+
+
+def garchx_negative_loglik(points: np.ndarray, r: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Batch of (mu, log omega, logit persistence, logit alpha's share, log theta) of a GARCH with a lagged driver."""
+    points = np.atleast_2d(points)
+    mu, omega, theta = points[:, 0], np.exp(np.clip(points[:, 1], -30, 30)), np.exp(np.clip(points[:, 4], -30, 30))
+    p, share = (1 / (1 + np.exp(-np.clip(points[:, k], -30, 30))) for k in (2, 3))
+    alpha, beta = p * share, p * (1 - share)
+    s2 = (omega + theta * x.mean()) / np.maximum(1 - p, 1e-6)
+    out = np.zeros(len(points))
+    for t in range(len(r)):
+        if t:
+            s2 = np.maximum(omega + alpha * (r[t - 1] - mu) ** 2 + beta * s2 + theta * x[t], 1e-12)
+        out += 0.5 * (kernels.LOG_2PI + np.log(s2) + (r[t] - mu) ** 2 / s2)
+    return np.where(np.isfinite(out), out, INFEASIBLE)
+
+
+def bootstrap_lr(series: DataFrame, replicas: int = 19, starts: int = 2, rounds: int = 20, seed: int = 5, key: str = "asset", order: str = "fecha", r: str = "r") -> DataFrame:
+    """(series, lr, p): likelihood ratio of two regimes against one, by parametric bootstrap; a task per replica.
+
+    Replica 0 is the data. The others are simulated from the fitted single regime. p = (1 + #{LR_b >= LR}) / (B + 1),
+    ratios cut off below at 0; data and replicas have equally many starts.
+    """
+    one = best_fit(fit_starts(series, 1, starts, seed, rounds, key, order, r)).select("series", F.col("theta").alias("theta1"))
+    packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(r)))).alias("x")).select(F.col(key).cast("string").alias("series"), F.col(f"x.{r}").alias("r"))
+    jobs = packed.join(one, "series").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicas)))).repartition(replicas + 1, "series", "b")
+
+    def ratio(x: np.ndarray, base: int) -> float:
+        best = [min(minimise(lambda t, k=k: negative_loglik(t, x, k), random_start(x, k, base + i), rounds)[1] for i in range(starts)) for k in (1, 2)]
+        return max(0.0, 2 * (best[0] - best[1]))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for s, x, theta, b in zip(frame["series"], frame["r"], frame["theta1"], frame["b"], strict=True):
+                x = np.asarray(x, float)
+                if b:
+                    n = {k: tuple(v[0]) if v.ndim == 2 else v[0] for k, v in unpack(np.asarray(theta), 1).items()}
+                    model = kernels.Params(mu=n["mu"], v=n["v"], alpha=n["alpha"], gamma=n["gamma"], beta=n["beta"], P=((1.0,),), omega=n["omega"])
+                    x, _ = simulate(model, len(x), seed * 1_000_003 + int(b))
+                rows.append((s, int(b), ratio(x, seed * 7_919 + 100 * int(b))))
+            yield pd.DataFrame(rows, columns=["series", "b", "lr"])
+
+    each = jobs.mapInPandas(run, "series string, b int, lr double")
+    own = each.where("b = 0").select("series", F.col("lr").alias("own"))
+    return each.where("b > 0").join(own, "series").groupBy("series").agg(F.first("own").alias("lr"), ((1 + F.count(F.when(F.col("lr") >= F.col("own"), 1))) / (F.count("*") + 1)).alias("p"), F.count("*").alias("replicas"))
+
+
+def profile_branching(events: DataFrame, horizon: float, fits: DataFrame, grid: list[float], key: str = "key") -> DataFrame:
+    """(key, n, loglik): profile likelihood of the branching ratio around a fit, a task per grid point."""
+    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("e")).select(F.col(key).cast("string").alias("key"), F.col("e.t").alias("t"), F.col("e.s").alias("s"))
+    jobs = packed.join(fits.select("key", "mu", "beta"), "key").withColumn("n", F.explode(F.lit(grid))).repartition("key", "n")
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for k, t, s, mu, beta, n in zip(*(frame[c] for c in ("key", "t", "s", "mu", "beta", "n")), strict=True):
+                t, s = np.asarray(t, float), np.asarray(s, float)
+
+                def free(points, t=t, s=s, n=n):
+                    points = np.atleast_2d(points)
+                    full = np.stack([points[:, 0], np.log(n / s.mean()) + points[:, 1], points[:, 1]], 1)
+                    return hawkes_negative_loglik(full, t, s, horizon)
+
+                _, value, _ = minimise(free, np.log([mu, beta]), 30)
+                rows.append((k, float(n), -value))
+            yield pd.DataFrame(rows, columns=["key", "n", "loglik"])
+
+    return jobs.mapInPandas(run, "key string, n double, loglik double")

@@ -76,6 +76,56 @@ def optimal_block_length(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.sharpe_ci(_returns(spark, d, by_asset=True), replicas=10).select("key", "n", "block")
 
 
+@query
+def powerlaw_mle(spark: SparkSession, d: str) -> DataFrame:
+    """Power-law kernel fitted to the events of each user with at least 30: log (mu, alpha, c, p - 1)."""
+    import numpy as np
+
+    e = src.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (src.micros("ts") / 86_400_000_000).alias("t"), (F.col("value") / 1000).alias("s"))
+    begin = lambda g, t, s: np.log([len(t) / t[-1] * 0.7, 1.0, 0.1 * np.exp(g.normal()), 0.5])
+    counted = e.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size >= 30")
+    return estimate.grid_fit(counted, ["t", "s"], estimate.power_law_negative_loglik, begin, ["log_mu", "log_alpha", "log_c", "log_p1"], 1, rounds=10)
+
+
+@query
+def garchx_fit(spark: SparkSession, d: str) -> DataFrame:
+    """GARCH with yesterday's absolute return as driver, fitted to each asset."""
+    import numpy as np
+
+    r = _returns(spark, d, by_asset=True).withColumn("x", F.abs(F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0))))
+    begin = lambda g, r, x: np.array([r.mean(), np.log(r.var() * 0.1), 2.0 + g.normal() * 0.3, -2.0, -1.0])
+    return estimate.grid_fit(r, ["r", "x"], estimate.garchx_negative_loglik, begin, ["mu", "log_omega", "logit_persistence", "logit_share", "log_theta"], 2, rounds=25, key="asset", order="fecha")
+
+
+@query
+def bootstrap_lr(spark: SparkSession, d: str) -> DataFrame:
+    """Two regimes against one on all daily returns, by parametric bootstrap."""
+    return estimate.bootstrap_lr(_returns(spark, d), replicas=7, starts=1, rounds=8)
+
+
+@query
+def branching_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile likelihood of each event type's branching ratio."""
+    e = src.point_process(spark, d)
+    return estimate.profile_branching(e, 31.0, estimate.hawkes_fit(e, 31.0, starts=1, rounds=25), [0.05, 0.2, 0.5, 0.8])
+
+
+@query
+def ablation_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Constant, covariate-driven and reversed-covariate transitions compared by out-of-sample score: neighbours of the ladder by Diebold-Mariano."""
+    from functools import reduce
+
+    from ..functions.kernels import Params
+    from .regime import FIXED, MOVING, _history
+
+    flipped = Params(**{**MOVING.__dict__, "B": tuple((-b[0],) for b in MOVING.B)})
+    specs = [("M0", FIXED), ("M1", MOVING), ("M2", flipped)]
+    losses = [_history(spark, d, params=p).select("asset", "fecha", (-F.col("loglik")).alias(n)) for n, p in specs]
+    wide = reduce(lambda a, b: a.join(b, ["asset", "fecha"]), losses)
+    rungs = [cal.diebold_mariano(wide, a, b).withColumns({"first": F.lit(a), "second": F.lit(b)}) for a, b in (("M1", "M0"), ("M2", "M1"))]
+    return rungs[0].unionByName(rungs[1])
+
+
 @query
 def expanding_window_check(spark: SparkSession, d: str) -> DataFrame:
     """Expanding z scores of truncated calendars against the whole one's, at five cut-offs: no difference."""

@@ -386,3 +386,26 @@ select cast(fecha as varchar) as fecha from s where fecha not in (select fecha f
 def recent_missing_days(spark: SparkSession, d: str) -> DataFrame:
     days = src.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").cast("date").alias("fecha"))
     return coverage.missing_days(days, "fecha").orderBy(F.desc("fecha")).limit(10).select(F.col("fecha").cast("string").alias("fecha"))
+
+
+#: The covariates' declared lags; observations enter unlagged.
+FEATURES = [("sma_gap", "covariate", 1), ("bb_width", "covariate", 1), ("bb_width_z", "covariate", 1), ("surprise", "covariate", 1), ("lambda_z", "covariate", 1), ("r", "observation", 0)]
+
+
+@query("select name, role, shift, case when role = 'covariate' then shift >= 1 else shift = 0 end as passed from (values " + ", ".join(f"('{n}', '{r}', {k})" for n, r, k in FEATURES) + ") as f(name, role, shift)")
+def lag_ledger(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(FEATURES, "name string, role string, shift int")
+    return rows.withColumn("passed", F.when(F.col("role") == "covariate", F.col("shift") >= 1).otherwise(F.col("shift") == 0))
+
+
+@query(f"""with {VINTAGES}, f as (select series_id, obs_date, arg_min(value, realtime_start) as first_print, arg_max(value, realtime_start) as last_vintage from v group by 1, 2),
+ref as (select l_returnflag as series_id, cast(o_orderdate as date) as obs_date, max(l_extendedprice) as value from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
+select ref.series_id, count(*) as n, count(f.first_print) as matched, count(*) filter (where abs(ref.value - f.first_print) < 0.005) as equal_first, count(*) filter (where abs(ref.value - f.last_vintage) < 0.005) as equal_last from ref left join f on f.series_id = ref.series_id and f.obs_date = ref.obs_date group by 1""")
+def vintage_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    """An independent source's values against first prints and last vintages."""
+    prints = asof.first_print_last_vintage(src.one_per_vintage(src.vintages(spark, d)))
+    line = src.table(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("series_id"), "l_extendedprice")
+    orders = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp_ntz").cast("date").alias("obs_date"))
+    ref = line.join(orders, "l_orderkey").groupBy("series_id", "obs_date").agg(F.max("l_extendedprice").alias("value"))
+    near = lambda c: F.count(F.when(F.abs(F.col("value") - F.col(c)) < 0.005, 1))
+    return ref.join(prints, ["series_id", "obs_date"], "left").groupBy("series_id").agg(F.count("*").alias("n"), F.count("first_print").alias("matched"), near("first_print").alias("equal_first"), near("last_vintage").alias("equal_last"))
