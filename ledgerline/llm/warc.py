@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, materialise, table
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -200,7 +200,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` written as WARC, read back and assembled; a row per page from its capture."""
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    captures = assemble(read_warc(spark, path, keep_payload=False).drop("payload"))
+    captures = assemble(materialise(read_warc(spark, path, keep_payload=False).drop("payload"), "records"))  # parsed once
     facts = F.col("metadata")[0]["fields"]
     revisit = F.col("response.warc_type") == "revisit"
     return captures.select(
