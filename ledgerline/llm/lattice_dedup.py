@@ -237,3 +237,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, p
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and kept flag of every row of ``embeddings``."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+links as (select a, b from pairs union select b, a from pairs),
+n as (select a as vec_id, count(*) as n from links group by 1),
+reach(node, seen) as (select a, a from links union select a, b from links union select r.node, l.b from reach r join links l on r.seen = l.a),
+component as (select node, min(seen) as c from reach group by 1)
+select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(c.c, e.vec_id) as component_id, coalesce(c.c, e.vec_id) = e.vec_id as kept
+from embeddings e left join n on n.vec_id = e.vec_id left join component c on c.node = e.vec_id
+"""

@@ -405,3 +405,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every row of ``documents``."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+with recursive w as (
+  select row_number() over () as i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select i, doc_id, case when len(w) = 0 then [] else list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, greatest(len(w) - 4, 1) + 1)]) end as s from w),
+e as (select i, doc_id, len(s) as n, md5(unnest(s)) as g from s where doc_id is not null),
+shared as (select a.doc_id as a, b.doc_id as b, a.i as ai, b.i as bi, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.g = b.g and a.i < b.i group by 1, 2, 3, 4),
+pairs as (select a, b from shared where 100 * c >= 80 * (na + nb - c)),
+links as (select a, b from pairs union select b, a from pairs),
+reach(node, seen) as (select a, a from links union select a, b from links union select r.node, l.b from reach r join links l on r.seen = l.a),
+component as (select node, min(seen) as c from reach group by 1)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(component.c, s.doc_id) as component_id from s left join component on s.doc_id = component.node
+"""

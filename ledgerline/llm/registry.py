@@ -7,14 +7,14 @@ from importlib import import_module
 #: query name -> (module, function, name of the module's SQL or None)
 _REGISTERED = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
-    "op2_ngram_jaccard_join": ("ngram_join", None),
+    "op2_ngram_jaccard_join": ("ngram_join", "OP2_SQL"),
     "op3_warc": ("warc", "OP3_SQL"),
     "op4_spotsigs": ("spotsigs", None),
     "op5_quality_classifier": ("quality", None),
     "op6_best_fit_packing": ("packing", None),
     "op7_sentencepiece": ("tokenizer", None),
     "op8_language_id": ("langid", None),
-    "op9_embedding_near_dedup": ("lattice_dedup", None),
+    "op9_embedding_near_dedup": ("lattice_dedup", "OP9_SQL"),
     "op10_html_extraction": ("html_extract", None),
 }
 
