@@ -40,6 +40,7 @@ FILTER_BITS = 1 << 26
 BLOCK = 256
 SHARE = 6
 BUCKET_POSTINGS = 400_000
+MOST_BUCKETS = 1 << 20
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -103,31 +104,49 @@ def long_lists(docs: DataFrame, buckets: int, words: int) -> np.ndarray:
             found = [h[: np.searchsorted(h, np.uint64(1 << 63))] for h in (shingle_hashes(t, words) for t in _texts(batch))]
             keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]) >> np.uint64(16), return_counts=True)
             part = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(buckets + 1))
-            rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+            rows = _by_bucket(part, np.argsort(part, kind="stable"))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([_pack(keys[x]) for _, x in rows], pa.binary()),
                                               pa.array([np.minimum(n[x], 65_535).astype("<u2").tobytes() if (n[x] > 1).any() else b"" for _, x in rows], pa.binary())], names=["bucket", "keys", "n"])
 
     def merge(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "n")), strict=True):
+        for _, rows in _buckets(batches, ["keys", "n"]):
+            parts = []
+            for k, n in rows:
                 k = _unpack(k)
-                held.setdefault(b, []).append((k, np.frombuffer(n, "<u2").astype(np.int64) if n else np.ones(len(k), np.int64)))
-                if len(held[b]) > 64:  # sums so far
-                    held[b] = [_sum(held[b])]
-        for parts in held.values():
+                parts.append((k, np.frombuffer(n, "<u2").astype(np.int64) if n else np.ones(len(k), np.int64)))
+                if len(parts) > 64:  # sums so far
+                    parts = [_sum(parts)]
             keys, n = _sum(parts)
             keep = n > LONG
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], names=["key", "n"])
 
-    counted = (docs.select("text").mapInArrow(count, "bucket int, keys binary, n binary").repartition("bucket")
+    counted = (docs.select("text").mapInArrow(count, "bucket int, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
                .mapInArrow(merge, "key bigint, n bigint"))
     hot = counted.orderBy(F.desc("n"), "key").limit(HOT_TOKENS).select("key").toPandas()
     return np.sort(hot["key"].to_numpy().astype(np.uint64))
 
 
+def _by_bucket(part: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, positions) of each bucket that occurs; ``order`` sorts ``part``."""
+    names, first = np.unique(part[order], return_index=True)
+    edges = np.append(first, len(order))
+    return [(int(b), order[edges[k] : edges[k + 1]]) for k, b in enumerate(names)]
+
+
+def _buckets(batches, columns: list[str]):
+    """(bucket, its rows) of batches sorted by bucket, one bucket in memory at a time."""
+    bucket, rows = None, []
+    for batch in batches:
+        for b, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if b != bucket:
+                if rows:
+                    yield bucket, rows
+                bucket, rows = b, []
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
     order = np.argsort(keys, kind="stable")
@@ -220,15 +239,10 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 
 def _bucket_links(batches, percent: int):
     """Candidates of each bucket of postings: (a, b, dense, keys shared here, keys needed in all)."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "rep", "n")), strict=True):
-            held.append(row)
-    for bucket in sorted({r[0] for r in held}):
-        own = [r for r in held if r[0] == bucket]
-        keys = np.concatenate([_unpack(r[1]) for r in own])
-        rep = np.concatenate([np.frombuffer(r[2], "<i8") for r in own])
-        n = np.concatenate([np.frombuffer(r[3], "<i4") for r in own]).astype(np.int64)
+    for _, own in _buckets(batches, ["keys", "rep", "n"]):
+        keys = np.concatenate([_unpack(r[0]) for r in own])
+        rep = np.concatenate([np.frombuffer(r[1], "<i8") for r in own])
+        n = np.concatenate([np.frombuffer(r[2], "<i4") for r in own]).astype(np.int64)
         order = np.lexsort((rep, n, keys))
         keys, rep, n = keys[order], rep[order], n[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -353,7 +367,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = 1 << max(5, int(chars / 30 / BUCKET_POSTINGS)).bit_length()
+    buckets = min(MOST_BUCKETS, 1 << max(5, int(chars / 25 / BUCKET_POSTINGS)).bit_length())  # a posting for some 25 characters
     hot = spark.sparkContext.broadcast(long_lists(docs.where("text is not null"), buckets, words))
 
     def file(batches):
@@ -377,14 +391,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
             keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
             row = np.repeat(np.arange(len(reps)), sizes)
             part = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((reps[row], part))
-            edges = np.searchsorted(part[order], np.arange(buckets + 1))
-            rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+            rows = _by_bucket(part, np.lexsort((reps[row], part)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([f(x) for _, x in rows], pa.binary()) for f in (
                 lambda x: _pack(keys[x]), lambda x: reps[row[x]].astype("<i8").tobytes(), lambda x: n[row[x]].astype("<i4").tobytes())]], names=["bucket", "keys", "rep", "n"])
 
     posted = classes.select("c.*").mapInArrow(post, "bucket int, keys binary, rep binary, n binary")
-    found = (posted.repartition("bucket").mapInArrow(lambda b: _bucket_links(b, percent), "a bigint, b bigint, dense boolean, shared bigint, need bigint")
+    found = (posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _bucket_links(b, percent), "a bigint, b bigint, dense boolean, shared bigint, need bigint")
              .groupBy("a", "b", "dense").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("dense or shared >= need"))
     found = materialise(found, "candidates")
     clusters = connected_components(found.where("dense").select("a", "b"))

@@ -146,8 +146,8 @@ def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.Recor
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded again.
 
-    doc_id, n_tokens, n_byte_tokens, ids_sha256 (of the little-endian 32-bit ids), decoded_sha256 (of the
-    decoded UTF-8) and round_trip (the decoded text is the text); nulls for null text.
+    doc_id, ids, n_tokens, n_byte_tokens, ids_sha256 (of the little-endian 32-bit ids), decoded_sha256 (of
+    the decoded UTF-8) and round_trip (the decoded text is the text); nulls for null text.
     """
     shared = spark.sparkContext.broadcast(load_vocabulary(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -156,8 +156,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = Codec(shared.value)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
+            encoded = codec.encode(texts)
             out = {k: [] for k in ("n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip")}
-            for text, ids in zip(texts, codec.encode(texts), strict=True):
+            for text, ids in zip(texts, encoded, strict=True):
                 if ids is None:
                     row = [None] * 5
                 else:
@@ -166,6 +167,6 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(encoded), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", "ids", *out])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
