@@ -73,7 +73,7 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
             low += 1
         start = max(1, (low if len(kids) == 1 else max(low, sparse)) - kids[0])
         while True:
-            if start + 4096 > len(used):
+            while start + 4096 > len(used):
                 grow = len(used)
                 base, check, value = (np.concatenate([x, np.full(grow, f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
                 used = np.concatenate([used, np.zeros(grow, bool)])
