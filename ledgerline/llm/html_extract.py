@@ -3,12 +3,12 @@
 A token is an element's path of tags, classes and ids. Its occurrence vector says how often it occurs on each
 of the host's pages; tokens with equal vectors and enough pages form an equivalence class. Vectors are
 compared by sums of 32-bit hashes of (page, count), so they are built with map-side sums and never gathered.
-Classes whose tokens lie under the root class's make the host's template. Its slots are the texts below its
-tokens; the main slot is the template's article (or, without one, the deepest once-a-page token that holds
-most of the host's varying text). A page's text is what lies in the main slot, without slots that are
-navigation, headers, footers, asides, forms, adverts, notices or comments by tag, class, id or role, and
-without texts that are the same on all of the host's pages (template, not content). Pages of hosts with too
-few pages take the same rules on themselves.
+A class whose outermost tokens lie in one slot of a valid class is nested there, from the root class (the tokens
+once on every page) on; the tokens of these classes make the host's template. The main slot is the template's
+article. Without one, the slots between the template's tokens are told apart: those with the same text on nearly
+all pages are template, all others are text. A page's text is what lies in the main slot (or in its own article or
+body), without slots that are navigation, headers, footers, asides, forms, adverts, notices or comments by tag,
+class, id or role. Pages of hosts with too few pages take the same rules on themselves.
 
 Defined results: null or empty html, and pages without main text: empty text. Cut-off pages give what they
 hold; a tag cut off at the end is dropped. Pages without a host share the empty host. Repeated pages each get
@@ -30,7 +30,8 @@ from .url_filter import with_host_path
 
 MIN_SUPPORT = 3  # pages a class must occur on
 MIN_SHARE = 0.2  # of the host's pages
-CONSTANT_SUPPORT = 10  # pages on which a text must be the same to be template
+CONSTANT_SUPPORT = 10  # pages a host must have for constant slots to be template
+NEARLY_ALL = 0.9  # of the host's pages must hold a constant slot
 MAX_DEPTH = 64  # elements nested deeper share the path of this depth
 BROADCAST_MB = 16
 
@@ -148,6 +149,21 @@ class Page:
                 own.setdefault(node, []).append(text)
         return {k: " ".join(" ".join(v).split()) for k, v in own.items()}
 
+    def slot_texts(self) -> list[tuple[int, int]]:
+        """Each node's hash and length of the text in and below it, but for what lies outside; 0, 0 without any."""
+        own = self.node_texts()
+        out = [(0, 0)] * len(self.nodes)
+        for k in range(len(self.nodes) - 1, -1, -1):  # kids come after their parents
+            parent, _, _, outside, _ = self.nodes[k]
+            text = "" if outside else own.get(k, "")
+            h, n = out[k]
+            if text:
+                h, n = _h32(f"{h} {text}"), n + len(text)
+            out[k] = h, n
+            if parent >= 0 and n:
+                out[parent] = _h32(f"{out[parent][0]}>{h}"), out[parent][1] + n
+        return out
+
     def text(self, main: str | None = None, template_texts: set[str] = frozenset()) -> str:
         """The text below the path ``main`` (or the page's own article), without what lies outside or is template."""
         nodes = self.nodes
@@ -175,73 +191,93 @@ def _h32(x) -> int:
     return xxhash.xxh32_intdigest(x)
 
 
-_STATS = "host string, path string, tag string, outside boolean, pages bigint, uses bigint, v1 bigint, v2 bigint, chars bigint, low bigint, high bigint"
+_STATS = "host string, path string, tag string, outside boolean, pages bigint, uses bigint, v1 bigint, v2 bigint, below bigint, low bigint, high bigint"
 
 
 def host_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(host, path) with pages, uses, occurrence-vector sums, text length, and least and greatest text hash."""
+    """(host, path) with pages, uses, occurrence-vector sums, and length, least and greatest hash of the text in and below it."""
 
     def count(batches):
         for batch in batches:
             seen: dict[tuple, list] = {}
             for host, page, value in zip(batch.column("host").to_pylist(), batch.column("_page").to_pylist(), batch.column(html).to_pylist(), strict=True):
                 read = Page(value or "")
-                own = read.node_texts()
-                for k, (_, path, tag, outside, uses) in enumerate(read.nodes):
-                    h = _h32(own.get(k, ""))
+                for (_, path, tag, outside, uses), (h, below) in zip(read.nodes, read.slot_texts(), strict=True):
                     vector = f"{page}:{uses}"
                     row = seen.setdefault((host, path, tag, outside), [0, 0, 0, 0, 0, h, h])
                     row[0] += 1
                     row[1] += uses
                     row[2] += _h32(vector)
                     row[3] += _h32(vector + "'")
-                    row[4] += len(own.get(k, ""))
+                    row[4] += below
                     row[5], row[6] = min(row[5], h), max(row[6], h)
             yield pa.RecordBatch.from_pandas(pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=[c.split()[0] for c in _STATS.split(", ")]).astype({"outside": bool}), preserve_index=False) if seen else pa.RecordBatch.from_pylist([], schema=_EMPTY)
 
-    sums = [F.sum(c).alias(c) for c in ("pages", "uses", "v1", "v2", "chars")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "uses", "v1", "v2", "below")]
     return (pages.select("host", "_page", html).mapInArrow(count, _STATS).groupBy("host", "path", "tag", "outside")
             .agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")))
 
 
-_EMPTY = pa.schema([("host", pa.string()), ("path", pa.string()), ("tag", pa.string()), ("outside", pa.bool_()), *[(c, pa.int64()) for c in ("pages", "uses", "v1", "v2", "chars", "low", "high")]])
+_EMPTY = pa.schema([("host", pa.string()), ("path", pa.string()), ("tag", pa.string()), ("outside", pa.bool_()), *[(c, pa.int64()) for c in ("pages", "uses", "v1", "v2", "below", "low", "high")]])
+
+
+def template_classes(tokens: list[dict], least: float) -> dict[str, dict]:
+    """The tokens of a host's template by path: its valid equivalence classes, nested from the root class on.
+
+    A class is two or more tokens with equal occurrence vectors. The root class is that of the page itself; of it
+    the tokens count whose parents are in it too. Any other class is taken or left as a whole: its outermost tokens
+    must lie in one slot, that is, below one and the same token of a valid class.
+    """
+    classes: dict[tuple, dict[str, dict]] = {}
+    for t in tokens:
+        if t["pages"] >= least:
+            classes.setdefault((t["pages"], t["v1"], t["v2"]), {})[t["path"]] = t
+    up = lambda path: path.rpartition(">")[0]
+    depth = lambda path: path.count(">")
+    valid: dict[str, dict] = {}
+    others = []
+    for c in classes.values():
+        if len(c) < 2:
+            continue
+        if "" not in c:
+            others.append((c, {up(p) for p in c if up(p) not in c}))
+            continue
+        for path in sorted(c, key=lambda p: (depth(p), p)):
+            if path == "" or up(path) in valid:
+                valid[path] = c[path]
+    # a class lies below its slot's token, so one pass from the outside in meets parents first
+    for c, slots in sorted(others, key=lambda x: min(map(depth, x[0]))):
+        if len(slots) == 1 and slots <= valid.keys():
+            valid |= c
+    return valid
 
 
 def deduce(tokens: list[dict]) -> tuple[str | None, list[str]]:
-    """A host's template from its tokens: (path of the main slot, paths whose text is template)."""
+    """A host's template from its tokens: (path of the main slot or none, paths of slots with template text only).
+
+    With an article (or main element) once a page in the template, that is the main slot and all of it is text.
+    Without one the slots between the template's tokens are told apart by what they hold: the same on all pages
+    is template, all else is text.
+    """
     root = next((t for t in tokens if t["path"] == ""), None)
     if root is None or root["pages"] < MIN_SUPPORT:
         return None, []
-    least = max(MIN_SUPPORT, MIN_SHARE * root["pages"])
-    classes: dict[tuple, list[dict]] = {}
-    for t in tokens:
-        if t["pages"] >= least:
-            classes.setdefault((t["pages"], t["v1"], t["v2"]), []).append(t)
-    # valid classes nest: the tokens' parents are themselves in valid classes, from the root class on
-    valid: dict[str, dict] = {}
-    for t in sorted((t for c in classes.values() for t in c), key=lambda t: (t["path"].count(">"), t["path"])):
-        if t["path"] == "" or t["path"].rpartition(">")[0] in valid:
-            valid[t["path"]] = t
-    once = [t for t in valid.values() if t["uses"] == t["pages"] and not t["outside"]]
-    main = None
+    valid = template_classes(tokens, max(MIN_SUPPORT, MIN_SHARE * root["pages"]))
     for tag in ("article", "main"):
-        found = [t for t in once if t["tag"] == tag]
-        if found and main is None:
-            main = max(found, key=lambda t: (t["pages"], -t["path"].count(">")))["path"]
-    if main is None:
-        if any(t["tag"] in ("article", "main") and not t["outside"] for t in valid.values()):
-            return None, []  # several to a page: the pages' own rule takes them all
-        varying = {t["path"]: t["chars"] for t in tokens if t["low"] != t["high"] and not t["outside"]}
-        below = lambda p: sum(n for q, n in varying.items() if q == p or q.startswith(p + ">"))
-        total = below("")
-        holds = [t for t in once if total and below(t["path"]) >= 0.6 * total and t["tag"] not in HEADINGS | INLINE | {"p", ""}]
-        main = max(holds, key=lambda t: (t["path"].count(">"), t["path"]))["path"] if holds else None
-    if main is None:
+        found = [t for t in valid.values() if t["tag"] == tag and t["uses"] == t["pages"] and not t["outside"]]
+        if found:
+            return max(found, key=lambda t: (t["pages"], -t["path"].count(">")))["path"], []
+    if any(t["tag"] in ("article", "main") and not t["outside"] for t in tokens):
+        return None, []  # none of the template or several to a page: the pages' own rule takes them all
+    if root["pages"] < CONSTANT_SUPPORT:
         return None, []
-    inside = [t for t in tokens if t["path"].startswith(main + ">")]
-    varies = any(t["low"] != t["high"] for t in inside)
-    same = [t["path"] for t in inside if varies and t["path"] in valid and t["pages"] >= CONSTANT_SUPPORT and t["low"] == t["high"] and t["uses"] == t["pages"] and t["chars"] and t["tag"] in ("div", "section")]
-    return main, same
+    same: list[str] = []
+    for path, t in sorted(valid.items(), key=lambda x: x[0].count(">")):
+        block = t["tag"] not in HEADINGS | INLINE | {"p", "", "html", "body"} and not t["outside"]
+        if block and t["low"] == t["high"] and t["below"] and t["pages"] >= NEARLY_ALL * root["pages"] and not any(path.startswith(s + ">") for s in same):
+            same.append(path)
+    # pages that differ in little are near copies: what they share is then their text
+    return None, same if 2 * sum(valid[p]["below"] for p in same) < root["below"] else []
 
 
 def templates(tokens: DataFrame) -> DataFrame:
@@ -257,7 +293,7 @@ def templates(tokens: DataFrame) -> DataFrame:
             found = [deduce([t.asDict() if hasattr(t, "asDict") else dict(t) for t in x]) for x in frame["tokens"]]
             yield pd.DataFrame({"host": frame["host"], "main": [m for m, _ in found], "same": [s for _, s in found]})
 
-    return grouped.mapInPandas(run, "host string, main string, same array<string>").where("main is not null")
+    return grouped.mapInPandas(run, "host string, main string, same array<string>").where("main is not null or size(same) > 0")
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -266,7 +302,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
         pages = pages.drop("host")
     hosted = with_host_path(pages.drop(*[c for c in ("text", "n_chars") if c not in (url, html, page_id)]), url).drop("path")
     found = materialise(templates(host_tokens(hosted.withColumn("_page", F.concat_ws(" ", F.col(page_id).cast("string"), url)), html)), "templates")
-    mb = (found.agg(F.sum(F.length("host") + F.length("main") + 16 + F.coalesce(F.length(F.array_join("same", ",")), F.lit(0)))).first()[0] or 0) / 1e6
+    mb = (found.agg(F.sum(F.length("host") + F.coalesce(F.length("main"), F.lit(0)) + 16 + F.coalesce(F.length(F.array_join("same", ",")), F.lit(0)))).first()[0] or 0) / 1e6
     found = F.broadcast(found) if mb <= BROADCAST_MB else found
     joined = hosted.join(found, "host", "left")
     keep = [c for c in hosted.columns if c not in ("host", html)]

@@ -89,6 +89,25 @@ def test_repeated_paragraphs_stay(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def token(path, vector, pages=20, tag=None, low=1, high=2):
+    return {"path": path, "tag": tag or path.rpartition(">")[2], "outside": False, "pages": pages, "uses": pages, "v1": vector, "v2": vector, "below": 10, "low": low, "high": high}
+
+
+def test_template_is_made_of_whole_classes():
+    root = [token(p, 1) for p in ("", ">html", ">html>body")]
+    article, heading = ">html>body>article", ">html>body>article>h1"
+    assert html_extract.deduce([*root, token(article, 7, 9), token(heading, 7, 9)])[0] == article
+    assert html_extract.deduce([*root, token(article, 7, 9), token(heading, 8, 9)])[0] is None  # as often, on other pages
+    assert html_extract.deduce([*root, token(">html>body>div", 1), token(article, 7, 9), token(heading, 7, 9), token(">html>body>div>b", 7, 9)])[0] is None  # over two slots
+
+
+def test_slots_that_vary_are_all_text(spark):
+    page = '<html><body><div class="x1">Always the same</div><div class="x2"><p>Long text of {n} here, and on it goes.</p></div><div class="x3"><p>A second text {n}.</p></div>{extra}</body></html>'
+    rows = [(i, "http://v.example/", page.replace("{extra}", "<div class=ps>Only here</div>" if i == 4 else "").replace("{n}", str(i))) for i in range(20)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(out[i] == f"Long text of {i} here, and on it goes. A second text {i}." + (" Only here" if i == 4 else "") for i in range(20))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
