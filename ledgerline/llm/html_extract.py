@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction over pages of the same host.
 
 A token is an element's path of tags, classes and ids. Its occurrence vector says how often it occurs on each
-of the host's pages; tokens with equal vectors and enough pages form an equivalence class. Vectors are
+of the host's distinct pages (copies count once); tokens with equal vectors and enough pages form an equivalence class. Vectors are
 compared by sums of 32-bit hashes of (page, count), so they are built with map-side sums and never gathered.
 A class whose outermost tokens lie in one slot of a valid class is nested there, from the root class (the tokens
 once on every page) on; the tokens of these classes make the host's template. The main slot is the template's
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .url_filter import with_host_path
 
-MIN_SUPPORT = 3  # pages a class must occur on
-MIN_SHARE = 0.2  # of the host's pages
-CONSTANT_SUPPORT = 10  # pages a host must have for constant slots to be template
-NEARLY_ALL = 0.9  # of the host's pages must hold a constant slot
+MIN_SUPPORT = 3  # distinct pages a class must occur on
+MIN_SHARE = 0.2  # of the host's distinct pages
+CONSTANT_SUPPORT = 10  # distinct pages a host must have for constant slots to be template
+NEARLY_ALL = 0.9  # of the host's distinct pages must hold a constant slot
 MAX_DEPTH = 64  # elements nested deeper share the path of this depth
 BROADCAST_MB = 16
 
@@ -195,13 +195,17 @@ _STATS = "host string, path string, tag string, outside boolean, pages bigint, u
 
 
 def host_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(host, path) with pages, uses, occurrence-vector sums, and length, least and greatest hash of the text in and below it."""
+    """(host, path) with distinct pages, uses, occurrence-vector sums, and length, least and greatest hash of the text in and below it.
+
+    Equal html on a host counts once, however many copies there are; the html is shuffled for it.
+    """
+    distinct = pages.where(F.length(html) > 0).select("host", F.md5(html).alias("_page"), html).dropDuplicates(["host", "_page"])
 
     def count(batches):
         for batch in batches:
             seen: dict[tuple, list] = {}
             for host, page, value in zip(batch.column("host").to_pylist(), batch.column("_page").to_pylist(), batch.column(html).to_pylist(), strict=True):
-                read = Page(value or "")
+                read = Page(value)
                 for (_, path, tag, outside, uses), (h, below) in zip(read.nodes, read.slot_texts(), strict=True):
                     vector = f"{page}:{uses}"
                     row = seen.setdefault((host, path, tag, outside), [0, 0, 0, 0, 0, h, h])
@@ -214,7 +218,7 @@ def host_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_pandas(pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=[c.split()[0] for c in _STATS.split(", ")]).astype({"outside": bool}), preserve_index=False) if seen else pa.RecordBatch.from_pylist([], schema=_EMPTY)
 
     sums = [F.sum(c).alias(c) for c in ("pages", "uses", "v1", "v2", "below")]
-    return (pages.select("host", "_page", html).mapInArrow(count, _STATS).groupBy("host", "path", "tag", "outside")
+    return (distinct.mapInArrow(count, _STATS).groupBy("host", "path", "tag", "outside")
             .agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")))
 
 
@@ -301,7 +305,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
     if "host" in pages.columns:
         pages = pages.drop("host")
     hosted = with_host_path(pages.drop(*[c for c in ("text", "n_chars") if c not in (url, html, page_id)]), url).drop("path")
-    found = materialise(templates(host_tokens(hosted.withColumn("_page", F.concat_ws(" ", F.col(page_id).cast("string"), url)), html)), "templates")
+    found = materialise(templates(host_tokens(hosted, html)), "templates")
     mb = (found.agg(F.sum(F.length("host") + F.coalesce(F.length("main"), F.lit(0)) + 16 + F.coalesce(F.length(F.array_join("same", ",")), F.lit(0)))).first()[0] or 0) / 1e6
     found = F.broadcast(found) if mb <= BROADCAST_MB else found
     joined = hosted.join(found, "host", "left")

@@ -108,6 +108,21 @@ def test_slots_that_vary_are_all_text(spark):
     assert all(out[i] == f"Long text of {i} here, and on it goes. A second text {i}." + (" Only here" if i == 4 else "") for i in range(20))
 
 
+@pytest.mark.parametrize("copies", [9, 10, 12, 200])
+def test_copies_are_no_template(spark, copies):
+    page = '<html><body><div class="top">Top</div><div class="story"><div class="summary">Sum.</div><div class="main-part">Text of {n}, longer than all of the others taken together.</div></div></body></html>'
+    story = lambda n: page.replace("{n}", str(n))
+    article = '<html><body><article><h1>T{n}</h1>{x}<div class="part">Text {n}</div></article></body></html>'
+    rows = [(i, "http://c.example/", story(1)) for i in range(copies)] + [(1000 + i, "http://c.example/", story(2 + i).replace("Sum.", f"Sum of {i}.")) for i in range(3)]
+    rows += [(2000 + i, "http://d.example/", article.replace("{x}", '<div class="summary">S</div>').replace("{n}", "0")) for i in range(copies)]
+    rows += [(3000 + i, "http://d.example/", article.replace("{x}", "").replace("{n}", str(1 + i))) for i in range(48)]
+    rows += [(4000 + i, "http://e.example/", story(1)) for i in range(copies)] + [(5000, "http://e.example/", "<html><body><div class=story><div class=main-part>" + "Other words. " * 500 + "</div></div></body></html>")]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = "Top Sum. Text of 1, longer than all of the others taken together."
+    assert all(out[i] == want and out[2000 + i] == "T0 S Text 0" and out[4000 + i] == want for i in range(copies))
+    assert all(out[1000 + i] == f"Top Sum of {i}. Text of {2 + i}, longer than all of the others taken together." for i in range(3)) and len(out) == len(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
