@@ -32,7 +32,7 @@ MIN_SUPPORT = 3  # distinct pages a class must occur on
 MIN_SHARE = 0.2  # of the host's distinct pages
 CONSTANT_SUPPORT = 10  # distinct pages a host must have for constant slots to be template
 NEARLY_ALL = 0.9  # of the host's distinct pages must hold a constant slot
-MAX_DEPTH = 64  # elements nested deeper share the path of this depth
+MAX_DEPTH = 64  # elements nested deeper are no tokens; their tags and what is outside hold at any depth
 BROADCAST_MB = 16
 
 #: Element names, and words of classes, ids and roles, by what they mean.
@@ -65,13 +65,13 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Page:
     """A page's path nodes and its texts in order.
 
-    nodes: [parent, path, tag, outside, count]; texts: (node, text), text None where a block ends.
+    nodes: [parent, path (None below MAX_DEPTH), tag, outside, count]; texts: (node, text), text None where a block ends.
     """
 
     def __init__(self, html: str) -> None:
         self.nodes: list[list] = [[-1, "", "", False, 1]]
         self.texts: list[tuple[int, str | None]] = []
-        kids: dict[tuple[int, str], int] = {}
+        kids: dict[tuple, int] = {}
         stack: list[tuple[str, int]] = [("", 0)]
         at = 0
         for m in _TOKEN.finditer(html):
@@ -102,12 +102,12 @@ class Page:
             key, outside = self._key(tag, m["attrs"], stack)
             parent = stack[-1][1]
             if len(stack) > MAX_DEPTH:
-                node = parent
-            else:
-                node = kids.get((parent, key))
-                if node is None:
-                    node = kids[parent, key] = len(self.nodes)
-                    self.nodes.append([parent, f"{self.nodes[parent][1]}>{key}", tag, outside or self.nodes[parent][3], 0])
+                key = tag, outside
+            node = kids.get((parent, key))
+            if node is None:
+                node = kids[parent, key] = len(self.nodes)
+                path = f"{self.nodes[parent][1]}>{key}" if len(stack) <= MAX_DEPTH else None
+                self.nodes.append([parent, path, tag, outside or self.nodes[parent][3], 0])
             self.nodes[node][4] += 1
             if not m["attrs"].endswith("/") or tag not in ("path", "circle", "rect", "use"):
                 stack.append((tag, node))
@@ -168,7 +168,7 @@ class Page:
         """The text below the path ``main`` (or the page's own article), without what lies outside or is template."""
         nodes = self.nodes
         root = next((k for k, x in enumerate(nodes) if x[1] == main), None) if main else None
-        roots = [root] if root is not None else own_roots(nodes)
+        roots = {root} if root is not None else own_roots(nodes)
         inside = [False] * len(nodes)
         for k, (parent, path, _, outside, _) in enumerate(nodes):
             inside[k] = not outside and path not in template_texts and (k in roots or (parent >= 0 and inside[parent]))
@@ -176,13 +176,13 @@ class Page:
         return " ".join(unescape("".join(out)).split())
 
 
-def own_roots(nodes: list[list]) -> list[int]:
+def own_roots(nodes: list[list]) -> set[int]:
     """The page's own main slots: articles, else main elements, else the body, else all of it."""
     for tag in ("article", "main", "body"):
-        found = [k for k, x in enumerate(nodes) if x[2] == tag and not x[3]]
+        found = {k for k, x in enumerate(nodes) if x[2] == tag and not x[3]}
         if found:
             return found
-    return [0]
+    return {0}
 
 
 def _h32(x) -> int:
@@ -207,6 +207,8 @@ def host_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
             for host, page, value in zip(batch.column("host").to_pylist(), batch.column("_page").to_pylist(), batch.column(html).to_pylist(), strict=True):
                 read = Page(value)
                 for (_, path, tag, outside, uses), (h, below) in zip(read.nodes, read.slot_texts(), strict=True):
+                    if path is None:
+                        continue
                     vector = f"{page}:{uses}"
                     row = seen.setdefault((host, path, tag, outside), [0, 0, 0, 0, 0, h, h])
                     row[0] += 1

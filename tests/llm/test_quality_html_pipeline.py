@@ -123,6 +123,14 @@ def test_copies_are_no_template(spark, copies):
     assert all(out[1000 + i] == f"Top Sum of {i}. Text of {2 + i}, longer than all of the others taken together." for i in range(3)) and len(out) == len(rows)
 
 
+@pytest.mark.parametrize("depth", [10, 63, 64, 65, 300])
+def test_depth_hides_nothing(depth):
+    deep = "<div>" * depth
+    boilerplate = '<nav>Menu</nav><aside>Side</aside><form>Go</form><div class="ad">Buy</div>'
+    assert html_extract.Page(f"<body>{deep}one {boilerplate}<p>two<section id=comments><p>Nice!</section></body>").text() == "one two"
+    assert html_extract.Page(f"<body>{deep}before {boilerplate}<article>Text{boilerplate}<p>more</article>after</body>").text() == "Text more"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
