@@ -297,8 +297,7 @@ from (select distinct fecha from daily) p, (select distinct series_id from m) s"
 def asof_backward_macro(spark: SparkSession, d: str) -> DataFrame:
     macro = src.vintages(spark, d).groupBy(F.col("obs_date").alias("fecha"), "series_id").agg(F.max("value").alias("value"))
     days = src.daily_close(spark, d).select("fecha").distinct()
-    names = macro.select("series_id").distinct()
-    grid = days.withColumn("series_id", F.explode(F.lit([r[0] for r in names.orderBy("series_id").limit(1000).collect()])))
+    grid = days.crossJoin(macro.select("series_id").distinct())
     return rounded(asof.asof_backward(grid, macro, "fecha", ["series_id"], ["value"]))
 
 

@@ -265,3 +265,20 @@ def test_promotion_is_all_or_nothing(tmp_path):
     with pytest.raises(ValueError, match="manifest"):
         publish.promote(str(run), str(latest))
     assert publish.verify_manifest(str(latest)) == []
+
+
+def test_asof_macro_takes_every_series(spark, tmp_path):
+    import pandas as pd
+
+    from ledgerline.plans import registry
+
+    from .oracle import assert_equal
+
+    n = 1200
+    days = [datetime(1997, 1, 1), datetime(1997, 2, 3)]
+    pd.DataFrame([(k, days[k], 10.0 + k) for k in (0, 1)], columns=["o_orderkey", "o_orderdate", "o_totalprice"]).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    lines = [(k % 2, k, f"s{k:05}", float(k), datetime(1997, 3, 1)) for k in range(n)]
+    pd.DataFrame(lines, columns=["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_shipdate"]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    frame = registry.queries()["asof_backward_macro"](spark, str(tmp_path)).toPandas()
+    assert len(frame) == 2 * n and frame["series_id"].nunique() == n
+    assert_equal(frame, registry.oracle_sql()["asof_backward_macro"], str(tmp_path))
