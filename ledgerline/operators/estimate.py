@@ -57,13 +57,17 @@ def _stationary(P: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def step_logliks(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
+    """Log likelihood (T, batch) of each step, given those before it, under a batch of vectors."""
+    n = unpack(theta, k)
+    s2 = kernels.gjr_variances(r, n["mu"], n["omega"], n["alpha"], n["gamma"], n["beta"], n["v"])
+    return kernels.hamilton(kernels.log_density(r, n["mu"], s2), n["P"], _stationary(n["P"]))[2]
+
+
 def negative_loglik(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     """Negative log likelihoods of a batch of vectors."""
-    n = unpack(theta, k)
     with np.errstate(all="ignore"):
-        s2 = kernels.gjr_variances(r, n["mu"], n["omega"], n["alpha"], n["gamma"], n["beta"], n["v"])
-        _, _, ll = kernels.hamilton(kernels.log_density(r, n["mu"], s2), n["P"], _stationary(n["P"]))
-        out = -ll.sum(0)
+        out = -step_logliks(theta, r, k).sum(0)
     return np.where(np.isfinite(out), np.minimum(out, INFEASIBLE), INFEASIBLE)
 
 
@@ -112,6 +116,27 @@ def best_fit(fits: DataFrame) -> DataFrame:
     return best.select("series", "k", "b.*").join(close, ["series", "k"])
 
 
+def score_test(assigned: DataFrame, fits: DataFrame, key: str = "block", order: str = "fecha", r: str = "r") -> DataFrame:
+    """``fits`` with n_test and test_loglik: each block's test rows under its fit, filtered on from the train rows.
+
+    ``assigned`` has the part (train or test) of each row; a block is some years of one asset's days.
+    """
+    packed = assigned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(r), F.col("part")))).alias("x")).select(F.col(key).cast("string").alias("series"), F.col(f"x.{r}").alias("r"), F.col("x.part").alias("part"))
+    jobs = fits.join(packed, "series")
+    spec = fits.withColumns({"n_test": F.lit(0), "test_loglik": F.lit(0.0)}).schema
+
+    def run(frames):
+        for frame in frames:
+            sizes, totals = [], []
+            for x, part, k, theta in zip(frame["r"], frame["part"], frame["k"], frame["theta"], strict=True):
+                test = np.asarray(part) == "test"
+                sizes.append(int(test.sum()))
+                totals.append(float(step_logliks(np.asarray(theta, float), np.asarray(x, float), k)[test, 0].sum()))
+            yield frame.drop(columns=["r", "part"]).assign(n_test=sizes, test_loglik=totals)
+
+    return jobs.mapInPandas(run, spec)
+
+
 def standard_errors(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     """Of the unconstrained parameters, by the inverse Hessian; NaN where it is not positive."""
     inverse = np.linalg.pinv(hessian(lambda t: negative_loglik(t, r, k), theta))

@@ -11,6 +11,7 @@ from ..sources import tables as src
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+WALK = ["series", "k", "n", "loglik", "n_starts", "n_converged", "theta"]
 
 
 def query(f):
@@ -39,14 +40,15 @@ def bic_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """One regime re-fitted from scratch on each block's train rows (2 years), scored by its average likelihood there."""
+    """One regime re-fitted from scratch on each block's train rows (2 years); log likelihood there, and of the test rows that follow."""
     r = _returns(spark, d)
     first, last = r.agg(F.min("fecha"), F.max("fecha")).first()
     if first is None:
-        return estimate.best_fit(estimate.fit_starts(r, 1, starts=1))
+        return estimate.best_fit(estimate.fit_starts(r, 1, starts=1)).select(*WALK, F.lit(0).alias("n_test"), F.lit(0.0).alias("test_loglik"))
     blocks = walkforward.windows_frame(spark, walkforward.windows(first, last, train_years=2, least=0))
-    train = walkforward.assign(r, blocks).where("part = 'train'").withColumn("block", F.col("block_id").cast("string"))
-    return estimate.best_fit(estimate.fit_starts(train, 1, starts=2, rounds=20, key="block")).select("series", "k", "n", "loglik", "n_starts", "n_converged", "theta")
+    rows = walkforward.assign(r, blocks).withColumn("block", F.col("block_id").cast("string"))
+    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), 1, starts=2, rounds=20, key="block")).select(*WALK)
+    return estimate.score_test(rows, fits)
 
 
 @query

@@ -282,3 +282,23 @@ def test_asof_macro_takes_every_series(spark, tmp_path):
     frame = registry.queries()["asof_backward_macro"](spark, str(tmp_path)).toPandas()
     assert len(frame) == 2 * n and frame["series_id"].nunique() == n
     assert_equal(frame, registry.oracle_sql()["asof_backward_macro"], str(tmp_path))
+
+
+def test_walk_forward_scores_test_rows(spark, tmp_path):
+    import pandas as pd
+
+    from ledgerline.plans import registry
+
+    g = np.random.default_rng(4)
+    days = pd.date_range("1995-01-01", periods=1150, freq="D")
+    price = 1000 * np.exp(np.cumsum(g.normal(0, 0.01, len(days))))
+    pd.DataFrame({"o_orderdate": days, "o_totalprice": price}).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    rows = registry.queries()["walk_forward"](spark, str(tmp_path)).collect()
+    close = np.round(price, 2)
+    r, dates = 100 * np.diff(np.log(close)), days[1:]
+    assert len(rows) == 2 and sorted(x["series"] for x in rows) == ["0", "1"]
+    for x in rows:
+        start, test, end = (pd.Timestamp(d) for d in (("1995-01-02", "1997-01-02", "1997-07-02") if x["series"] == "0" else ("1995-07-02", "1997-07-02", "1998-01-02")))
+        inside, train = r[(dates >= start) & (dates < end)], r[(dates >= start) & (dates < test)]
+        whole, first = (-estimate.negative_loglik(np.array(x["theta"]), y, 1)[0] for y in (inside, train))
+        assert x["n"] == len(train) and x["n_test"] == len(inside) - len(train) and x["test_loglik"] == pytest.approx(whole - first, abs=1e-6)
