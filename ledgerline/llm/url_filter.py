@@ -33,15 +33,11 @@ LISTED_HOSTS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets"
 LISTED_DOMAINS = ["example.com", "example.net", "example.org"]
 
 
-def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``host`` (A-Z lowered) and ``path`` of the column ``url``; both empty for null or no ``://``."""
-    at = F.instr(F.col(url), "://")
-    rest = F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    return df.withColumns({
-        "host": F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), ASCII_UPPER, ASCII_LOWER),
-        "path": F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1),
-    })
+def host_path(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lowered) and path of a URL; both empty for null or no ``://``."""
+    at = F.instr(url, "://")
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+    return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), ASCII_UPPER, ASCII_LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -103,25 +99,33 @@ def match_entries(urls: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, verdict and listed (the longest listed entry that fits, else null).
+    """``pages`` with host, path, rule, verdict and listed (the longest listed entry that fits, else null), which replace columns of those names.
 
     ``rules`` has (action, entry), ``listed`` has (entry). The verdict is the longest fitting rule's action;
-    without one it is ``block`` for a listed URL and ``allow`` otherwise.
+    without one it is ``block`` for a listed URL and ``allow`` otherwise. URLs without host or path, which no entry fits,
+    get a join key of their own each, so that however many there are they do not meet in one task.
     """
-    clash = [c for c in ("host", "path", "rule", "verdict", "listed") if c in pages.columns]
-    judged = with_host_path(pages.drop(*clash) if url not in clash else pages, url)
     entries = (rules.select("entry", "action").unionByName(listed.select("entry", F.lit("listed").alias("action")))
                .where("entry is not null").distinct())
-    found = match_entries(judged.select("host", "path"), entries)
+    host, path = host_path(F.col(f"`{url}`"))
+    found = match_entries(pages.select(host.alias("host"), path.alias("path")), entries)
     longest = F.struct(F.length("entry").alias("n"), F.col("entry"), F.col("action"))
     is_rule = F.col("action") != "listed"
     best = (found.groupBy("host", "path")
             .agg(F.max(F.when(is_rule, longest)).alias("r"), F.max(F.when(~is_rule, longest)).alias("l"))
-            .select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("r.entry").alias("rule"),
-                    F.col("r.action").alias("action"), F.col("l.entry").alias("listed")))
-    out = judged.join(best, (judged["host"] == best["_h"]) & (judged["path"] == best["_p"]), "left")
-    verdict = F.coalesce("action", F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_h", "_p", "action")
+            .select(F.concat("host", "path").alias("_k"), F.struct("r", "l").alias("_best")))
+    # one struct keeps the input's columns apart, whatever their names
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed") or c == url]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]) if kept else F.struct(F.lit(0).alias("c"))
+    judged = pages.select(row.alias("_row"), host.alias("host"), path.alias("path"))
+    # a path starts with a slash and a host holds none, so the key tells both
+    alone = F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))
+    judged = judged.withColumn("_k", F.when((F.col("host") != "") & (F.col("path") != ""), F.concat("host", "path")).otherwise(alone))
+    out = judged.join(best, "_k", "left")
+    listed_entry = F.col("_best.l.entry")
+    verdict = F.coalesce(F.col("_best.r.action"), F.when(listed_entry.isNotNull(), "block").otherwise("allow"))
+    new = [F.col("host"), F.col("path"), F.col("_best.r.entry").alias("rule"), verdict.alias("verdict"), listed_entry.alias("listed")]
+    return out.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(kept)], *[x for x, c in zip(new, ("host", "path", "rule", "verdict", "listed"), strict=True) if c != url])
 
 
 def listed_entries() -> list[str]:

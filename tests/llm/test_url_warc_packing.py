@@ -32,6 +32,12 @@ def test_rules_and_list(spark):
     assert out[11]["path"] == "" and out[11]["verdict"] == "allow"
 
 
+def test_url_filter_keeps_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "a", "h", "p", "k", "b"), (2, None, "a", "h", "p", "k", "b"), (2, None, "a", "h", "p", "k", "b")], "page_id bigint, url string, action string, _h string, _p string, _k string, block string")
+    out = url_filter.url_filter(pages, spark.createDataFrame(url_filter.RULES, "action string, entry string"), spark.createDataFrame([], "entry string")).collect()
+    assert sorted((r["page_id"], r["action"], r["_h"], r["_k"], r["block"], r["verdict"]) for r in out) == [(1, "a", "h", "k", "b", "block"), (2, "a", "h", "k", "b", "allow"), (2, "a", "h", "k", "b", "allow")]
+
+
 def test_bloom_holds_all_keys_and_few_others(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) as key")
     bloom, blocks = url_filter.blocked_bloom(keys, "key", 5000)
