@@ -2,10 +2,11 @@
 
 A unit vector is projected at random to eight dimensions in each of ``tables`` tables and decoded to the
 nearest point of the E8 lattice. It is filed under that cell and the ``probes`` neighbouring cells nearest to
-it. Vectors that meet in a cell are compared by their cosine in double precision. A pair that meets in several
-cells counts in the least of them, which both vectors' lists of cells tell, so cells send on only sums per
-vector and never pairs. Cells of more than ``BLOCK`` vectors are cut into blocks, and each two blocks meet in a
-group of their own: any cell is handled whole, in pieces of bounded size.
+it. Vectors that meet in a cell are compared by their cosine in double precision. Cells of at most ``SMALL``
+vectors get ids only and send on their few pairs, whose vectors are fetched once a pair. Larger cells get the
+vectors: a pair that meets in several of them counts in the least, which both vectors' lists of large cells tell,
+so they send on only sums per vector and never pairs. Cells of more than ``BLOCK`` vectors are cut into blocks, and
+each two blocks meet in a group of their own: any cell is handled whole, in pieces of bounded size.
 
 At the default cosine of 0.93, vectors of exactly that cosine meet with probability 0.989 in 64 dimensions
 (measured by tests against brute force), closer ones more often.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, table
 
 BLOCK = 2_048
+SMALL = 16  # most vectors of a cell that sends on pairs of ids
 HOT_BROADCAST = 100_000
 
 
@@ -135,44 +137,95 @@ def _group_links(ids, labels, mult, keys, blocks, vectors, cell: int, between: b
     return ids[linked], count[linked].astype(np.int64), order[low[linked]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, probes: int = 3, scale: float = 2.5, seed: int = 11) -> DataFrame:
+def _small_cells(batches, most: int):
+    """Pairs of reps that meet in a cell, of rows (cell, rep, big) sorted by cell, in cells of at most ``most`` rows.
+
+    Pairs that also meet in a large cell are left to it.
+    """
+    tail: pa.RecordBatch | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and tail is not None:
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0] if batch.num_rows else tail
+        last = batch is None
+        batch = tail if last else batch
+        tail = None
+        if batch is None or not batch.num_rows:
+            continue
+        cell, rep = batch.column("cell").to_numpy(), batch.column("rep").to_numpy()
+        end = len(cell) if last else int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on
+        if not last:
+            tail = batch.slice(end)
+        has_big = batch.column("big").is_valid().to_numpy(zero_copy_only=False)
+        out = []
+        for k in range(1, most):
+            i = np.flatnonzero(cell[: max(end - k, 0)] == cell[k:end])
+            if not len(i):
+                break
+            both = has_big[i] & has_big[i + k]
+            if both.any():
+                big = batch.column("big")
+                apart = np.array([not set(big[int(x)].as_py()) & set(big[int(x) + k].as_py()) for x in i[both]])
+                i = np.sort(np.concatenate([i[~both], i[both][apart]]))
+            x, y = rep[i], rep[i + k]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        if out:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _close_pairs(batches, threshold: float):
+    """(rep, links, component) twice for each pair (a, b, va, vb, ma, mb) whose cosine reaches the threshold."""
+    for batch in batches:
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        close = np.zeros(len(a), bool)
+        sizes = np.diff(batch.column("vb").offsets.to_numpy())
+        for at, left in _matrices(batch, "va"):
+            same = sizes[at] == left.shape[1]
+            at, left = at[same], left[same]
+            if len(at):
+                starts = batch.column("vb").offsets.to_numpy()[:-1][at]
+                flat = batch.column("vb").values.to_numpy(zero_copy_only=False)
+                right = flat[starts[:, None] + np.arange(left.shape[1])].astype(np.float64)
+                close[at] = (_unit(left) * _unit(right)).sum(1) >= threshold
+        a, b, ma, mb = a[close], b[close], batch.column("ma").to_numpy()[close], batch.column("mb").to_numpy()[close]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((a, b), (mb, ma), (a, a))], names=["rep", "n", "low"])
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, probes: int = 3, scale: float = 2.5, seed: int = 11, small: int = SMALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("bigint").alias("label"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # vectors travel as they are
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.col("label").cast("bigint").alias("label"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     hashed = marked.where("sound").select("vec_id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2"))
     classes = (hashed.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("mult"), F.min("v").alias("v")))
     classes = materialise(classes, "vectors")
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
 
-    def file(with_vectors: bool):
-        def run(batches):
-            for batch in batches:
-                for at, matrix in _matrices(batch, "v"):
-                    unit = _unit(matrix)
-                    labels = batch.column("label").to_numpy()[at]
-                    keys = cell_keys(unit, labels, tables, probes, scale, seed)
-                    rep = batch.column("rep").to_numpy()[at]
-                    for k in range(0, len(at), 500) if with_vectors else [0]:
-                        s = slice(k, k + 500) if with_vectors else slice(None)
-                        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
-                        cols = [pa.array(rep[s]), lists(np.sort(keys[s], 1))]
-                        names = ["rep", "keys"]
-                        if with_vectors:
-                            cols += [pa.array(labels[s]), pa.array(batch.column("mult").to_numpy()[at][s]), lists(matrix[s].astype(np.float64))]
-                            names += ["label", "mult", "v"]
-                        yield pa.RecordBatch.from_arrays(cols, names=names)
-        return run
-
-    counted = classes.mapInArrow(file(False), "rep bigint, keys array<bigint>").select(F.explode(F.array_distinct("keys")).alias("cell")).groupBy("cell").count()
-    hot = materialise(counted.where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "cells")
+    def file(batches):
+        for batch in batches:
+            for at, matrix in _matrices(batch, "v"):
+                keys = cell_keys(_unit(matrix), batch.column("label").to_numpy()[at], tables, probes, scale, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[at]), lists(keys)], names=["rep", "keys"])
+
+    filed = materialise(classes.select("rep", "label", "v").mapInArrow(file, "rep bigint, keys array<bigint>").select("rep", F.array_distinct("keys").alias("keys")), "cells")
+    hot = filed.select(F.explode("keys").alias("cell")).groupBy("cell").count().where(F.col("count") > small)
+    hot = materialise(hot.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "large-cells")
     hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
-    filed = classes.mapInArrow(file(True), "rep bigint, keys array<bigint>, label bigint, mult bigint, v array<double>")
-    placed = filed.withColumn("cell", F.explode(F.array_distinct("keys"))).join(hot, "cell", "left")
-    k = F.coalesce("k", F.lit(1))
-    block = F.pmod(F.xxhash64("rep", F.lit(3)), k).cast("int")
-    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    placed = placed.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "mult", "keys", "v")
+    big = materialise(filed.select("rep", F.explode("keys").alias("cell")).join(hot.select("cell"), "cell").groupBy("rep").agg(F.array_sort(F.collect_set("cell")).alias("big")), "in-large-cells")
+
+    # small cells send on pairs of ids, which then meet their vectors once each
+    spread = filed.join(big, "rep", "left").select("rep", "big", F.explode("keys").alias("cell")).where("big is null or not array_contains(big, cell)")
+    pairs = spread.select("cell", "rep", "big").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _small_cells(b, small), "a bigint, b bigint").distinct()
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("v").alias(f"v{x}"), F.col("mult").alias(f"m{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "ma", "mb").mapInArrow(lambda b: _close_pairs(b, threshold), "rep bigint, n bigint, low bigint")
+
+    # large cells get the vectors, in blocks; a pair counts in the least large cell it shares
+    placed = big.join(classes.select("rep", "label", "mult", "v"), "rep").withColumn("cell", F.explode("big")).join(hot, "cell")
+    block = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("k")).cast("int")
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    placed = placed.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "mult", F.col("big").alias("keys"), "v")
     grouped = placed.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
 
     def compare(batches):
@@ -195,8 +248,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, p
                 if b - a < 2 or len(set(sizes[a:b])) > 1:
                     continue
                 d = sizes[a]
-                m = _unit(flat[start[a] : start[b]].reshape(b - a, d))
-                keys = kflat[kstart[a] : kstart[b]].reshape(b - a, -1)
+                m = _unit(flat[start[a] : start[b]].reshape(b - a, d).astype(np.float64))
+                held_keys = np.diff(kstart[a : b + 1])
+                keys = np.full((b - a, held_keys.max()), np.iinfo(np.int64).max)  # no cell: meets only what is no cell
+                keys[np.repeat(np.arange(b - a), held_keys), np.arange(held_keys.sum()) - np.repeat(np.cumsum(held_keys) - held_keys, held_keys)] = kflat[kstart[a] : kstart[b]]
                 cell, lo, hi = at[:, a]
                 found = _group_links(rep[a:b], label[a:b], mult[a:b], keys, blocks[a:b], m, cell, lo != hi, threshold)
                 if found:
@@ -222,7 +277,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, p
         if held:
             yield from solve(held)
 
-    links = materialise(grouped.mapInArrow(compare, "rep bigint, n bigint, low bigint"), "links")
+    links = materialise(grouped.mapInArrow(compare, "rep bigint, n bigint, low bigint").unionByName(near), "links")
     sums = links.groupBy("rep").agg(F.sum("n").alias("n"))
     found = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     reps = classes.select("label", "h1", "h2", "rep", "mult").join(sums, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")

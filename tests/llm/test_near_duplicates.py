@@ -191,7 +191,8 @@ def brute_vectors(rows, threshold=0.93):
     return components([i for i in ids if i is not None], links), links
 
 
-def test_near_vectors_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 16, 1000])
+def test_near_vectors_against_brute_force(spark, monkeypatch, small):
     rng = np.random.default_rng(4)
     rows, k = [], 0
     for _ in range(40):
@@ -204,7 +205,7 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     rows += [(900, rows[0][1], rows[0][2]), (901, rows[0][1], None), (902, None, 1), (903, [0.0] * 32, 1), (904, [float("nan")] * 32, 1), (905, [1.0, None] * 16, 1), (906, [1e200] * 32, 1), (907, [1e300] * 32, 1), (908, [2.0] * 5, 1), (909, [], 1)]
     monkeypatch.setattr(lattice_dedup, "BLOCK", 16)
     df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, rows[0][1], 1, "x")], "vec_id bigint, embedding array<double>, label int, n_links string")
-    out = {r["vec_id"]: r for r in lattice_dedup.near_vectors(df.repartition(3)).collect()}
+    out = {r["vec_id"]: r for r in lattice_dedup.near_vectors(df.repartition(3), small=small).collect()}
     assert out.pop(None)["component_id"] is None
     want, links = brute_vectors(rows)
     counts = {i: 0 for i in want}
