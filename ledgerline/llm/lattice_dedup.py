@@ -3,7 +3,8 @@
 A unit vector is projected at random to eight dimensions in each of ``tables`` tables and decoded to the
 nearest point of the E8 lattice. It is filed under that cell and the ``probes`` neighbouring cells nearest to
 it. Vectors that meet in a cell are compared by their cosine in double precision. Cells of at most ``SMALL``
-vectors get ids only and send on their few pairs, whose vectors are fetched once a pair. Larger cells get the
+vectors get ids with 16-byte sketches only, whose distance rules out most pairs without loss, and send on the
+pairs left, whose vectors are fetched once a pair. Larger cells get the
 vectors: a pair that meets in several of them counts in the least, which both vectors' lists of large cells tell,
 so they send on only sums per vector and never pairs. Cells of more than ``BLOCK`` vectors are cut into blocks, and
 each two blocks meet in a group of their own: any cell is handled whole, in pieces of bounded size.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, table
 
 BLOCK = 2_048
+SKETCH = 16  # bytes
 SMALL = 16  # most vectors of a cell that sends on pairs of ids
 HOT_BROADCAST = 100_000
 
@@ -86,6 +88,20 @@ def cell_keys(vectors: np.ndarray, labels: np.ndarray, tables: int, probes: int,
     return np.concatenate(out, 1)
 
 
+def sketches(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """(n, ``SKETCH``) bytes of unit vectors: their part in a random subspace, rounded."""
+    n, d = vectors.shape
+    basis = np.linalg.qr(np.random.default_rng((seed, 99, d)).normal(size=(d, min(d, SKETCH))))[0]
+    out = np.zeros((n, SKETCH), np.int8)
+    out[:, : basis.shape[1]] = np.rint(vectors @ basis * 127)
+    return out
+
+
+def sketch_bound(threshold: float) -> float:
+    """No two unit vectors of at least this cosine have sketches further apart: projecting shortens, rounding adds half a unit a side."""
+    return 127 * np.sqrt(max(2 - 2 * threshold, 0)) + np.sqrt(SKETCH) + 1e-6
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     values = values / np.abs(values).max(1, keepdims=True)
     return values / np.sqrt((values * values).sum(1, keepdims=True))
@@ -137,10 +153,10 @@ def _group_links(ids, labels, mult, keys, blocks, vectors, cell: int, between: b
     return ids[linked], count[linked].astype(np.int64), order[low[linked]]
 
 
-def _small_cells(batches, most: int):
-    """Pairs of reps that meet in a cell, of rows (cell, rep, big) sorted by cell, in cells of at most ``most`` rows.
+def _small_cells(batches, most: int, bound: float):
+    """Pairs of reps that meet in a cell, of rows (cell, rep, s1, s2, big) sorted by cell, in cells of at most ``most`` rows.
 
-    Pairs that also meet in a large cell are left to it.
+    Pairs whose sketches are too far apart are none; pairs that also meet in a large cell are left to it.
     """
     tail: pa.RecordBatch | None = None
     for batch in itertools.chain(batches, [None]):
@@ -155,12 +171,15 @@ def _small_cells(batches, most: int):
         end = len(cell) if last else int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on
         if not last:
             tail = batch.slice(end)
+        sketch = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2")], 1).view(np.int8)
         has_big = batch.column("big").is_valid().to_numpy(zero_copy_only=False)
         out = []
         for k in range(1, most):
             i = np.flatnonzero(cell[: max(end - k, 0)] == cell[k:end])
             if not len(i):
                 break
+            apart = sketch[i].astype(np.float32) - sketch[i + k]
+            i = i[(apart * apart).sum(1) <= bound * bound]
             both = has_big[i] & has_big[i + k]
             if both.any():
                 big = batch.column("big")
@@ -206,18 +225,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = 5, p
     def file(batches):
         for batch in batches:
             for at, matrix in _matrices(batch, "v"):
-                keys = cell_keys(_unit(matrix), batch.column("label").to_numpy()[at], tables, probes, scale, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[at]), lists(keys)], names=["rep", "keys"])
+                unit = _unit(matrix)
+                keys = cell_keys(unit, batch.column("label").to_numpy()[at], tables, probes, scale, seed)
+                sketch = sketches(unit, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[at]), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), lists(keys)], names=["rep", "s1", "s2", "keys"])
 
-    filed = materialise(classes.select("rep", "label", "v").mapInArrow(file, "rep bigint, keys array<bigint>").select("rep", F.array_distinct("keys").alias("keys")), "cells")
+    filed = materialise(classes.select("rep", "label", "v").mapInArrow(file, "rep bigint, s1 bigint, s2 bigint, keys array<bigint>").select("rep", "s1", "s2", F.array_distinct("keys").alias("keys")), "cells")
     hot = filed.select(F.explode("keys").alias("cell")).groupBy("cell").count().where(F.col("count") > small)
     hot = materialise(hot.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "large-cells")
     hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
     big = materialise(filed.select("rep", F.explode("keys").alias("cell")).join(hot.select("cell"), "cell").groupBy("rep").agg(F.array_sort(F.collect_set("cell")).alias("big")), "in-large-cells")
 
     # small cells send on pairs of ids, which then meet their vectors once each
-    spread = filed.join(big, "rep", "left").select("rep", "big", F.explode("keys").alias("cell")).where("big is null or not array_contains(big, cell)")
-    pairs = spread.select("cell", "rep", "big").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _small_cells(b, small), "a bigint, b bigint").distinct()
+    spread = filed.join(big, "rep", "left").select("rep", "s1", "s2", "big", F.explode("keys").alias("cell")).where("big is null or not array_contains(big, cell)")
+    pairs = spread.select("cell", "rep", "s1", "s2", "big").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _small_cells(b, small, sketch_bound(threshold)), "a bigint, b bigint").distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("v").alias(f"v{x}"), F.col("mult").alias(f"m{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "ma", "mb").mapInArrow(lambda b: _close_pairs(b, threshold), "rep bigint, n bigint, low bigint")
 

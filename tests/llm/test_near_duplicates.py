@@ -219,6 +219,16 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, small):
     assert out[906]["component_id"] == out[907]["component_id"] == 906
 
 
+@pytest.mark.parametrize("d", [3, 16, 64])
+def test_sketches_lose_no_close_pair(d):
+    rng = np.random.default_rng(d)
+    a = rng.normal(size=(3000, d))
+    b = a + rng.normal(size=a.shape) * rng.choice([0.01, 0.2, 0.35, 0.6], (3000, 1)) * np.linalg.norm(a, axis=1, keepdims=True) / np.sqrt(d)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    far = np.linalg.norm(lattice_dedup.sketches(a, 1).astype(float) - lattice_dedup.sketches(b, 1), axis=1)
+    assert (far[(a * b).sum(1) >= 0.93] <= lattice_dedup.sketch_bound(0.93)).all()
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(9)
     rows = []
