@@ -1,31 +1,37 @@
 """Near-duplicate documents by an exact Jaccard self-join on word shingles (T-occurrence search, DivideSkip).
 
-Two sets of n1 and n2 shingles link when they share at least T = ceil(t/(1+t) * (n1+n2)) shingles. As in
-DivideSkip, inverted lists are divided: the shingles with the *longest* lists come last in the order of all
-shingles. A document is filed under the first n - ceil(t*n) + 1 shingles of its set in that order; two linked
-documents share at least one of these, so only documents that are almost wholly made of long-list shingles
-are filed under any. The order changes the work, never the result.
-
-* Short lists (at most ``LONG`` documents) give candidate pairs, pruned by length.
-* Documents that share a long list are put into clusters; all pairs of a cluster are compared in blocks of
-  bounded size.
-
-A comparison merges the short lists of its documents by counting, keeps pairs that can still reach T with
-their long lists, and probes those. Counts are exact, on 64-bit shingle hashes.
-
-Documents with equal sets are collapsed to one before. What is broadcast has a fixed bound: at most
-``HOT_TOKENS`` long-list shingles, and a Bloom filter of ``FILTER_BITS`` bits that spares texts without
-candidates the shuffle (exact joins follow). Blocks and short lists send on spanning links, never all pairs.
+Two sets of n1 and n2 shingles link when they share at least T = ceil(t/(1+t) * (n1+n2)) shingles. Sets are hashed
+once, written, and read from there. As in DivideSkip the inverted lists are divided:
+
+* Shingles with more than ``LONG`` documents have *long lists*. They are marked in a bit filter of fixed greatest
+  size; a false mark only makes a short list count as long. A set is filed under the first n - ceil(t*n) + k of its
+  shingles, long lists last, so linked sets share at least k filed shingles (k = ``needed``).
+* *Short lists* send their ids to the sets on them. Each set merges its lists with a heap (MergeSkip): what comes
+  on fewer lists than needed is skipped by bisection. A pair needs k common short lists. If both sets have filed
+  all their short lists, it needs T less what the smaller number of long ones could still add, as these are counted
+  in full; so documents that share a passage, but not enough, are no candidates, and their number does not grow with
+  the square of a passage's spread.
+* The long lists of a candidate pair are then *probed* by binary search in the other set; counts are exact, on
+  64-bit shingle hashes.
+* Only sets whose long lists alone can reach T may link without a short list. On each long list they are first
+  compared with the list's head. Those that this leaves in different components are compared in blocks of bounded
+  size, blocks of one component with none of their own. Near copies of one text thus cost about one comparison each.
+
+Documents with equal sets are collapsed to one before. What is broadcast is the filter and has a fixed bound.
+Lists send on spanning links, never all pairs of a long list.
 
 Defined results: words are runs of characters other than space and tab to CR (bytes 9 to 13), A-Z lower-cased.
 Fewer words than ``words`` make one shingle. Null, empty and blank texts have no shingles, and link with
 nothing. Equal sets always link. Rows with null doc_id link with nothing and have a null component. Rows that
-share a doc_id share its component; each keeps its own n_shingles.
+share a doc_id are one node with all their texts' links, and share its component; each keeps its own n_shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, table
 
 LONG = 32
-HOT_TOKENS = 1 << 17
-FILTER_BITS = 1 << 26
+LOW = 0.4  # share of the hash range in which all lists are counted; most sets are filed there
+MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
 SHARE = 6
 BUCKET_POSTINGS = 400_000
 MOST_BUCKETS = 1 << 20
+BROADCAST_CLASSES = 200_000
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -77,10 +84,6 @@ def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _pack(keys: np.ndarray) -> bytes:
     """48-bit keys as six bytes each."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -92,19 +95,68 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def long_lists(docs: DataFrame, buckets: int, words: int) -> np.ndarray:
-    """Keys (first 48 bits) of the shingles with the longest inverted lists, sorted; at most ``HOT_TOKENS``.
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("hashes").to_pylist()]
+
+
+class Marks:
+    """Marked 48-bit keys in a bit filter, two bits a key; without any, nothing is marked."""
+
+    def __init__(self, words: np.ndarray | None = None) -> None:
+        self.words = words
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        other = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        return (keys % np.uint64(bits)).astype(np.int64), (other % np.uint64(bits)).astype(np.int64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        if self.words is None:
+            return np.zeros(len(keys), bool)
+        x, y = self.places(keys, 32 * len(self.words))
+        return ((self.words[x >> 5] >> (x & 31).astype(np.uint32)) & (self.words[y >> 5] >> (y & 31).astype(np.uint32)) & 1).astype(bool)
+
+
+def marks_of(keys: DataFrame) -> Marks:
+    """The filter of the column ``key``; about 16 bits a key, up to ``MOST_FILTER_BITS`` in all."""
+    n = keys.count()
+    if not n:
+        return Marks()
+    bits = min(MOST_FILTER_BITS, 1 << max(15, (16 * n - 1).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            x = np.concatenate(Marks.places(batch.column("key").to_numpy().astype(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((x >> 5).astype(np.int32)), pa.array(np.left_shift(1, x & 31))], names=["word", "mask"])
+
+    found = keys.mapInArrow(place, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = np.zeros(bits // 32, np.uint32)
+    words[found["word"]] = found["mask"].to_numpy().astype(np.uint64).astype(np.uint32)
+    return Marks(words)
+
+
+def _low(hashes: np.ndarray) -> int:
+    return int(np.searchsorted(hashes, np.uint64(int(LOW * 2**64))))
+
+
+def long_keys(sets: DataFrame, buckets: int, percent: int, known=None) -> DataFrame:
+    """Keys (first 48 bits) of the long lists, counted over all documents.
 
-    Shingles of the lower half of the hash range are counted, over all documents; only they come early in
-    the order of shingles.
+    Without ``known`` those of the low part of the hash range. With it (a broadcast ``Marks`` of these) those of
+    the rest, over the sets that have too few short lists in the low part and so are filed beyond it.
     """
 
+    def part(h: np.ndarray) -> np.ndarray:
+        at = _low(h)
+        if known is None:
+            return h[:at]
+        return h[at:] if at - int(known.value.holds(h[:at] >> np.uint64(16)).sum()) < filed_under(len(h), percent) else h[:0]
+
     def count(batches):
         for batch in batches:
-            found = [h[: np.searchsorted(h, np.uint64(1 << 63))] for h in (shingle_hashes(t, words) for t in _texts(batch))]
-            keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]) >> np.uint64(16), return_counts=True)
-            part = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int32)
-            rows = _by_bucket(part, np.argsort(part, kind="stable"))
+            keys, n = np.unique(np.concatenate([part(h) for h in _sets(batch)] or [np.zeros(0, np.uint64)]) >> np.uint64(16), return_counts=True)
+            to = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int32)
+            rows = _by_bucket(to, np.argsort(to, kind="stable"))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([_pack(keys[x]) for _, x in rows], pa.binary()),
                                               pa.array([np.minimum(n[x], 65_535).astype("<u2").tobytes() if (n[x] > 1).any() else b"" for _, x in rows], pa.binary())], names=["bucket", "keys", "n"])
 
@@ -117,13 +169,10 @@ def long_lists(docs: DataFrame, buckets: int, words: int) -> np.ndarray:
                 if len(parts) > 64:  # sums so far
                     parts = [_sum(parts)]
             keys, n = _sum(parts)
-            keep = n > LONG
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > LONG].astype(np.int64))], names=["key"])
 
-    counted = (docs.select("text").mapInArrow(count, "bucket int, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-               .mapInArrow(merge, "key bigint, n bigint"))
-    hot = counted.orderBy(F.desc("n"), "key").limit(HOT_TOKENS).select("key").toPandas()
-    return np.sort(hot["key"].to_numpy().astype(np.uint64))
+    return (sets.select("hashes").mapInArrow(count, "bucket int, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(merge, "key bigint"))
 
 
 def _by_bucket(part: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -165,20 +214,57 @@ def needed(n):
     return np.maximum(1, -(-n * SHARE // 100))
 
 
-def filing_keys(hashes: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the shingles a set is filed under: the first in the order (long lists last, then by hash)."""
-    n = len(hashes)
-    keep = n - int(least_share(np.int64(n), percent)) + int(needed(np.int64(n)))
+def filed_under(n: int, percent: int) -> int:
+    """How many of its n shingles a set is filed under."""
+    return n - int(least_share(np.int64(n), percent)) + int(needed(np.int64(n))) if n else 0
+
+
+def filing_keys(hashes: np.ndarray, marks: Marks, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the shingles a set is filed under (long lists last, then by hash), and its number of long lists.
+
+    The number is -1 if short lists are left that it is not filed under.
+    """
+    keep = filed_under(len(hashes), percent)
     keys = hashes >> np.uint64(16)
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
-        if is_hot[:keep].any():
-            keys = np.concatenate([keys[~is_hot], keys[is_hot]])
-    return np.unique(keys[:keep])
+    long = marks.holds(keys)
+    held = int(long.sum())
+    if long[:keep].any():
+        keys = np.concatenate([keys[~long], keys[long]])
+    return np.unique(keys[:keep]), held if len(hashes) - held <= keep else -1
 
 
-def t_occurrence(sets: list[np.ndarray], percent: int, among: np.ndarray | None = None, cut: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs i < j of a bounded number of sets, by DivideSkip; ``among`` gives sides that must differ.
+def merge_skip(lists: list[list[int]], least: int):
+    """(id, count) of the ids on at least ``least`` of the sorted lists, by a heap of the lists' heads.
+
+    Where the smallest id is on too few, least - 1 lists skip by bisection to what the others hold next.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapify(heap)
+    while len(heap) >= least:
+        top, out = heap[0][0], []
+        while heap and heap[0][0] == top:
+            out.append(heappop(heap)[1])
+        if len(out) >= least:
+            yield top, len(out)
+            for k in out:
+                at[k] += 1
+        else:
+            while heap and len(out) < least - 1:
+                out.append(heappop(heap)[1])
+            if not heap:
+                return
+            for k in out:
+                at[k] = bisect_left(lists[k], heap[0][0], at[k])
+        for k in out:
+            if at[k] < len(lists[k]):
+                heappush(heap, (lists[k][at[k]], k))
+
+
+def t_occurrence(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, part: np.ndarray | None = None, n: np.ndarray | None = None, held: np.ndarray | None = None, cut: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs i < j of a bounded number of sets, by DivideSkip.
+
+    ``side`` and ``part``, if given, must differ; with ``n`` and ``held`` the smaller number held must reach T.
 
     Short lists (up to ``cut`` sets) are merged by counting. A pair goes on if its count could reach T when
     the shorter of the sets' long lists all held both; then its long lists are probed.
@@ -204,14 +290,17 @@ def t_occurrence(sets: list[np.ndarray], percent: int, among: np.ndarray | None
     member = np.zeros((m, len(long)), bool)
     for column, k in enumerate(long):
         member[owner[starts[k] : starts[k] + lengths[k]], column] = True
-    held = member.sum(1)
+    probed = member.sum(1)
     i, j = np.triu_indices(m, 1)
     both = sizes[i] + sizes[j]
-    able = (100 + percent) * (counts[i * m + j] + np.minimum(held[i], held[j])) >= percent * both
+    able = (100 + percent) * (counts[i * m + j] + np.minimum(probed[i], probed[j])) >= percent * both
     able &= sizes[i] > 0
     able &= sizes[j] > 0
-    if among is not None:
-        able &= among[i] != among[j]
+    for x in (side, part):
+        if x is not None:
+            able &= x[i] != x[j]
+    if held is not None:
+        able &= (100 + percent) * np.minimum(held[i], held[j]) >= percent * (n[i] + n[j])
     i, j, both = i[able], j[able], both[able]
     shared = counts[i * m + j].astype(np.int64)
     for at in range(0, len(i), 4_096):
@@ -237,125 +326,148 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return ids[moved], names[low[moved]]
 
 
-def _bucket_links(batches, percent: int):
-    """Candidates of each bucket of postings: (a, b, dense, keys shared here, keys needed in all)."""
-    for _, own in _buckets(batches, ["keys", "rep", "n"]):
+def _list_rows(batches, percent: int):
+    """What each set (``a``) gets from the lists of a bucket: (a, list, b, need), list -1 for a head of a long one.
+
+    ``need`` is the least number of short lists that link the pair. Lists are in order of set sizes, and a set gets
+    the ids after its own that are not too large.
+    """
+    for _, own in _buckets(batches, ["keys", "rep", "n", "held"]):
         keys = np.concatenate([_unpack(r[0]) for r in own])
         rep = np.concatenate([np.frombuffer(r[1], "<i8") for r in own])
-        n = np.concatenate([np.frombuffer(r[2], "<i4") for r in own]).astype(np.int64)
+        n, held = (np.concatenate([np.frombuffer(r[k], "<i4") for r in own]).astype(np.int64) for k in (2, 3))
         order = np.lexsort((rep, n, keys))
-        keys, rep, n = keys[order], rep[order], n[order]
+        keys, rep, n, held = keys[order], rep[order], n[order], held[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.append(start, len(keys)))
         run = np.repeat(np.arange(len(start)), length)
         size = length[run]
-        a, b, least = [], [], []
-        need = needed(n)
+        least = needed(n)
+        out = []
         live = np.flatnonzero((size > 1) & (size <= LONG))
-        for k in range(1, LONG):  # sets in a list are by length: once too long, all later ones are
-            live = live[(live + k < len(keys))]
+        for k in range(1, LONG):  # once a set is too large, all later ones are
+            live = live[live + k < len(keys)]
             live = live[run[live + k] == run[live]]
             live = live[n[live] * 100 >= percent * n[live + k]]
             if not len(live):
                 break
-            a.append(np.minimum(rep[live], rep[live + k]))
-            b.append(np.maximum(rep[live], rep[live + k]))
-            least.append(need[live])
-        out = []
-        if a:
-            out.append((*_counted(np.concatenate(a), np.concatenate(b), np.concatenate(least)), False))
-        # in a long list, sets whose lengths follow each other closely enough form a chain
-        chain = np.flatnonzero((size > LONG) & np.append(run[1:] == run[:-1], False))
-        if len(chain):
-            chain = chain[n[chain] * 100 >= percent * n[chain + 1]]
-            head = np.ones(len(keys), bool)
-            head[chain + 1] = False
-            head = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
-            x, y = rep[head[chain + 1]], rep[chain + 1]
-            out.append((*_counted(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)), True))
-        for x, y, shared, least, dense in out:
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), dense)), pa.array(shared), pa.array(least)], names=["a", "b", "dense", "shared", "need"])
-
-
-def _counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs with their numbers of occurrences and their (common) need; a pair of one node goes."""
-    order = np.lexsort((b, a))
-    order = order[a[order] != b[order]]
-    a, b, need = a[order], b[order], need[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return a[first], b[first], np.diff(np.append(first, len(a))), need[first]
-
-
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (two bits an id) of the column ``id`` as 32-bit words."""
-    bits = F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(FILTER_BITS))))
-    words = (ids.select(bits.alias("bit")).select(F.shiftright("bit", 5).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(32)).cast("int")).alias("m"))
-             .groupBy("word").agg(F.bit_or("m").alias("m")).toPandas())
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"]] = words["m"].to_numpy().astype(np.uint64).astype(np.uint32)
-    return out
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ``ids`` (id, distinct): filtered before the shuffle, then joined exactly."""
-    words = docs.sparkSession.sparkContext.broadcast(_filter_words(ids))
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("b1"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FILTER_BITS)).alias("b2"))
-
-    def keep(batches):
-        w = words.value
+            x, y = live, live + k
+            both = np.minimum(held[x], held[y])
+            need = np.where(both >= 0, np.maximum(1, -(-(n[x] + n[y]) * percent // (100 + percent)) - both), least[x])
+            out.append((rep[x], run[x], rep[y], need))
+        # on a long list, sets that their long lists may link form chains of not too different sizes
+        able = np.flatnonzero((size > LONG) & (held >= least_share(n, percent)))
+        # of two such sets the long lists of the smaller must reach T for its own size at least
+        strong = (100 + percent) * held[able] >= 2 * percent * n[able]
+        before = np.maximum.accumulate(np.where(strong, np.arange(len(able)), -1)) if len(able) else able
+        lead = able[np.maximum(before, 0)] if len(able) else able
+        able = able[strong | (before >= 0) & (run[lead] == run[able]) & (n[lead] * 100 >= percent * n[able])]
+        if len(able) > 1:
+            joined = (run[able[1:]] == run[able[:-1]]) & (n[able[:-1]] * 100 >= percent * n[able[1:]])
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~joined]), np.arange(len(able)), 0))
+            member = np.flatnonzero(head != np.arange(len(able)))
+            out.append((rep[able[member]], np.full(len(member), -1), rep[able[head[member]]], np.zeros(len(member), np.int64)))
+        if out:
+            a, ls, b, need = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ls.astype(np.int32)), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "list", "b", "need"])
+
+
+def _merge_lists(batches):
+    """Candidate pairs (a, b, dense) of rows (a, list, b, need) sorted by a, list and b."""
+    tail = None
+    for batch in itertools.chain(batches, [None]):
+        cols = None if batch is None else [batch.column(c).to_numpy() for c in ("a", "list", "b", "need")]
+        if tail is not None:
+            cols = tail if cols is None else [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+        if cols is None or not len(cols[0]):
+            continue
+        a, ls, b, need = cols
+        end = len(a) if batch is None else int(np.searchsorted(a, a[-1], "left"))  # the last set may go on
+        tail = None if batch is None else [x[end:] for x in cols]
+        found: list[tuple[int, int, bool]] = []
+        edges = np.append(np.flatnonzero(np.concatenate([[True], a[1:end] != a[: end - 1]])), end) if end else [0]
+        for i, j in itertools.pairwise(edges):
+            own, own_lists, own_need = b[i:j], ls[i:j], need[i:j]
+            heads = int(np.searchsorted(own_lists, 0))
+            found += [(int(a[i]), int(x), True) for x in np.unique(own[:heads])]
+            own, own_lists, own_need = own[heads:], own_lists[heads:], own_need[heads:]
+            if not len(own):
+                continue
+            cuts = np.flatnonzero(own_lists[1:] != own_lists[:-1]) + 1
+            least = int(own_need.min())
+            if len(cuts) + 1 < least:
+                continue
+            wanted = dict(zip(own.tolist(), own_need.tolist(), strict=True))
+            found += [(int(a[i]), x, False) for x, count in merge_skip([x.tolist() for x in np.split(own, cuts)], least) if count >= wanted[x]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.bool_())], names=["a", "b", "dense"])
+
+
+def probe(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sorted sets share: those of the smaller are probed for in the larger by binary search."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of candidate pairs (a, b); heads of long lists, which are in many pairs, are ``b`` and joined first, in rows without sets."""
+
+    def check(batches):
         for batch in batches:
-            b1, b2 = batch.column("b1").to_numpy(), batch.column("b2").to_numpy()
-            passed = ((w[b1 >> 5] >> (b1 & 31).astype(np.uint32)) & (w[b2 >> 5] >> (b2 & 31).astype(np.uint32)) & 1).astype(bool)
-            yield batch.select(["doc_id", "text"]).filter(pa.array(passed))
+            linked = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                linked[k] = (100 + percent) * probe(x, y) >= percent * (len(x) + len(y))
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    found = marked.mapInArrow(keep, "doc_id bigint, text string")
-    return found.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
+    b = sets.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
+    a = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "hb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The linked ones of candidate pairs (a, b), compared set by set."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+def _verify_rest(clusters: DataFrame, components: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links between sets of a cluster (node, component) that ``components`` (node, component) leaves apart.
 
-    def check(batches):
-        for batch in batches:
-            out = []
-            known: tuple = (None, None)
-            for x, y, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary()), strict=True):
-                if known[0] != y:
-                    known = (y, shingle_hashes(tb.as_py(), words))
-                i, _ = t_occurrence([shingle_hashes(ta.as_py(), words), known[1]], percent)
-                if len(i):
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
-
-
-def _verify_clusters(clusters: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Spanning links of the linked pairs inside clusters (node, component), compared block by block."""
-    sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
-    placed = (clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("k")).cast("int"))
-              .join(texts, F.col("node") == F.col("doc_id"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-              .select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "text"))
-    grouped = placed.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    A component of more than ``BLOCK`` sets has blocks of its own, others share blocks; each two blocks meet but those
+    of one component. Only pairs whose long lists can reach T are compared, all others have met on short lists.
+    """
+    member = (clusters.select("node", F.col("component").alias("cluster")).join(components.withColumnRenamed("component", "part"), "node", "left")
+              .withColumn("part", F.coalesce("part", "node")))
+    sizes = member.groupBy("cluster", "part").agg(F.count("*").alias("m"))
+    apart = sizes.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("loose")).where("parts > 1")
+    own = F.when(F.col("m") >= BLOCK, F.col("part")).otherwise(F.lit(-1))
+    count = F.ceil(F.when(F.col("m") >= BLOCK, F.col("m")).otherwise(F.col("loose")) / BLOCK)
+    of = sizes.join(apart, "cluster").withColumns({"own": own, "k": count})
+    blocks = of.select("cluster", "own", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("i")).distinct()
+    placed = member.join(of.select("cluster", "part", "own", "k"), ["cluster", "part"]).join(facts, F.col("node") == F.col("rid")).drop("rid")
+    mine = F.when(F.col("own") >= 0, F.col("node")).otherwise(F.col("part"))
+    placed = placed.withColumn("i", F.pmod(F.xxhash64(mine, F.lit(9)), F.col("k")).cast("int"))
+    other = blocks.groupBy("cluster").agg(F.collect_list(F.struct("own", "i")).alias("others"))
+    met = placed.join(other, "cluster").withColumn("other", F.explode("others")).where("own < 0 or own <> other.own")
+    here = F.struct("own", "i")
+    met = met.select("cluster", F.least(here, "other").alias("lo"), F.greatest(here, "other").alias("hi"), "own", "i", "part", "n", "held", "node")
+    keys = ["cluster", "lo_own", "lo_i", "hi_own", "hi_i"]
+    flat = (met.join(sets.select(F.col("rid").alias("node"), "hashes"), "node")
+            .select("cluster", F.col("lo.own").alias("lo_own"), F.col("lo.i").alias("lo_i"), F.col("hi.own").alias("hi_own"), F.col("hi.i").alias("hi_i"), "own", "i", "part", "n", "held", "node", "hashes"))
+    grouped = flat.repartition(*keys).sortWithinPartitions(*keys)
 
     def solve(key, rows):
         ids = np.array([r[0] for r in rows], np.int64)
-        i, j = t_occurrence([r[2] for r in rows], percent, np.array([r[1] for r in rows]) if key[1] != key[2] else None)
-        a, b = _forest(ids, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        part, n, held = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        side = np.array([hash(r[4]) for r in rows]) if key[1:3] != key[3:5] else None
+        i, j = t_occurrence([r[5] for r in rows], percent, side, part, n, held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(ids, i, j)], names=["a", "b"])
 
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            for c, lo, hi, block, node, text in zip(*(batch.column(x).to_pylist() for x in ("component", "lo", "hi", "block", "node")), batch.column("text").cast(pa.binary()), strict=True):
-                if key != (c, lo, hi):
+            for *at, own, i, part, n, held, node, hashes in zip(*(batch.column(x).to_pylist() for x in (*keys, "own", "i", "part", "n", "held", "node", "hashes")), strict=True):
+                if key != tuple(at):
                     if len(rows) > 1:
                         yield solve(key, rows)
-                    key, rows = (c, lo, hi), []
-                rows.append((node, block, shingle_hashes(text.as_py(), words)))
+                    key, rows = tuple(at), []
+                rows.append((node, part, n, held, (own, i), np.frombuffer(hashes, np.uint64)))
         if len(rows) > 1:
             yield solve(key, rows)
 
@@ -365,53 +477,65 @@ def _verify_clusters(clusters: DataFrame, texts: DataFrame, percent: int, words:
 def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, ``text``)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, 1 << max(5, int(chars / 25 / BUCKET_POSTINGS)).bit_length())  # a posting for some 25 characters
-    hot = spark.sparkContext.broadcast(long_lists(docs.where("text is not null"), buckets, words))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+
+    def hash_sets(batches):
+        for batch in batches:
+            found = [shingle_hashes(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            blobs = [h.tobytes() or None for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array([len(h) for h in found], pa.int64()), pa.array([b and hashlib.blake2b(b, digest_size=16).digest() for b in blobs], pa.binary()), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "n", "digest", "hashes"])
+
+    # written once, so each row keeps its number
+    rows = materialise(docs.mapInArrow(hash_sets, "doc_id bigint, rid bigint, n bigint, digest binary, hashes binary"), "sets")
+    sets = rows.where("digest is not null and doc_id is not null")
+    buckets = min(MOST_BUCKETS, 1 << max(5, int((sets.agg(F.sum("n")).first()[0] or 0) * 0.26 / BUCKET_POSTINGS).bit_length()))
+    low = materialise(long_keys(sets, buckets, percent), "long")
+    low_marks = spark.sparkContext.broadcast(marks_of(low))
+    rest = materialise(long_keys(sets, buckets, percent, low_marks), "long")
+    marks = spark.sparkContext.broadcast(marks_of(low.unionByName(rest).distinct()))
 
     def file(batches):
         for batch in batches:
-            rows = []
-            for t in _texts(batch):
-                h = shingle_hashes(t, words)
-                d = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-                rows.append((len(h), d, _pack(filing_keys(h, hot.value, percent)) if len(h) else None))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n", "digest", "keys"])
+            found = [filing_keys(h, marks.value, percent) for h in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "n", "digest")), pa.array([h for _, h in found], pa.int64()), pa.array([_pack(k) for k, _ in found], pa.binary())], names=["doc_id", "rid", "n", "digest", "held", "keys"])
 
-    filed = materialise(docs.mapInArrow(file, "doc_id bigint, n bigint, digest binary, keys binary"), "filed")
-    sets = filed.where("digest is not null and doc_id is not null")
-    classes = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("c"))
+    filed = sets.mapInArrow(file, "doc_id bigint, rid bigint, n bigint, digest binary, held bigint, keys binary")
+    classes = materialise(filed.groupBy("digest").agg(F.min(F.struct("rid", "n", "held", "keys")).alias("c"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("digest", "least", "copies", "c.*"), "classes")
 
     def post(batches):
         for batch in batches:
-            reps, n, blobs = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy(), batch.column("keys").to_pylist()
-            keys = [_unpack(k) for k in blobs]
-            sizes = np.array([len(k) for k in keys], np.int64)
+            reps, n, held = (batch.column(c).to_numpy() for c in ("rid", "n", "held"))
+            keys = [_unpack(k) for k in batch.column("keys").to_pylist()]
+            row = np.repeat(np.arange(len(reps)), np.array([len(k) for k in keys], np.int64))
             keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
-            row = np.repeat(np.arange(len(reps)), sizes)
             part = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int64)
-            rows = _by_bucket(part, np.lexsort((reps[row], part)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([f(x) for _, x in rows], pa.binary()) for f in (
-                lambda x: _pack(keys[x]), lambda x: reps[row[x]].astype("<i8").tobytes(), lambda x: n[row[x]].astype("<i4").tobytes())]], names=["bucket", "keys", "rep", "n"])
-
-    posted = classes.select("c.*").mapInArrow(post, "bucket int, keys binary, rep binary, n binary")
-    found = (posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _bucket_links(b, percent), "a bigint, b bigint, dense boolean, shared bigint, need bigint")
-             .groupBy("a", "b", "dense").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("dense or shared >= need"))
-    found = materialise(found, "candidates")
-    clusters = connected_components(found.where("dense").select("a", "b"))
-    clusters = materialise(clusters, "clusters")
-    # what shares a long list and may link is in one cluster, so the other pairs' counts are complete
-    ca, cb = clusters.select(F.col("node").alias("a"), F.col("component").alias("ca")), clusters.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = found.where("not dense").select("a", "b").join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(clusters.select(F.col("node").alias("id"))).distinct()
-    texts = materialise(_texts_of(docs, ids).distinct(), "texts")
-    links = materialise(_verify_pairs(pairs, texts, percent, words).unionByName(_verify_clusters(clusters, texts, percent, words)), "links")
-    components = connected_components(links)
-    rep = classes.select("digest", F.col("c.doc_id").alias("rep")).join(components, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    own = sets.select("doc_id", "digest").join(rep, "digest").groupBy("doc_id").agg(F.min("component").alias("component"))
-    return (filed.select("doc_id", "n").join(own, "doc_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+            out = _by_bucket(part, np.lexsort((reps[row], part)))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *[pa.array([f(x) for _, x in out], pa.binary()) for f in (
+                lambda x: _pack(keys[x]), lambda x: reps[row[x]].astype("<i8").tobytes(), lambda x: n[row[x]].astype("<i4").tobytes(), lambda x: held[row[x]].astype("<i4").tobytes())]], names=["bucket", "keys", "rep", "n", "held"])
+
+    posted = classes.select("rid", "n", "held", "keys").mapInArrow(post, "bucket int, keys binary, rep binary, n binary, held binary")
+    received = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _list_rows(b, percent), "a bigint, list int, b bigint, need int")
+    found = materialise(received.repartition(buckets, "a").sortWithinPartitions("a", "list", "b").mapInArrow(_merge_lists, "a bigint, b bigint, dense boolean"), "candidates")
+    links = materialise(_verify_pairs(found.select("a", "b"), sets, percent), "links")
+    # a doc_id with several texts is one node
+    several = sets.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    nodes = sets.join(several, "doc_id").select("doc_id", "digest").join(classes.select("digest", "rid"), "digest")
+    ties = nodes.join(nodes.groupBy("doc_id").agg(F.min("rid").alias("b")), "doc_id").select(F.col("rid").alias("a"), "b")
+    links = materialise(links.unionByName(ties), "links")
+    components = materialise(connected_components(links), "components")
+    dense = found.where("dense").select("a", "b")
+    if not dense.isEmpty():
+        clusters = materialise(connected_components(dense), "clusters")
+        more = materialise(_verify_rest(clusters, components, classes.select("rid", "n", "held"), sets, percent), "links")
+        if not more.isEmpty():
+            components = materialise(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    # only classes with company need a lookup
+    known = classes.select("digest", "rid", "least", "copies").join(components, F.col("rid") == F.col("node"), "left").where("copies > 1 or component is not null")
+    known = known.select("digest", "least", F.coalesce("component", "rid").alias("component"))
+    known = materialise(known.join(known.groupBy("component").agg(F.min("least").alias("label")), "component").select("digest", "label"), "labels")
+    known = F.broadcast(known) if known.count() <= BROADCAST_CLASSES else known
+    return (rows.select("doc_id", "n", "digest").join(known, "digest", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

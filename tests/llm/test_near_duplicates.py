@@ -101,16 +101,75 @@ def test_t_occurrence_against_sets():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def marks(keys):
+    words = np.zeros(1 << 12, np.uint32)
+    for x in ngram_join.Marks.places(np.asarray(keys, np.uint64), 1 << 17):
+        np.bitwise_or.at(words, x >> 5, np.left_shift(1, x & 31).astype(np.uint32))
+    return ngram_join.Marks(words)
+
+
 def test_filing_shares_enough_keys():
     rng = np.random.default_rng(6)
-    for _ in range(200):
+    for _ in range(300):
         n = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * 2 + 1)
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.08], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))
-        hot = np.sort(rng.choice(a >> np.uint64(16), len(a) // 2))
+        m = marks(rng.choice(a >> np.uint64(16), int(len(a) * rng.choice([0.1, 0.5, 0.95]))))
         if len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-            shared = np.intersect1d(ngram_join.filing_keys(a, hot, 80), ngram_join.filing_keys(b, hot, 80))
+            (x, held_a), (y, held_b) = ngram_join.filing_keys(a, m, 80), ngram_join.filing_keys(b, m, 80)
+            shared = np.intersect1d(x, y)
             assert len(shared) >= ngram_join.needed(np.int64(min(len(a), len(b))))
+            if min(held_a, held_b) >= 0:  # short lists are counted in full
+                t = -(-(len(a) + len(b)) * 80 // 180)
+                assert (~m.holds(shared)).sum() >= t - min(held_a, held_b)
+            else:
+                assert (~m.holds(shared)).sum() >= ngram_join.needed(np.int64(min(len(a), len(b))))
+
+
+def test_merge_skip_against_counts():
+    rng = random.Random(8)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randrange(12))) for _ in range(rng.randrange(9))]
+        least = rng.randrange(1, 6)
+        counts = {x: sum(x in y for y in lists) for y in lists for x in y}
+        assert list(ngram_join.merge_skip(lists, least)) == sorted((x, n) for x, n in counts.items() if n >= least)
+
+
+def shared_passage(n, words=120, passage=60, seed=3):
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(passage)]
+    return [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range((words - passage) // 2)] + common + [f"w{rng.randrange(10**6)}" for _ in range((words - passage) // 2)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("share", [60, 100])
+def test_documents_that_share_a_passage_are_no_candidates(spark, monkeypatch, share):
+    seen = []
+    verify, rest = ngram_join._verify_pairs, ngram_join._verify_rest
+    monkeypatch.setattr(ngram_join, "_verify_pairs", lambda pairs, *x: seen.append(pairs.count()) or verify(pairs, *x))
+    monkeypatch.setattr(ngram_join, "_verify_rest", lambda clusters, *x: seen.append(clusters.count()) or rest(clusters, *x))
+    for n in (100, 400):
+        out = ngram_join.jaccard_components(spark.createDataFrame(shared_passage(n, passage=share), "doc_id bigint, text string").repartition(3))
+        assert out.where("doc_id <> component_id").count() == 0
+    assert seen == [0, 0]
+
+
+def test_large_group_of_near_copies_with_stragglers(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, edited(rng, base, rng.choice([0.002, 0.01, 0.02, 0.03]))) for i in range(150)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    sets = {i: words_set(t) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = components(sets, links)
+    assert 1 < len(set(want.values())) < 100
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
+def test_a_doc_id_with_several_texts_is_one_node(spark):
+    a, b = "a b c d e f", "g h i j k l"
+    out = ngram_join.jaccard_components(spark.createDataFrame([(10, a), (10, b), (1, a), (2, b), (3, "x")], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (2, 1), (3, 3), (10, 1), (10, 1)]
 
 
 DOCS = [(1, "the cat sat on the mat and the dog was in the garden by the wall"), (2, "short"), (5, None), (3, ""), (9, "| one | two | three | four | five"), (7, "The cat sat on the mat, and the dog was in the garden by the wall!"), (12, "é" * 30), (None, "null id")]
