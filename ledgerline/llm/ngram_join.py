@@ -410,6 +410,17 @@ def probe(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
+def _sets_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rid, hashes) of the sets in ``ids`` (key) and few others: what cannot be wanted is left out before the joins that decide."""
+    wanted = sets.sparkSession.sparkContext.broadcast(marks_of(ids.distinct()))
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds(batch.column("rid").to_numpy().astype(np.uint64))))
+
+    return sets.select("rid", "hashes").mapInArrow(keep, "rid bigint, hashes binary")
+
+
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The linked ones of candidate pairs (a, b); heads of long lists, which are in many pairs, are ``b`` and joined first, in rows without sets."""
 
@@ -421,8 +432,8 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked[k] = (100 + percent) * probe(x, y) >= percent * (len(x) + len(y))
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    b = sets.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
-    a = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
+    b = _sets_of(sets, pairs.select(F.col("b").alias("key"))).select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
+    a = _sets_of(sets, pairs.select(F.col("a").alias("key"))).select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "hb").mapInArrow(check, "a bigint, b bigint")
 
 
@@ -448,7 +459,8 @@ def _verify_rest(clusters: DataFrame, components: DataFrame, facts: DataFrame, s
     here = F.struct("own", "i")
     met = met.select("cluster", F.least(here, "other").alias("lo"), F.greatest(here, "other").alias("hi"), "own", "i", "part", "n", "held", "node")
     keys = ["cluster", "lo_own", "lo_i", "hi_own", "hi_i"]
-    flat = (met.join(sets.select(F.col("rid").alias("node"), "hashes"), "node")
+    wanted = member.join(apart, "cluster").select(F.col("node").alias("key"))
+    flat = (met.join(_sets_of(sets, wanted).withColumnRenamed("rid", "node"), "node")
             .select("cluster", F.col("lo.own").alias("lo_own"), F.col("lo.i").alias("lo_i"), F.col("hi.own").alias("hi_own"), F.col("hi.i").alias("hi_i"), "own", "i", "part", "n", "held", "node", "hashes"))
     grouped = flat.repartition(*keys).sortWithinPartitions(*keys)
 
