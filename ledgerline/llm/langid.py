@@ -10,7 +10,8 @@ Learning takes all labelled rows of a language up to ``max_docs`` of them (a doc
 fixed share chosen by a hash of doc_id and text). Scoring covers every word of every whole text.
 
 Defined results: null text, or text without a letter: ``und`` with score 0. Rows with null lang are not
-learned from. With nothing to learn from, everything is ``und``. Equal texts get equal results; ties between
+learned from. Of more than ``MAX_LANGUAGES`` values the most frequent are learned, so that the model's size has a
+bound. With nothing to learn from, everything is ``und``. Equal texts get equal results; ties between
 languages go to the first in alphabetical order. The score is the posterior probability under equal priors.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .lattice import VECTOR_BYTES, Vocabulary, backward, forward, lattice, load_vocabulary, word_edges, word_log_forward
+from .lattice import _UP, SCALE, VECTOR_BYTES, Vocabulary, backward, forward, lattice, load_vocabulary, word_edges, word_log_forward
 from .tokenizer import VOCABULARY, runs_of_bytes
 
 MAX_DOCS = 2_000  # labelled documents of a language that are learned from
@@ -66,9 +67,9 @@ def expected_counts(vocab: Vocabulary, words: list[bytes], weights: np.ndarray,
         lens, steps = lattice(vocab, [words[k] for k in part])
         alpha = forward(lens, steps, probs[:, None])[:, :, 0]
         beta = backward(lens, steps, probs)
-        per = weights[part] / np.maximum(alpha[np.arange(len(part)), lens], 1e-300)
+        per = weights[part] / alpha[np.arange(len(part)), lens]
         for x in steps:
-            out += np.bincount(x.ids, per[x.rows] * alpha[x.rows, x.start] * probs[x.ids] * beta[x.rows, x.ends], len(out))
+            out += np.bincount(x.ids, per[x.rows] * alpha[x.rows, x.start] * (probs[x.ids] * _UP[x.ends - x.start]) * beta[x.rows, x.ends], len(out))
     log_probs = np.log(probs)
     for k, word in enumerate(words):
         if len(word) > VECTOR_BYTES:
@@ -100,7 +101,7 @@ class LanguageModel:
             part = short[at : at + 20_000]
             lens, steps = lattice(self.vocab, [words[k] for k in part])
             alpha = forward(lens, steps, probs)
-            out[part] = np.log(np.maximum(alpha[np.arange(len(part)), lens], 1e-300))
+            out[part] = np.log(alpha[np.arange(len(part)), lens]) - (lens * np.log(SCALE))[:, None]
         for k, word in enumerate(words):
             if len(word) > VECTOR_BYTES:
                 out[k] = word_log_forward(self.vocab, word, self.log_probs)
@@ -114,9 +115,7 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel(vocab, [], np.zeros((vocab.size + 1, 0)))

@@ -15,6 +15,8 @@ import numpy as np
 MARKER = "▁"
 VECTOR_BYTES = 40  # longer words take the scalar walk
 FALLBACK_PENALTY = 10.0
+SCALE = 3e7  # per byte in sums over segmentations: with probabilities of 1e-12 to 1 none of up to VECTOR_BYTES bytes leaves a double's range
+_UP = SCALE ** np.arange(VECTOR_BYTES + 1)
 
 
 @dataclass
@@ -180,20 +182,20 @@ def lattice(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, list[Ste
 
 
 def forward(lens: np.ndarray, steps: list[Step], probs: np.ndarray) -> np.ndarray:
-    """Sum over all segmentations of the product of ``probs[id, k]``: alpha[row, end, k]."""
+    """Sum over all segmentations of the product of ``probs[id, k]``, times ``SCALE`` to the power of ``end``: alpha[row, end, k]."""
     alpha = np.zeros((len(lens), int(lens.max(initial=0)) + 1, probs.shape[1]))
     alpha[:, 0] = 1
     for x in steps:  # each (row, end) occurs once in a step, so += by index is safe
-        alpha[x.rows, x.ends] += alpha[x.rows, x.start] * probs[x.ids]
+        alpha[x.rows, x.ends] += alpha[x.rows, x.start] * (probs[x.ids] * _UP[x.ends - x.start, None])
     return alpha
 
 
 def backward(lens: np.ndarray, steps: list[Step], probs: np.ndarray) -> np.ndarray:
-    """The same from each start to the word's end, for one column of probabilities: beta[row, start]."""
+    """The same from each start to the word's end, for one column of probabilities: beta[row, start], scaled by the bytes passed."""
     beta = np.zeros((len(lens), int(lens.max(initial=0)) + 1))
     beta[np.arange(len(lens)), lens] = 1
     for x in reversed(steps):
-        beta[:, x.start] += np.bincount(x.rows, probs[x.ids] * beta[x.rows, x.ends], len(lens))
+        beta[:, x.start] += np.bincount(x.rows, probs[x.ids] * _UP[x.ends - x.start] * beta[x.rows, x.ends], len(lens))
     return beta
 
 

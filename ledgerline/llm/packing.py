@@ -1,11 +1,11 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents longer than the longest permitted length are cut into pieces of that length plus a remainder, so
-no token is dropped. Remainders are dealt over shards of a bounded number of documents; each shard packs its
-own, longest first: into the open bin that leaves the least room, else into a new bin of the length whose
-cost per token that can still be put into it is least. When a shard is done, each bin shrinks to the smallest
-permitted length that holds its contents. Shards only fix which documents may share a bin; every document of
-every shard is packed.
+no token is dropped. Remainders are dealt over shards of a bounded number of documents. The permitted lengths are
+chosen jointly: a shard is laid out with every mix of them, and the cheapest layout stays. In a layout pieces go,
+longest first, into the open bin that leaves the least room, else into a new bin of the length of the mix whose cost
+per token that can still be put into it is least; in the end each bin shrinks to the smallest permitted length that
+holds its contents. Shards only fix which documents may share a bin; every document of every shard is packed.
 
 Defined results: null or empty text is one row with no tokens and no bin. Ties in length go by doc_id, then by
 row. Null doc_ids and repeated rows are packed like any other row. An empty table gives no rows.
@@ -14,6 +14,7 @@ row. Null doc_ids and repeated rows are packed like any other row. An empty tabl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,30 @@ def pack_lengths(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES,
     return where, start, used, final, opened
 
 
+def cheapest_layout(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost=bin_cost):
+    """The layout (as of ``pack_lengths``) of least total cost over all mixes of capacities; ties go to the mix tried first, of more sizes."""
+    capacities = sorted(capacities)
+    longest = max(lengths, default=0)
+    best = None
+    for size in range(len(capacities), 0, -1):
+        for mix in combinations(capacities, size):
+            if mix[-1] < longest:
+                continue
+            where, start, used, _, opened = pack_lengths(lengths, mix, cost)
+            final = [next(c for c in capacities if c >= u) for u in used]
+            price = sum(map(cost, final))
+            if best is None or price < best[0] - 1e-9:
+                best = price, (where, start, used, final, opened)
+    return best[1]
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per bin: bin_id, capacity, bin_used and its parts in order (bin_start, doc_id, piece, piece_start, piece_tokens); padding is what is left."""
+    part = F.struct("bin_start", "doc_id", "piece", "piece_start", "piece_tokens")
+    return (packed.where("bin_id is not null").groupBy("bin_id", "capacity", "bin_used")
+            .agg(F.array_sort(F.collect_list(part)).alias("parts")))
+
+
 def best_fit_pack(docs: DataFrame, tokens: str = "n_tokens", capacities: Sequence[int] = CAPACITIES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Packs rows (doc_id, ``tokens``): one row per piece of a document, columns as in ``PACKED``."""
     capacities, longest = sorted(capacities), max(capacities)
@@ -82,7 +107,7 @@ def best_fit_pack(docs: DataFrame, tokens: str = "n_tokens", capacities: Sequenc
         whole, rest = n // longest, n % longest
         order = np.argsort(-rest, kind="stable")
         order = order[rest[order] > 0]
-        where, start, used, final, opened = pack_lengths(rest[order].tolist(), capacities)
+        where, start, used, final, opened = cheapest_layout(rest[order].tolist(), capacities)
         name = f"{int(key[0])}-"
         used_a, final_a, opened_a = (np.array(x, np.int64) for x in (used, final, opened))
         parts = [pd.DataFrame({"row": order, "piece": whole[order], "piece_start": whole[order] * longest, "piece_tokens": rest[order], "bin_no": where, "bin_start": start, "bin_used": used_a[where] if len(where) else where, "capacity": final_a[where] if len(where) else where, "opened_capacity": opened_a[where] if len(where) else where})]

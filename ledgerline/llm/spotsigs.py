@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +88,9 @@ def with_next(df: DataFrame, order: str, weight: Column, columns: list[str], pre
     """
     spark = df.sparkSession
     key = F.coalesce(F.col(order).cast("bigint"), F.lit(2**63 - 1))
-    low, high = df.agg(F.min(key), F.max(F.when(F.col(order).isNotNull(), key))).first()
-    low, high = low or 0, (high if high is not None else low) or 0
-    cell = F.coalesce(F.width_bucket(F.least(key, F.lit(high)).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(CELLS)), F.lit(1)).cast("int")
+    # cells lie between quantiles, so that a few ids far out do not put all others in one cell
+    low, high = df.select(F.percentile_approx(F.when(F.col(order).isNotNull(), key), [0.001, 0.999], 10_000).alias("q")).first()[0] or (0, 0)
+    cell = F.coalesce(F.width_bucket(key.cast("double"), F.lit(float(low)), F.lit(max(float(high) + 1, float(np.nextafter(float(high), np.inf)))), F.lit(CELLS)), F.lit(1)).cast("int")
     cell = F.when(F.col(order).isNull(), CELLS + 2).otherwise(cell)
     df = df.withColumns({"_cell": cell, "_key": key})
     histogram = df.groupBy("_cell").agg(F.sum(weight).alias("w"), F.min("_key").alias("k")).orderBy("_cell").collect()

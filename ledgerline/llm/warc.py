@@ -3,8 +3,8 @@
 ``write_warc`` gives each page a request, a response (or revisit) and a metadata record, tied by
 ``WARC-Concurrent-To``. Archives are gzip files in the WARC 1.1 layout, written by Spark's own text writer:
 a record's closing ``CRLF CRLF`` is the writer's line separator, so any file system that Spark writes to will
-do, and a lost task is simply written again. ``read_warc`` streams records out of archive files by their
-``Content-Length``, with one record in memory at a time. ``assemble`` joins request and metadata records to
+do, and a lost task is simply written again. Files hold about ``FILE_BYTES`` of payload. ``read_warc`` takes one archive
+file into memory at a time and streams its records by their ``Content-Length``. ``assemble`` joins request and metadata records to
 the response or revisit through concurrent-to identifiers, in whichever direction they point.
 
 Defined results: null html is the empty payload. Payloads shorter than ``min_revisit_bytes`` are always
@@ -28,6 +28,8 @@ from .common import fresh_path, materialise, table
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 6_000
+FILE_BYTES = 64e6
+BROADCAST_DIGESTS = 200_000
 
 RECORD = ("record_id string, warc_type string, target_uri string, warc_date string, concurrent_to array<string>, "
           "refers_to string, payload_digest string, content_type string, block_bytes bigint, payload_bytes bigint, "
@@ -55,8 +57,9 @@ def _uuid(*parts: Column) -> Column:
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes ``pages`` (page_id, url, html) as gzip WARC files below ``path``.
 
-    Only digests and ids are aggregated to find each payload's first capture; ``pages`` should be a table
-    read, whose partitions are the same each time it is scanned.
+    Only digests and ids are aggregated to find each payload's first capture, and what has copies is broadcast up to
+    ``BROADCAST_DIGESTS`` digests; beyond that the payloads are shuffled to meet it. ``pages`` should be a table read,
+    whose partitions are the same each time it is scanned.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", html.alias("html"), F.monotonically_increasing_id().alias("rid"))
@@ -65,6 +68,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date:
     first = (base.where(F.col("n") >= min_revisit_bytes).groupBy("digest")
              .agg(F.min(key).alias("first"), F.count("*").alias("copies"))
              .where("copies > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.rid").alias("first_rid")))
+    first = materialise(first, "digests")
+    first = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+    records_per_file = int(min(RECORDS_PER_FILE, max(3, 3 * FILE_BYTES / max(mean, 1.0))))
     made = base.join(first, "digest", "left")
     revisit = F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid"))
     made = made.withColumn("revisit", revisit)
@@ -87,7 +94,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 100, date:
                  F.when(F.col("revisit"), F.lit(f"WARC-Profile: {REVISIT_PROFILE}")), F.lit("Content-Type: application/http; msgtype=response")], answer),
         _record("metadata", [_header("WARC-Record-ID", part("metadata", "rid")), uri, when, _header("WARC-Concurrent-To", capture), F.lit("Content-Type: application/warc-fields")], facts))
     (made.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF)
-     .option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
 def _open(content: bytes):

@@ -196,6 +196,43 @@ def test_next_with_ties_nulls_one_row_and_none(spark):
     assert spotsigs.with_next(df.where("false"), "doc_id", spotsigs.F.lit(1), ["text"]).count() == 0
 
 
+def test_next_with_outlying_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_BYTES", 500)
+    ids = [*range(4000), 2**60, -(2**50)]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string").repartition(3)
+    led = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(df, "doc_id", spotsigs.F.lit(1), ["text"]).collect()}
+    order = sorted(ids)
+    assert led == {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)}
+
+
+def plain_signatures(text):
+    """SpotSigs in plain Python: for each anchor the anchor and the next content words."""
+    import re
+
+    words = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
+    common = set(spotsigs.COMMON_WORDS)
+    out = set()
+    for i, w in enumerate(words):
+        if w in common or not any(x in common for x in words[max(0, i - spotsigs.GAP) : i]):
+            chain = [x for x in words[i + 1 : i + 1 + spotsigs.REACH] if x not in common][: spotsigs.CHAIN]
+            out.add((w, *chain))
+    return out or {("", text)}
+
+
+def test_fingerprints_against_plain_python(spark, tmp_path):
+    rng = random.Random(9)
+    pool = [*spotsigs.COMMON_WORDS[:30], *[f"w{i}" for i in range(60)], "Élan", "x,y"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(60)))) for i in range(40)] + [(50, "!!"), (51, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in spotsigs.op4_spotsigs(spark, str(tmp_path)).collect()}
+    order = sorted(rows)
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        a, b, e = plain_signatures(t), plain_signatures(following), plain_signatures(spot_edited(t, following))
+        assert len(out[i]["fingerprint"]) == 8 * len(a)
+        assert out[i]["near_next"] == pytest.approx(len(a & b) / len(a | b)) and out[i]["near_edited"] == pytest.approx(len(a & e) / len(a | e))
+
+
 def test_spotsigs_likeness(spark):
     df = spotsigs.with_fingerprint(spark.createDataFrame(DOCS, "doc_id bigint, text string"), "text", "sigs")
     sigs = {r["doc_id"]: r["sigs"] for r in df.collect()}

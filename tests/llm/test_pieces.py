@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from ledgerline.llm import langid, tokenizer
-from ledgerline.llm.lattice import Vocabulary, backward, double_array, forward, lattice, load_vocabulary, viterbi, word_edges, word_log_forward, word_viterbi
+from ledgerline.llm.lattice import SCALE, Vocabulary, backward, double_array, forward, lattice, load_vocabulary, viterbi, word_edges, word_log_forward, word_viterbi
 
 PIECES = [b"a", b"b", b"ab", b"ba", b"abb", b" ", b" a", "é".encode(), "éa".encode()]
 
@@ -69,12 +69,27 @@ def test_forward_backward_and_viterbi_against_all_segmentations(small):
     alpha, beta, (best, _, _) = forward(lens, steps, probs[:, None]), backward(lens, steps, probs), viterbi(lens, steps, np.log(probs))
     for k, word in enumerate(words):
         each = [math.prod(probs[i] for i in s) for s in segmentations(small, word)]
-        assert alpha[k, lens[k], 0] == pytest.approx(sum(each)) == beta[k, 0]
+        assert alpha[k, lens[k], 0] == pytest.approx(sum(each) * SCALE ** len(word)) == beta[k, 0]
         assert best[k, lens[k]] == pytest.approx(math.log(max(each)))
         assert word_log_forward(small, word, np.log(probs)[:, None])[0] == pytest.approx(math.log(sum(each)))
         assert sum(np.log(probs)[i] for _, _, i in word_viterbi(small, word, np.log(probs))) == pytest.approx(math.log(max(each)))
 
 
+def test_sums_of_unlikely_words_stay_exact():
+    vocab = Vocabulary([b"a", b"aa"], np.log([0.5, 0.5]), np.full(256, -1, np.int32), np.ones(2, bool))
+    log_probs = np.log(np.array([[1e-12, 0.9], [1e-12, 1.0], [1e-12, 1e-12]]))
+    model = langid.LanguageModel(vocab, ["x", "y"], log_probs)
+    words = [b"a" * n for n in (1, 39, 40)]
+    assert np.allclose(model.word_scores(words), [word_log_forward(vocab, w, log_probs) for w in words])
+    assert (langid.expected_counts(vocab, words, np.ones(3), np.exp(log_probs[:, 0])) >= 0).all()
+
+
+def test_more_languages_than_the_bound(spark, public, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(f"{w} word number {i}", lang) for lang, w, n in (("a", "uno", 3), ("b", "due", 4), ("c", "tres", 5)) for i in range(n)]
+    assert langid.learn(spark.createDataFrame(rows, "text string, lang string"), public, rounds=1).languages == ["b", "c"]
+
+
 def test_expected_counts_against_all_segmentations(small):
     probs = np.exp(np.append(small.scores, small.fallback_score))
     want = np.zeros(small.size + 1)

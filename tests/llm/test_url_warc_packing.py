@@ -1,6 +1,7 @@
 """URL filter, WARC archives and packing on small and awkward inputs."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -63,6 +64,7 @@ def test_warc_round_trip(spark, rows):
     path = fresh_path(spark, "warc-test")
     warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), path)
     if not rows:
+        assert warc.assemble(warc.read_warc(spark, path)).count() == 0
         return
     out = warc.assemble(warc.read_warc(spark, path)).collect()
     assert len(out) == len(rows)
@@ -100,6 +102,46 @@ def test_pack_lengths_is_best_fit_and_downsizes():
     assert where[3] == where[0] and start[3] == 900  # the bin with least room that holds it
 
 
+def least_cost(lengths, capacities, cost):
+    """The least cost of any partition into bins, by trying all."""
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(cost(next(c for c in capacities if c >= b)) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacities[-1]:
+                bins[i] += lengths[k]
+                place(k + 1, bins)
+                bins[i] -= lengths[k]
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("overhead", [0.0, 64.0, 2000.0])
+def test_layouts_are_near_the_optimum(overhead):
+    rng = random.Random(int(overhead))
+    cost = lambda c: packing.bin_cost(c, overhead)
+    capacities, opened = [4, 8, 16, 32], set()
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 33) for _ in range(rng.randrange(1, 8))), reverse=True)
+        where, start, used, final, sizes = packing.cheapest_layout(lengths, capacities, cost)
+        opened.update(sizes)
+        assert all(sum(n for n, w in zip(lengths, where, strict=True) if w == b) == used[b] <= final[b] for b in range(len(used)))
+        assert sum(map(cost, final)) <= 1.25 * least_cost(lengths, capacities, cost) + 1e-9
+    assert opened == set(capacities) if overhead < 100 else 32 in opened
+
+
+def test_a_mix_beats_the_size_that_looks_cheapest():
+    lengths = [512] * 5 + [500] * 5
+    used = lambda out: sum(packing.bin_cost(c, 0.0) for c in out[3])
+    assert used(packing.cheapest_layout(lengths, cost=lambda c: packing.bin_cost(c, 0.0))) <= used(packing.pack_lengths(lengths))
+    assert set(packing.cheapest_layout([1000], packing.CAPACITIES)[4]) == {1024} and set(packing.cheapest_layout([300], packing.CAPACITIES)[4]) == {512}
+
+
 def test_packing_keeps_every_token(spark):
     texts = [(1, "a b c"), (2, None), (3, ""), (4, "  \n "), (5, "w " * 9000), (None, "x y"), (7, "one"), (7, "one")]
     docs = packing.with_token_count(spark.createDataFrame(texts, "doc_id bigint, text string"))
@@ -113,3 +155,11 @@ def test_packing_keeps_every_token(spark):
     same = spans["bin_id"].eq(spans["bin_id"].shift())
     assert (spans["bin_start"][same] == ends.shift()[same]).all()
     assert packing.best_fit_pack(docs.where("false")).count() == 0
+    made = packing.sequences(packing.best_fit_pack(docs, shard_docs=3)).collect()
+    assert sum(p["piece_tokens"] for r in made for p in r["parts"]) == out["piece_tokens"].sum()
+    for r in made:
+        ends = [0]
+        for part in r["parts"]:
+            assert part["bin_start"] == ends[-1]
+            ends.append(part["bin_start"] + part["piece_tokens"])
+        assert ends[-1] == r["bin_used"] <= r["capacity"]
