@@ -41,13 +41,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each group of near-duplicates, that with the smallest doc_id.
 
     Null doc_ids link with nothing and stay. Of rows that repeat the kept doc_id one stays: the first by
-    text, then by the other columns.
+    text, then by the other columns as JSON.
     """
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
     kept = found.where("doc_id = component_id").groupBy("doc_id").count()
     single = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")])))
     first = repeated.withColumn("_row", F.row_number().over(order)).where("_row = 1")
     return single.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(docs.where("doc_id is null"))
 
