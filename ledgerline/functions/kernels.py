@@ -46,10 +46,13 @@ def gjr_variances(r: np.ndarray, mu, omega, alpha, gamma, beta, v) -> np.ndarray
     """Variances (T, ..., K) of each regime's own recursion, started at the unconditional ones."""
     mu, omega, alpha, gamma, beta, v = (np.asarray(x, float) for x in (mu, omega, alpha, gamma, beta, v))
     out = np.empty((len(r), *v.shape))
+    if not len(r):
+        return out
     out[0] = v
+    e = r[:-1].reshape(-1, *[1] * v.ndim) - mu
+    out[1:] = omega + (alpha + gamma * (e < 0)) * e * e  # all that does not recur, at once
     for t in range(1, len(r)):
-        e = r[t - 1] - mu
-        out[t] = omega + (alpha + gamma * (e < 0)) * e * e + beta * out[t - 1]
+        out[t] += beta * out[t - 1]
     return out
 
 

@@ -58,6 +58,72 @@ def minimise(objective: Callable[[np.ndarray], np.ndarray], start: np.ndarray, r
     return x, value, rounds
 
 
+def _directions(g: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """The two-loop recursion for each start, downhill in any case."""
+    out = np.empty_like(g)
+    for k, own in enumerate(pairs):
+        q, coefficients = g[k].copy(), []
+        for s, y in reversed(own):
+            a = (s @ q) / (y @ s)
+            coefficients.append(a)
+            q -= a * y
+        q *= (own[-1][0] @ own[-1][1]) / (own[-1][1] @ own[-1][1]) if own else 1 / max(1.0, np.abs(g[k]).max())
+        for (s, y), a in zip(own, reversed(coefficients), strict=True):
+            q += s * (a - (y @ q) / (y @ s))
+        out[k] = -q if q @ g[k] > 0 else -g[k] / max(1.0, np.abs(g[k]).max())
+    return out
+
+
+def minimise_many(objective: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, rounds: int = 150, memory: int = 10, tolerance: float = 1e-9, step: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, values, rounds used, converged) of L-BFGS from several starts in step, two objective calls a round.
+
+    A start has converged when its value falls by no more than ``tolerance`` of itself, or its gradient vanishes; one
+    whose line search finds nothing better after a fresh gradient step stops unconverged.
+    """
+    x = np.array(starts, float)
+    m, n = x.shape
+
+    def values_and_gradients(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = step * np.maximum(1.0, np.abs(at))
+        shifts = h[:, None, :] * np.eye(n)
+        f = objective(np.concatenate([at, (at[:, None] + shifts).reshape(-1, n), (at[:, None] - shifts).reshape(-1, n)]))
+        own, up, down = f[: len(at)], f[len(at) : len(at) * (n + 1)].reshape(-1, n), f[len(at) * (n + 1) :].reshape(-1, n)
+        return own, (up - down) / (2 * h)
+
+    value, g = values_and_gradients(x)
+    pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(m)]
+    used, converged = np.zeros(m, int), np.abs(g).max(1) < 1e-6
+    live = ~converged
+    steps = 0.4 ** np.arange(0, 10)
+    for _ in range(rounds):
+        at = np.flatnonzero(live)
+        if not len(at):
+            break
+        direction = _directions(g[at], [pairs[k] for k in at])
+        trial = objective((x[at, None] + steps[:, None] * direction[:, None]).reshape(-1, n)).reshape(len(at), -1)
+        slope = (direction * g[at]).sum(1)
+        enough = trial <= value[at, None] + 1e-4 * steps * slope[:, None]
+        found = enough.any(1)
+        for k in at[~found]:
+            live[k] = bool(pairs[k])  # once more from the plain gradient
+            pairs[k] = []
+        at, first, direction = at[found], enough[found].argmax(1), direction[found]
+        if not len(at):
+            continue
+        new = x[at] + steps[first, None] * direction
+        new_value, new_g = values_and_gradients(new)
+        for i, k in enumerate(at):
+            s, y = new[i] - x[k], new_g[i] - g[k]
+            if s @ y > 1e-12:
+                pairs[k] = [*pairs[k][-(memory - 1):], (s, y)]
+        done = (value[at] - new_value <= tolerance * np.maximum(1.0, np.abs(new_value))) | (np.abs(new_g).max(1) < 1e-6)
+        x[at], value[at], g[at] = new, new_value, new_g
+        used[at] += 1
+        converged[at[done]] = True
+        live[at[done]] = False
+    return x, value, used, converged
+
+
 def hessian(objective: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step: float = 1e-4) -> np.ndarray:
     """Second differences of a batch objective, in one call."""
     n = len(x)

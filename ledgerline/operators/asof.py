@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import next_business_day
+from ..functions.cleaning import business_days_later
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
     """``left`` with the nearest ``right`` row's time (matched_on) and ``value`` within ``tolerance``, both ways.
 
-    The tolerance is inclusive; of two equally near rows the earlier one is taken. Rows without a match go.
+    The tolerance is inclusive; of two equally near rows the earlier one is taken. Rows without a match keep nulls.
     ``on`` is numeric.
     """
     right = right.groupBy(*keys, on).agg(F.max(value).alias("_value")).withColumn("_v", F.struct(F.col(on).alias("at"), F.col("_value").alias("value"))).drop("_value")
@@ -38,12 +38,26 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str]
     both = stacked.withColumns({"_p": F.last("_v", ignorenulls=True).over(back), "_n": F.last("_v", ignorenulls=True).over(ahead)}).where("_left = 1")
     past, future = F.col(on) - F.col("_p.at"), F.col("_n.at") - F.col(on)
     use_past = F.col("_n").isNull() | (F.col("_p").isNotNull() & (past <= future))
-    picked = both.withColumn("_m", F.when(use_past, F.col("_p")).otherwise(F.col("_n"))).where(F.abs(F.col(on) - F.col("_m.at")) <= tolerance)
+    picked = both.withColumn("_m", F.when(use_past, F.col("_p")).otherwise(F.col("_n")))
+    picked = picked.withColumn("_m", F.when(F.abs(F.col(on) - F.col("_m.at")) <= tolerance, F.col("_m")))
     return picked.select(*left.columns, F.col("_m.at").alias("matched_on"), F.col("_m.value").alias(value))
 
 
-def point_in_time(vintages: DataFrame, key: str = "series_id") -> DataFrame:
-    """(key, avail_date, value): what the newest observation known at each publication was worth, one business day on.
+def match_events(headlines: DataFrame, releases: DataFrame, keywords: list[tuple[str, str]], on: str, key: str, text: str, tolerance: float) -> DataFrame:
+    """``headlines`` with the indicator they name and the time of its nearest release within ``tolerance``, else nulls.
+
+    Indicators are tried in the order of ``keywords`` (name, pattern): the first that the lower-cased text matches and
+    that has a release near enough counts. ``releases`` has (indicator, ``on``); ``key`` is unique in ``headlines``.
+    """
+    tries = F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.struct(F.lit(k).alias("rank"), F.lit(n).alias("indicator"))) for k, (n, p) in enumerate(keywords)]))
+    asked = headlines.select(key, on, F.explode(tries).alias("_t")).select(key, on, "_t.rank", "_t.indicator")
+    near = asof_nearest(asked, releases.select("indicator", on).withColumn("_v1", F.lit(0)), on, ["indicator"], "_v1", tolerance).where("matched_on is not null")
+    first = near.groupBy(key).agg(F.min(F.struct("rank", "indicator", "matched_on")).alias("_m"))
+    return headlines.join(first, key, "left").select(*headlines.columns, F.col("_m.indicator").alias("event_indicator"), F.col("_m.matched_on").alias("event_at"))
+
+
+def point_in_time(vintages: DataFrame, key: str = "series_id", margin: int = 1) -> DataFrame:
+    """(key, avail_date, value): what the newest observation known at each publication was worth, ``margin`` business days on.
 
     Vintages are read in order of publication, then of observation. A revision of an older observation than
     the newest known is stale and ignored; a revision of the newest one counts. Of several on one available
@@ -51,7 +65,7 @@ def point_in_time(vintages: DataFrame, key: str = "series_id") -> DataFrame:
     """
     w = Window.partitionBy(key).orderBy("realtime_start", "obs_date")
     seen = F.max("obs_date").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    live = vintages.withColumn("_seen", seen).where("obs_date >= _seen").withColumn("avail_date", next_business_day(F.col("realtime_start")))
+    live = vintages.withColumn("_seen", seen).where("obs_date >= _seen").withColumn("avail_date", business_days_later(F.col("realtime_start"), margin))
     return live.groupBy(key, "avail_date").agg(F.max_by("value", F.struct("realtime_start", "obs_date")).alias("value"))
 
 

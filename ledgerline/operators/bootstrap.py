@@ -63,3 +63,44 @@ def sharpe_ci(returns: DataFrame, replicas: int = 499, level: float = 0.90, seed
     enough = (F.max("n") >= min_obs) & (F.count("replica") >= max(10, replicas / 2))
     out = each.groupBy("key").agg(F.max("n").alias("n"), F.max("block").alias("block"), F.max("sharpe").alias("sharpe"), F.when(enough, F.percentile("replica", F.lit(tail))).alias("low"), F.when(enough, F.percentile("replica", F.lit(1 - tail))).alias("high"))
     return out.withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+def _stats(x: np.ndarray) -> dict[str, float]:
+    """Annualised mean, volatility and Sharpe ratio, and greatest fall from the peak, of decimal log returns."""
+    mean, sd = x.mean() * 252, x.std(ddof=1) * np.sqrt(252) if len(x) > 1 else np.nan
+    equity = np.exp(np.cumsum(x))
+    return {"mean_ann": mean, "vol_ann": sd, "sharpe": mean / sd if sd > 0 else np.nan, "maxdd": float((equity / np.maximum.accumulate(equity) - 1).min())}
+
+
+def conditional_stats(history: DataFrame, durations: list[float], replicas: int = 499, block: float = 10.0, level: float = 0.90, min_obs: int = 60, least_days: float = 2.0, seed: int = 42,
+                      key: str = "asset", order: str = "fecha", r: str = "r", argmax: str = "argmax_idx") -> DataFrame:
+    """(key, regime, metric, value, ci_low, ci_high, n_obs) of a regime's days: mean_ann, vol_ann, sharpe, maxdd.
+
+    Intervals are percentiles of stationary bootstrap replicas; there is none for maxdd, below ``min_obs`` days, for
+    regimes expected to last less than ``least_days``, or if fewer than max(10, half) of the replicas are finite. In
+    such short-lived or rarely seen regimes mean, Sharpe and maxdd have no value either: they would pretend a year of it.
+    A task per key and regime; replicas are seeded by regime.
+    """
+    kinds = dict(history.dtypes)
+    columns = ["regime", "metric", "value", "ci_low", "ci_high", "n_obs"]
+
+    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        regime = int(group[1])
+        x = part.sort_values(order)[r].to_numpy(float) / 100
+        x = x[np.isfinite(x)]
+        brief = regime < len(durations) and durations[regime] < least_days
+        few = len(x) < min_obs
+        point = _stats(x) if len(x) > 1 else dict.fromkeys(("mean_ann", "vol_ann", "sharpe", "maxdd"), 0.0)
+        rng = np.random.default_rng(seed + regime)
+        each = [_stats(x[resample_index(len(x), block, rng)]) for _ in range(replicas)] if not few and not brief else []
+        rows = []
+        for name, value in point.items():
+            found = np.array([s[name] for s in each])
+            found = found[np.isfinite(found)]
+            sure = name != "maxdd" and len(found) >= max(10, replicas // 2)
+            low, high = np.quantile(found, [(1 - level) / 2, (1 + level) / 2]) if sure else (None, None)
+            hidden = (brief or few) and name != "vol_ann"
+            rows.append((group[0], regime, name, None if hidden else value if np.isfinite(value) else 0.0, low, high, len(x)))
+        return pd.DataFrame(rows, columns=[key, *columns])
+
+    return history.select(key, order, r, argmax).groupBy(key, argmax).applyInPandas(run, f"{key} {kinds[key]}, regime int, metric string, value double, ci_low double, ci_high double, n_obs bigint")

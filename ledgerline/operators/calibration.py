@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import specfun
+from ..functions.cleaning import first_argmax
 
 
 def two_class(filtered: DataFrame) -> DataFrame:
@@ -16,13 +21,59 @@ def two_class(filtered: DataFrame) -> DataFrame:
     return filtered.select("*", F.col("xi_p_1").alias("p"), (F.col("xi_f_1") > F.col("xi_f_0")).cast("int").alias("y"))
 
 
-def brier_logloss(rows: DataFrame) -> DataFrame:
-    """n, Brier score and log loss over both classes, and those of the constant forecast."""
-    p, y = F.col("p"), F.col("y")
-    chosen = F.when(y == 1, p).otherwise(1 - p)
-    s = rows.agg(F.count("*").alias("n"), F.avg(2 * (p - y) * (p - y)).alias("brier"), F.avg(-F.ln(F.greatest(chosen, F.lit(1e-15)))).alias("logloss"), F.avg(y.cast("double")).alias("f"))
-    f = F.greatest(F.least(F.col("f"), F.lit(1 - 1e-15)), F.lit(1e-15))
-    return s.select("n", "brier", "logloss", (2 * F.col("f") * (1 - F.col("f"))).alias("brier_base"), (-(F.col("f") * F.ln(f) + (1 - F.col("f")) * F.ln(1 - f))).alias("logloss_base"))
+def brier_logloss(filtered: DataFrame, k: int = 2) -> DataFrame:
+    """n, Brier score and log loss over ``k`` classes of the predicted probabilities, and those of the constant forecast.
+
+    The outcome is the filter's first most probable class.
+    """
+    truth = first_argmax(F.array(*[F.col(f"xi_f_{i}") for i in range(k)]))
+    rows = filtered.select(*[F.col(f"xi_p_{i}").alias(f"p{i}") for i in range(k)], *[(truth == i).cast("double").alias(f"y{i}") for i in range(k)])
+    clipped = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-15)), F.lit(1e-15))
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
+    score = add([(F.col(f"p{i}") - F.col(f"y{i}")) * (F.col(f"p{i}") - F.col(f"y{i}")) for i in range(k)])
+    loss = add([-F.col(f"y{i}") * F.ln(clipped(F.col(f"p{i}"))) for i in range(k)])
+    s = rows.agg(F.count("*").alias("n"), F.avg(score).alias("brier"), F.avg(loss).alias("logloss"), *[F.avg(f"y{i}").alias(f"f{i}") for i in range(k)])
+    fs = [F.col(f"f{i}") for i in range(k)]
+    return s.select("n", "brier", "logloss", add([f * (1 - f) for f in fs]).alias("brier_base"), add([-f * F.ln(clipped(f)) for f in fs]).alias("logloss_base"))
+
+
+def top_label(filtered: DataFrame, k: int = 2) -> DataFrame:
+    """Rows (confidence, hit): the greatest predicted probability, and whether its class is the one the filter chose."""
+    p, f = (F.array(*[F.col(f"{x}_{i}") for i in range(k)]) for x in ("xi_p", "xi_f"))
+    return filtered.select(F.array_max(p).alias("confidence"), (first_argmax(p) == first_argmax(f)).cast("double").alias("hit"))
+
+
+def bin_edges(bins: int) -> list[float]:
+    """The inner edges of equal bins of [0, 1]."""
+    return [float(x) for x in np.linspace(0.0, 1.0, bins + 1)[1:-1]]
+
+
+def top_label_reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """bin, bin_lo, bin_hi, n, mean confidence and accuracy of each of ``bins`` equal bins; empty ones stay, with nulls.
+
+    Bins are closed below; a confidence of 1 is in the last.
+    """
+    edges = bin_edges(bins)
+    place = reduce(lambda a, b: a + b, [(F.col("confidence") >= e).cast("int") for e in edges])
+    own = rows.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg("hit").alias("accuracy"))
+    names = [(i, lo, hi) for i, (lo, hi) in enumerate(pairwise([0.0, *edges, 1.0]))]
+    return rows.sparkSession.createDataFrame(names, "bin int, bin_lo double, bin_hi double").join(own, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def top_label_error(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """Expected calibration error of the most probable class: bins' gaps weighted by their rows; null without rows."""
+    r = top_label_reliability(rows, bins).where("n > 0")
+    return r.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("accuracy"))), F.sum("n")).alias("ece"))
+
+
+def calibration_bundle(filtered: DataFrame, k: int = 2, least_gap: float = 1e-12) -> DataFrame:
+    """One row: scores, calibration error, and whether the rows are refused, as predicted and filtered probabilities are the same.
+
+    Filtered probabilities have seen the outcome; calibrating them would be a fraud on oneself.
+    """
+    gap = F.greatest(*[F.abs(F.col(f"xi_p_{i}") - F.col(f"xi_f_{i}")) for i in range(k)])
+    checks = filtered.agg(F.max(gap).alias("max_gap")).withColumn("refused", F.col("max_gap") < least_gap)
+    return brier_logloss(filtered, k).crossJoin(top_label_error(top_label(filtered, k))).crossJoin(checks)  # one row each
 
 
 def _bin(p: Column, bins: int) -> Column:
@@ -35,12 +86,6 @@ def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     return rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(own, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Expected calibration error: bins' gaps weighted by their rows."""
-    r = reliability(rows, bins).where("n > 0")
-    return r.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("observed"))) / F.sum("n")).alias("ece"))
-
-
 def murphy(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Reliability, resolution and uncertainty of the one-class Brier score over bins."""
     r = reliability(rows, bins).where("n > 0")
@@ -50,9 +95,16 @@ def murphy(rows: DataFrame, bins: int = 10) -> DataFrame:
     return j.agg((F.sum(F.col("n") * (F.col("mean_p") - F.col("observed")) ** 2) / total).alias("reliability"), (F.sum(F.col("n") * (F.col("observed") - F.col("f")) ** 2) / total).alias("resolution"), F.max(F.col("f") * (1 - F.col("f"))).alias("uncertainty"))
 
 
-def auc(rows: DataFrame, tie: str) -> DataFrame:
-    """Area under the ROC curve by rank sum, ties in order of ``tie``."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy("p", tie)))
+def auc(rows: DataFrame, tie: str, cells: int = 1_000) -> DataFrame:
+    """Area under the ROC curve by rank sum, ties in order of ``tie``.
+
+    Ranks are counted in cells of p, so no task holds all rows; a window over the cells' counts gives each its first rank.
+    """
+    placed = rows.withColumn("cell", F.floor(F.col("p") * cells).cast("int"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most cells + 1 rows
+    offsets = sizes.select("cell", before.alias("before"))
+    ranked = placed.join(F.broadcast(offsets), "cell").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("p", tie)))
     n1, n0 = F.sum("y"), F.sum(1 - F.col("y"))
     return ranked.agg(F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("rank"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 

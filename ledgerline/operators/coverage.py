@@ -40,3 +40,24 @@ def observed_time(events: DataFrame, t: str, spine: DataFrame) -> DataFrame:
     joined = events.withColumn("day_no", day).join(F.broadcast(gaps), "day_no", "left")
     part = F.when(F.col("is_missing"), F.col(t) - F.col("day_no")).otherwise(0.0)
     return joined.withColumn("t_observed", F.col(t) - F.coalesce("gone", F.lit(0)) - part).drop("day_no", "is_missing", "gone")
+
+
+def lag_histogram(rows: DataFrame, lag: str, bins: int = 12) -> DataFrame:
+    """(bin, edge_lo, edge_hi, n): equal bins from the least to the greatest lag, closed above; empty bins stay.
+
+    The lowest edge is widened by a thousandth of the range, so that the least lag is inside. If all lags are equal
+    both ends are a thousandth of the value away (0.001 for 0). No rows give no bins.
+    """
+    ends = rows.agg(F.min(lag).alias("a"), F.max(lag).alias("z")).where("a is not null")
+    away = lambda c: F.coalesce(F.nullif(0.001 * F.abs(F.col(c)), F.lit(0.0)), F.lit(0.001))
+    flat = F.col("a") == F.col("z")
+    wide = ends.select(F.when(flat, F.col("a") - away("a")).otherwise(F.col("a")).alias("lo"), F.when(flat, F.col("z") + away("z")).otherwise(F.col("z")).alias("hi"), flat.alias("flat"))
+    step, i = (F.col("hi") - F.col("lo")) / bins, F.col("bin")
+    named = wide.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    low = F.col("lo") + i * step - F.when((i == 0) & ~F.col("flat"), 0.001 * (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    edges = named.select("bin", low.alias("edge_lo"), (F.col("lo") + (i + 1) * step).alias("edge_hi"))
+    inside = (F.col(lag) > F.col("edge_lo")) & ((F.col(lag) <= F.col("edge_hi")) | (i == bins - 1))
+    # lags are counted once each before they meet the few edges
+    counted = rows.where(F.col(lag).isNotNull()).groupBy(lag).agg(F.count("*").alias("m"))
+    own = counted.join(F.broadcast(edges), inside).groupBy("bin").agg(F.sum("m").alias("n"))
+    return edges.join(own, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -1,49 +1,92 @@
-"""Maximum likelihood as Spark work: a row per (series, start), a task per group of starts, a minimum to reduce.
+"""Maximum likelihood as Spark work: a row per (series, group of starts), a minimum to reduce.
 
-Parameters are kept unconstrained: variances rise by construction (sums of exponentials), persistence is a
-logistic of its own split by a softmax into alpha, 2 gamma and beta, and transition rows are softmaxes with the
-last column as reference. Infeasible points are worth 1e12.
+A model's parameters are kept unconstrained in named blocks (``Shape``): logits of moving, slopes of these on a lagged
+covariate, levels, variances as a first one and growth factors above one, persistence as a logistic that two
+sticks break into alpha, gamma / 2 and beta, and tails. Infeasible points are worth 1e12.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.optimise import hessian, minimise
+from ..functions.optimise import hessian, minimise, minimise_many
 
 INFEASIBLE = 1e12
+STARTS_A_TASK = 4
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What a model has: regimes, Student's t or normal, and slopes on a covariate or not."""
+
+    k: int = 2
+    student: bool = False
+    slopes: bool = False
+
+    @property
+    def blocks(self) -> list[tuple[str, int]]:
+        k = self.k
+        moves = k * (k - 1)
+        return [("moves", moves), ("slopes", moves if self.slopes else 0), ("level", k), ("spread", k), ("memory", k), ("sticks", 2 * k), ("tails", k if self.student else 0)]
+
+    @property
+    def size(self) -> int:
+        return sum(n for _, n in self.blocks)
+
+    def split(self, theta: np.ndarray) -> dict[str, np.ndarray]:
+        """The blocks of a batch of vectors."""
+        theta, out, at = np.atleast_2d(theta), {}, 0
+        for name, n in self.blocks:
+            out[name] = theta[:, at : at + n]
+            at += n
+        return out
 
 
-def n_params(k: int) -> int:
-    """Length of the vector: K each of mu, a, b; 2K of c; K(K-1) of d."""
-    return 5 * k + k * (k - 1)
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def unpack(theta: np.ndarray, k: int) -> dict[str, np.ndarray]:
-    """Natural parameters of a batch of vectors: arrays (batch, K), and P (batch, K, K)."""
-    theta = np.atleast_2d(theta)
-    mu, a, b = theta[:, :k], theta[:, k : 2 * k], theta[:, 2 * k : 3 * k]
-    c = theta[:, 3 * k : 5 * k].reshape(len(theta), k, 2)
-    d = theta[:, 5 * k :].reshape(len(theta), k, k - 1)
-    v = np.cumsum(np.exp(np.clip(a, -50, 50)), 1)
-    p = 1 / (1 + np.exp(-np.clip(b, -50, 50)))
-    u = np.exp(np.clip(c, -50, 50))
-    total = u.sum(2) + 1
-    z = np.concatenate([d, np.zeros((*d.shape[:2], 1))], 2)
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def _rows_of(moves: np.ndarray, k: int) -> np.ndarray:
+    """Transition matrices of logits (batch, k * (k - 1)), the last column as reference."""
+    z = np.concatenate([moves.reshape(len(moves), k, k - 1), np.zeros((len(moves), k, 1))], 2)
     z = np.exp(z - z.max(2, keepdims=True))
-    return {"mu": mu, "v": v, "p": p, "alpha": p * u[..., 0] / total, "gamma": 2 * p * u[..., 1] / total, "beta": p / total, "omega": v * (1 - p), "P": z / z.sum(2, keepdims=True)}
+    return z / z.sum(2, keepdims=True)
+
+
+def unpack(theta: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
+    """Natural parameters of a batch of vectors: arrays (batch, K), and P (batch, K, K) at a covariate of 0."""
+    b, k = shape.split(theta), shape.k
+    growth = np.concatenate([np.ones((len(b["spread"]), 1)), 1 + np.exp(np.clip(b["spread"][:, 1:], -40, 40))], 1)
+    v = np.exp(np.clip(b["spread"][:, :1], -40, 40)) * np.cumprod(growth, 1)
+    p = _logistic(b["memory"])
+    first, second = _logistic(b["sticks"][:, :k]), _logistic(b["sticks"][:, k:])
+    out = {"mu": b["level"], "v": v, "p": p, "alpha": p * first, "gamma": 2 * p * (1 - first) * second, "beta": p * (1 - first) * (1 - second), "omega": v * (1 - p), "P": _rows_of(b["moves"], k)}
+    if shape.student:
+        out["nu"] = 2 + np.exp(np.clip(b["tails"], -20, 8))
+    if shape.slopes:
+        out["B"] = b["slopes"].reshape(len(b["slopes"]), k, k - 1)
+    return out
 
 
-def pack(mu, v, p, alpha, gamma, P) -> np.ndarray:
+def pack(shape: Shape, mu, v, alpha, gamma, beta, P, nu=None, B=None) -> np.ndarray:
     """The vector of natural parameters (of one model)."""
-    mu, v, p, alpha, gamma, P = (np.asarray(x, float) for x in (mu, v, p, alpha, gamma, P))
-    share = np.stack([alpha, gamma / 2], 1) / p[:, None]
-    rest = 1 - share.sum(1, keepdims=True)
-    return np.concatenate([mu, np.log(np.diff(v, prepend=0.0)), np.log(p / (1 - p)), np.log(share / rest).ravel(), np.log(P[:, :-1] / P[:, -1:]).ravel()])
+    mu, v, alpha, gamma, beta, P = (np.asarray(x, float) for x in (mu, v, alpha, gamma, beta, P))
+    p = alpha + gamma / 2 + beta
+    rest = gamma / 2 + beta
+    parts = {"moves": np.log(P[:, :-1] / P[:, -1:]).ravel(), "slopes": np.zeros(shape.k * (shape.k - 1)) if B is None else np.asarray(B, float).ravel(), "level": mu,
+             "spread": np.append(np.log(v[0]), np.log(np.maximum(v[1:] / v[:-1] - 1, 1e-6))), "memory": _logit(p), "sticks": np.append(_logit(alpha / p), _logit(gamma / 2 / rest)),
+             "tails": np.log(np.full(shape.k, 6.0) if nu is None else np.asarray(nu, float) - 2)}
+    return np.concatenate([parts[name] for name, n in shape.blocks if n] or [np.zeros(0)])
 
 
 def _stationary(P: np.ndarray) -> np.ndarray:
@@ -57,23 +100,45 @@ def _stationary(P: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def step_logliks(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
-    """Log likelihood (T, batch) of each step, given those before it, under a batch of vectors."""
-    n = unpack(theta, k)
+def step_logliks(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None, states: bool = False):
+    """Log likelihood (T, batch) of each step, given those before it, under a batch of vectors; with ``states`` also predicted and filtered probabilities."""
+    n = unpack(theta, shape)
     s2 = kernels.gjr_variances(r, n["mu"], n["omega"], n["alpha"], n["gamma"], n["beta"], n["v"])
-    return kernels.hamilton(kernels.log_density(r, n["mu"], s2), n["P"], _stationary(n["P"]))[2]
-
-
-def negative_loglik(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
-    """Negative log likelihoods of a batch of vectors."""
+    logf = kernels.log_density(r, n["mu"], s2, n.get("nu"))
+    moves = shape.split(theta)["moves"]
+    if shape.k == 1:
+        one = np.ones_like(logf)
+        return (logf[..., 0], one, one) if states else logf[..., 0]
+    top = logf.max(-1, keepdims=True)
+    f = np.exp(logf - top)
+    totals, xi, P = np.empty((*logf.shape[:-1], 1)), _stationary(n["P"])[:, None, :], n["P"]
+    kept = [np.empty_like(logf), np.empty_like(logf)] if states else None
+    slopes = n["B"].reshape(len(moves), -1) if x is not None else None
+    for t in range(len(r)):
+        if t:
+            xi = xi @ (P if x is None else _rows_of(moves + slopes * x[t], shape.k))
+        w = xi[:, 0] * f[t]
+        total = w.sum(-1, keepdims=True)
+        totals[t] = total
+        if states:
+            kept[0][t], kept[1][t] = xi[:, 0], w / total
+        xi = (w / total)[:, None, :]
+    ll = (np.log(totals) + top)[..., 0]
+    return (ll, *kept) if states else ll
+
+
+def negative_loglik(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None, penalty: float = 0.0) -> np.ndarray:
+    """Negative log likelihoods of a batch of vectors, plus ``penalty`` times the smoothed absolute slopes."""
     with np.errstate(all="ignore"):
-        out = -step_logliks(theta, r, k).sum(0)
+        out = -step_logliks(theta, r, shape, x).sum(0)
+    if penalty:
+        out = out + penalty * np.sqrt(shape.split(theta)["slopes"] ** 2 + 1e-6).sum(1)
     return np.where(np.isfinite(out), np.minimum(out, INFEASIBLE), INFEASIBLE)
 
 
-def random_start(r: np.ndarray, k: int, seed: int) -> np.ndarray:
+def random_start(r: np.ndarray, shape: Shape, seed: int) -> np.ndarray:
     """A start drawn in natural parameters, by its own seed."""
-    g = np.random.default_rng(seed)
+    g, k = np.random.default_rng(seed), shape.k
     v = np.sort(r.var() * np.exp(g.normal(0, 0.7, k)) * np.linspace(0.6, 1.8, k))
     v = np.maximum.accumulate(v * (1 + 1e-3 * np.arange(k)))
     p = g.uniform(0.7, 0.97, k)
@@ -82,68 +147,212 @@ def random_start(r: np.ndarray, k: int, seed: int) -> np.ndarray:
     P = np.full((k, k), 0.0) + (1 - stay)[:, None] / max(k - 1, 1)
     P[np.arange(k), np.arange(k)] = stay if k > 1 else 1.0
     mu = r.mean() + g.normal(0, 0.1 * r.std(), k)
-    return pack(mu, v, p, alpha, gamma, P)
+    return pack(shape, mu, v, alpha, gamma, p - alpha - gamma / 2, P, 2 + np.exp(g.normal(1.5, 0.5, k)), g.normal(0, 0.1, k * (k - 1)))
+
+
+FIT = "series string, start int, k int, n int, loglik double, bic double, aic double, rounds int, converged boolean, theta array<double>"
 
 
-FIT = "series string, start int, k int, n int, loglik double, bic double, aic double, rounds int, theta array<double>"
+def _packed(series: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(series, columns as arrays in order): one row a key, some thousand numbers of one asset's days."""
+    whole = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), *columns))).alias("_x"))
+    return whole.select(F.col(key).cast("string").alias("series"), *[F.col(f"_x.{c}").alias(c) for c in columns])
 
 
-def fit_starts(series: DataFrame, k: int = 2, starts: int = 20, seed: int = 42, rounds: int = 150, key: str = "asset", order: str = "fecha", r: str = "r") -> DataFrame:
-    """One row per (series, start): its log likelihood, BIC, AIC and parameters. Starts are independent tasks.
+def fit_starts(series: DataFrame, shape: Shape = Shape(), starts: int = 20, seed: int = 42, rounds: int = 100, penalty: float = 0.0, key: str = "asset", order: str = "fecha", r: str = "r", covariate: str | None = None) -> DataFrame:
+    """One row per (series, start): its log likelihood, BIC, AIC, whether it converged, and its parameters.
 
-    A series travels to each of its starts; it is one asset's days, some thousand numbers.
+    ``STARTS_A_TASK`` starts of a series go on in step in one task. ``covariate`` names a lagged column, wanted exactly if
+    the shape has slopes.
     """
-    packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(r)))).alias("x")).select(F.col(key).cast("string").alias("series"), F.col(f"x.{r}").alias("r"))
-    jobs = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).repartition(starts, "series", "start")
+    if shape.slopes != (covariate is not None):
+        raise ValueError("a lagged covariate goes with slopes, and only with them")
+    columns = [r, *([covariate] if covariate else [])]
+    groups = -(-starts // STARTS_A_TASK)
+    jobs = _packed(series, key, order, columns).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "series", "group")
 
     def run(frames):
         for frame in frames:
             rows = []
-            for s, x, start in zip(frame["series"], frame["r"], frame["start"], strict=True):
-                x = np.asarray(x, float)
-                theta, value, used = minimise(lambda t, x=x: negative_loglik(t, x, k), random_start(x, k, seed * 1_000_003 + start), rounds)
-                m = n_params(k)
-                rows.append((s, int(start), k, len(x), -value, 2 * value + m * np.log(len(x)), 2 * value + 2 * m, used, theta.tolist()))
+            for i in range(len(frame)):
+                y = np.asarray(frame[r].iloc[i], float)
+                x = np.asarray(frame[covariate].iloc[i], float) if covariate else None
+                own = range(int(frame["group"].iloc[i]) * STARTS_A_TASK, min(starts, (int(frame["group"].iloc[i]) + 1) * STARTS_A_TASK))
+                theta, _, used, sure = minimise_many(lambda t, y=y, x=x: negative_loglik(t, y, shape, x, penalty), np.stack([random_start(y, shape, seed * 1_000_003 + s) for s in own]), rounds)
+                value = negative_loglik(theta, y, shape, x)
+                rows += [(frame["series"].iloc[i], s, shape.k, len(y), -value[j], 2 * value[j] + shape.size * np.log(len(y)), 2 * value[j] + 2 * shape.size, int(used[j]), bool(sure[j]), theta[j].tolist()) for j, s in enumerate(own)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIT.split(", ")])
 
     return jobs.mapInPandas(run, FIT)
 
 
 def best_fit(fits: DataFrame) -> DataFrame:
-    """The best start of each series (the first of equal ones), and how many starts came within 1e-5 a row of it."""
+    """The best start of each series (the first of equal ones), how many starts came within 1e-5 a row of it, and how many converged at all."""
     best = fits.groupBy("series", "k").agg(F.min_by(F.struct(*[c for c in fits.columns if c not in ("series", "k")]), F.struct(-F.col("loglik"), F.col("start"))).alias("b"))
-    close = fits.join(best.select("series", "k", F.col("b.loglik").alias("top")), ["series", "k"]).groupBy("series", "k").agg(F.count("*").alias("n_starts"), F.count(F.when(F.col("top") - F.col("loglik") <= 1e-5 * F.col("n"), 1)).alias("n_converged"))
+    close = (fits.join(best.select("series", "k", F.col("b.loglik").alias("top")), ["series", "k"]).groupBy("series", "k")
+             .agg(F.count("*").alias("n_starts"), F.count(F.when(F.col("top") - F.col("loglik") <= 1e-5 * F.col("n"), 1)).alias("n_converged"), F.count(F.when(F.col("converged"), 1)).alias("n_stopped_by_rule")))
     return best.select("series", "k", "b.*").join(close, ["series", "k"])
 
 
-def score_test(assigned: DataFrame, fits: DataFrame, key: str = "block", order: str = "fecha", r: str = "r") -> DataFrame:
-    """``fits`` with n_test and test_loglik: each block's test rows under its fit, filtered on from the train rows.
+def out_of_sample(assigned: DataFrame, fits: DataFrame, shape: Shape, key: str = "block", order: str = "fecha", r: str = "r", covariate: str | None = None) -> DataFrame:
+    """Test rows of each block under its fit: xi_p_k, xi_f_k, loglik and the predicted mean, filtered on from the block's train rows.
 
     ``assigned`` has the part (train or test) of each row; a block is some years of one asset's days.
     """
-    packed = assigned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(r), F.col("part")))).alias("x")).select(F.col(key).cast("string").alias("series"), F.col(f"x.{r}").alias("r"), F.col("x.part").alias("part"))
-    jobs = fits.join(packed, "series")
-    spec = fits.withColumns({"n_test": F.lit(0), "test_loglik": F.lit(0.0)}).schema
+    columns = [r, "part", *([covariate] if covariate else [])]
+    kinds = dict(assigned.dtypes)
+    jobs = fits.select("series", "theta").join(_packed(assigned.withColumn("_at", F.col(order)), key, order, ["_at", *columns]), "series")
+    names = [f"xi_{p}_{i}" for p in "pf" for i in range(shape.k)]
+    spec = ", ".join([f"{key} string", f"{order} {kinds[order]}", "r double", *[f"{n} double" for n in names], "loglik double", "r_pred_mean double"])
 
     def run(frames):
         for frame in frames:
-            sizes, totals = [], []
-            for x, part, k, theta in zip(frame["r"], frame["part"], frame["k"], frame["theta"], strict=True):
-                test = np.asarray(part) == "test"
-                sizes.append(int(test.sum()))
-                totals.append(float(step_logliks(np.asarray(theta, float), np.asarray(x, float), k)[test, 0].sum()))
-            yield frame.drop(columns=["r", "part"]).assign(n_test=sizes, test_loglik=totals)
+            for i in range(len(frame)):
+                row = frame.iloc[i]
+                theta = np.asarray(row["theta"], float)
+                ll, predicted, filtered = step_logliks(theta[None], np.asarray(row[r], float), shape, np.asarray(row[covariate], float) if covariate else None, states=True)
+                test = np.asarray(row["part"]) == "test"
+                mean = predicted[:, 0] @ unpack(theta, shape)["mu"][0]
+                out = pd.DataFrame(np.concatenate([predicted[test, 0], filtered[test, 0]], 1), columns=names)
+                out.insert(0, "r", np.asarray(row[r], float)[test])
+                out.insert(0, order, np.asarray(row["_at"])[test])
+                out.insert(0, key, row["series"])
+                yield out.assign(loglik=ll[test, 0], r_pred_mean=mean[test])
 
     return jobs.mapInPandas(run, spec)
 
 
-def standard_errors(theta: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
-    """Of the unconstrained parameters, by the inverse Hessian; NaN where it is not positive."""
-    inverse = np.linalg.pinv(hessian(lambda t: negative_loglik(t, r, k), theta))
-    d = np.diag(inverse)
+def score_test(assigned: DataFrame, fits: DataFrame, shape: Shape, key: str = "block", order: str = "fecha", r: str = "r") -> DataFrame:
+    """``fits`` with n_test and test_loglik of each block's test rows."""
+    rows = out_of_sample(assigned, fits, shape, key, order, r).groupBy(F.col(key).alias("series")).agg(F.count("*").cast("int").alias("n_test"), F.sum("loglik").alias("test_loglik"))
+    return fits.join(rows, "series", "left").withColumns({"n_test": F.coalesce("n_test", F.lit(0)), "test_loglik": F.coalesce("test_loglik", F.lit(0.0))})
+
+
+def walk_forward(assigned: DataFrame, path: str, shape: Shape, starts: int = 20, rounds: int = 150, seed: int = 42, order: str = "fecha", r: str = "r") -> DataFrame:
+    """Out-of-sample rows of all blocks, resumed: blocks that ``path`` holds are not fitted again, the others are fitted and appended.
+
+    ``assigned`` has (block_id, part). A block's fit does not depend on what else is fitted, so a resumed run gives the
+    rows of one that was never stopped.
+    """
+    spark = assigned.sparkSession
+    rows = assigned.withColumn("block", F.col("block_id").cast("string"))
+    try:
+        done = spark.read.parquet(path).select("block").distinct()
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        done = None
+    left = rows if done is None else rows.join(F.broadcast(done), "block", "left_anti")  # some ten blocks
+    fits = best_fit(fit_starts(left.where("part = 'train'"), shape, starts, seed, rounds, key="block", order=order, r=r))
+    out_of_sample(left, fits, shape, "block", order, r).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def covariance(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None) -> np.ndarray:
+    """Covariance of the unconstrained parameters, by the inverse Hessian."""
+    return np.linalg.pinv(hessian(lambda t: negative_loglik(t, r, shape, x), theta))
+
+
+def standard_errors(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None) -> np.ndarray:
+    """Of the unconstrained parameters; NaN where the inverse Hessian is not positive."""
+    d = np.diag(covariance(theta, r, shape, x))
     return np.sqrt(np.where(d > 0, d, np.nan))
 
 
+def _natural(theta: np.ndarray, shape: Shape) -> tuple[list[str], np.ndarray]:
+    """Names and values (batch, m) of the natural parameters."""
+    n = unpack(theta, shape)
+    names, values = [], []
+    for name in ("mu", "v", "alpha", "gamma", "beta", "nu"):
+        if name in n:
+            names += [f"{name}_{i}" for i in range(shape.k)]
+            values.append(n[name])
+    for name in ("P", "B"):
+        if name in n and shape.k > 1:
+            a = n[name]
+            names += [f"{name}_{i}{j}" for i in range(a.shape[1]) for j in range(a.shape[2])]
+            values.append(a.reshape(len(a), -1))
+    return names, np.concatenate(values, 1)
+
+
+def parameter_table(series: DataFrame, fits: DataFrame, shape: Shape, key: str = "asset", order: str = "fecha", r: str = "r", covariate: str | None = None) -> DataFrame:
+    """(series, parameter, estimate, se): natural parameters of the fits with delta-method standard errors, null where there is none."""
+    columns = [r, *([covariate] if covariate else [])]
+    jobs = fits.select("series", "theta").join(_packed(series, key, order, columns), "series")
+
+    def run(frames):
+        for frame in frames:
+            for i in range(len(frame)):
+                theta, y = np.asarray(frame["theta"].iloc[i], float), np.asarray(frame[r].iloc[i], float)
+                x = np.asarray(frame[covariate].iloc[i], float) if covariate else None
+                names, value = _natural(theta, shape)
+                h = 1e-5 * np.maximum(1.0, np.abs(theta))
+                J = ((_natural(theta + np.diag(h), shape)[1] - _natural(theta - np.diag(h), shape)[1]) / (2 * h)[:, None]).T
+                var = np.einsum("ij,jk,ik->i", J, covariance(theta, y, shape, x), J)
+                yield pd.DataFrame({"series": frame["series"].iloc[i], "parameter": names, "estimate": value[0], "se": [float(np.sqrt(q)) if q > 0 else None for q in var]})
+
+    return jobs.mapInPandas(run, "series string, parameter string, estimate double, se double")
+
+
+def choose_penalty(series: DataFrame, shape: Shape, grid: list[float], covariate: str, folds: int = 3, starts: int = 4, rounds: int = 100, key: str = "asset", order: str = "fecha", r: str = "r") -> DataFrame:
+    """(series, penalty, score, chosen): penalties of the slopes by temporal cross-validation.
+
+    The rows are cut into folds + 1 stretches; fold f is fitted to the first f of them and scored on the next. The best
+    sum of scores wins, the first of ``grid`` among equals. A job per (series, fold, penalty).
+    """
+    columns = [r, covariate]
+    jobs = (_packed(series, key, order, columns).withColumn("penalty", F.explode(F.lit([float(x) for x in grid]))).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+            .repartition(len(grid) * folds, "series", "penalty", "fold"))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for name, y, x, penalty, fold in zip(frame["series"], frame[r], frame[covariate], frame["penalty"], frame["fold"], strict=True):
+                y, x = np.asarray(y, float), np.asarray(x, float)
+                a, b = len(y) * fold // (folds + 1), len(y) * (fold + 1) // (folds + 1)
+                theta, value, _, _ = minimise_many(lambda t, y=y[:a], x=x[:a], p=penalty: negative_loglik(t, y, shape, x, p), np.stack([random_start(y[:a], shape, 91 + s) for s in range(starts)]), rounds)
+                rows.append((name, float(penalty), float(step_logliks(theta[value.argmin()][None], y[:b], shape, x[:b])[a:].sum())))
+            yield pd.DataFrame(rows, columns=["series", "penalty", "score"])
+
+    scores = jobs.mapInPandas(run, "series string, penalty double, score double").groupBy("series", "penalty").agg(F.sum("score").alias("score"))
+    best = scores.groupBy("series").agg(F.min_by("penalty", F.struct(-F.col("score"), F.array_position(F.lit([float(x) for x in grid]), F.col("penalty")))).alias("_best"))
+    return scores.join(best, "series").select("series", "penalty", "score", (F.col("penalty") == F.col("_best")).alias("chosen"))
+
+
+def fit_decay(series: DataFrame, contributions: DataFrame, half_lives: list[float], shape: Shape, starts: int = 4, rounds: int = 100, key: str = "asset", order: str = "fecha", r: str = "r") -> DataFrame:
+    """(series, half_life, loglik, chosen): profile likelihood of the decay of a surprise covariate.
+
+    For each half-life (in days) the index of ``contributions`` (day, c) is built, lagged by a row, and the model with
+    slopes on it is fitted; the greatest likelihood wins. Contributions are a calendar's events, a row a day.
+    """
+    events = contributions.agg(F.array_sort(F.collect_list(F.struct(F.datediff("day", F.lit("1970-01-01").cast("date")).alias("d"), "c"))).alias("e"))
+    days = series.withColumn("_d", F.datediff(F.col(order), F.lit("1970-01-01").cast("date")))
+    jobs = _packed(days, key, order, [r, "_d"]).join(F.broadcast(events), F.lit(True)).withColumn("half_life", F.explode(F.lit([float(h) for h in half_lives]))).repartition(len(half_lives), "series", "half_life")
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for name, y, d, e, h in zip(frame["series"], frame[r], frame["_d"], frame["e"], frame["half_life"], strict=True):
+                y, d = np.asarray(y, float), np.asarray(d, float)
+                at, c = np.array([x["d"] for x in e], float), np.array([x["c"] for x in e], float)
+                state, k, last, index = 0.0, 0, d[0], np.zeros(len(d))
+                rate = np.log(2) / h
+                for t, day in enumerate(d):
+                    state *= np.exp(-rate * (day - last))
+                    while k < len(at) and at[k] <= day:
+                        state += c[k] * np.exp(-rate * (day - at[k]))
+                        k += 1
+                    last, index[t] = day, state
+                x = np.append(0.0, index[:-1])
+                _, value, _, _ = minimise_many(lambda t, y=y, x=x: negative_loglik(t, y, shape, x), np.stack([random_start(y, shape, 17 + s) for s in range(starts)]), rounds)
+                rows.append((name, float(h), float(-value.min())))
+            yield pd.DataFrame(rows, columns=["series", "half_life", "loglik"])
+
+    fits = jobs.mapInPandas(run, "series string, half_life double, loglik double")
+    best = fits.groupBy("series").agg(F.min_by("half_life", F.struct(-F.col("loglik"), F.col("half_life"))).alias("_best"))
+    return fits.join(best, "series").select("series", "half_life", "loglik", (F.col("half_life") == F.col("_best")).alias("chosen"))
+
+
 def hawkes_negative_loglik(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float) -> np.ndarray:
     """Negative log likelihoods of a batch of log (mu, alpha, beta) of the exponential kernel."""
     mu, alpha, beta = np.exp(np.clip(np.atleast_2d(log_params), -50, 50)).T
@@ -184,21 +393,37 @@ def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7
     return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
 
 
-def simulate(params: kernels.Params, n: int, seed: int, burn: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Returns and regimes of the model, after ``burn`` discarded steps."""
+def simulate(params: kernels.Params, n: int, seed: int, burn: int = 500, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Returns and regimes of the model, after ``burn`` discarded steps; shocks are normal, or Student's t where there is nu.
+
+    ``x`` (n lagged values) drives the transitions of parameters with slopes; it is 0 while burning in.
+    """
     a, g = params.arrays(), np.random.default_rng(seed)
     k = len(a["mu"])
+    moving = kernels.transitions(a["d"], a["B"], np.append(np.zeros(burn), x)) if params.B is not None else None
     s2, state = a["v"].copy(), int(g.choice(k, p=kernels.stationary(a["P"])))
     r, states = np.empty(n + burn), np.empty(n + burn, int)
     for t in range(n + burn):
         if t:
             e = r[t - 1] - a["mu"]
             s2 = a["omega"] + (a["alpha"] + a["gamma"] * (e < 0)) * e * e + a["beta"] * s2
-            state = int(g.choice(k, p=a["P"][state]))
-        r[t], states[t] = a["mu"][state] + np.sqrt(s2[state]) * g.normal(), state
+            state = int(g.choice(k, p=a["P"][state] if moving is None else moving[t, state]))
+        shock = g.normal() if "nu" not in a else g.standard_t(a["nu"][state]) * np.sqrt((a["nu"][state] - 2) / a["nu"][state])
+        r[t], states[t] = a["mu"][state] + np.sqrt(s2[state]) * shock, state
     return r[burn:], states[burn:]
 
 
+def simulate_garchx(mu: float, omega: float, alpha: float, beta: float, theta: float, x_lag: np.ndarray, seed: int) -> np.ndarray:
+    """Returns of a GARCH with a lagged driver."""
+    g, out = np.random.default_rng(seed), np.empty(len(x_lag))
+    s2 = (omega + theta * x_lag.mean()) / max(1 - alpha - beta, 1e-6)
+    for t in range(len(x_lag)):
+        if t:
+            s2 = max(omega + alpha * (out[t - 1] - mu) ** 2 + beta * s2 + theta * x_lag[t], 1e-12)
+        out[t] = mu + np.sqrt(s2) * g.normal()
+    return out
+
+
 def simulate_hawkes(mu: float, alpha: float, beta: float, horizon: float, seed: int, marks=None) -> tuple[np.ndarray, np.ndarray]:
     """Times and marks of the exponential kernel by thinning."""
     g = np.random.default_rng(seed)
@@ -281,12 +506,11 @@ def bootstrap_lr(series: DataFrame, replicas: int = 19, starts: int = 2, rounds:
     Replica 0 is the data. The others are simulated from the fitted single regime. p = (1 + #{LR_b >= LR}) / (B + 1),
     ratios cut off below at 0; data and replicas have equally many starts.
     """
-    one = best_fit(fit_starts(series, 1, starts, seed, rounds, key, order, r)).select("series", F.col("theta").alias("theta1"))
-    packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(r)))).alias("x")).select(F.col(key).cast("string").alias("series"), F.col(f"x.{r}").alias("r"))
-    jobs = packed.join(one, "series").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicas)))).repartition(replicas + 1, "series", "b")
+    one = best_fit(fit_starts(series, Shape(1), starts, seed, rounds, key=key, order=order, r=r)).select("series", F.col("theta").alias("theta1"))
+    jobs = _packed(series, key, order, [r]).withColumnRenamed(r, "r").join(one, "series").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicas)))).repartition(replicas + 1, "series", "b")
 
     def ratio(x: np.ndarray, base: int) -> float:
-        best = [min(minimise(lambda t, k=k: negative_loglik(t, x, k), random_start(x, k, base + i), rounds)[1] for i in range(starts)) for k in (1, 2)]
+        best = [minimise_many(lambda t, k=k: negative_loglik(t, x, Shape(k)), np.stack([random_start(x, Shape(k), base + i) for i in range(starts)]), rounds)[1].min() for k in (1, 2)]
         return max(0.0, 2 * (best[0] - best[1]))
 
     def run(frames):
@@ -295,7 +519,7 @@ def bootstrap_lr(series: DataFrame, replicas: int = 19, starts: int = 2, rounds:
             for s, x, theta, b in zip(frame["series"], frame["r"], frame["theta1"], frame["b"], strict=True):
                 x = np.asarray(x, float)
                 if b:
-                    n = {k: tuple(v[0]) if v.ndim == 2 else v[0] for k, v in unpack(np.asarray(theta), 1).items()}
+                    n = {k: tuple(v[0]) if v.ndim == 2 else v[0] for k, v in unpack(np.asarray(theta), Shape(1)).items()}
                     model = kernels.Params(mu=n["mu"], v=n["v"], alpha=n["alpha"], gamma=n["gamma"], beta=n["beta"], P=((1.0,),), omega=n["omega"])
                     x, _ = simulate(model, len(x), seed * 1_000_003 + int(b))
                 rows.append((s, int(b), ratio(x, seed * 7_919 + 100 * int(b))))

@@ -47,21 +47,38 @@ def surprise_index(events: DataFrame, days: DataFrame, decay: float, day: str =
     return dated.withColumn("value", total * F.exp(-F.col("age") * decay)).where("target = 1").select(day, "value")
 
 
-def hawkes_states(events: DataFrame, mu: float, alpha: float, beta: float, key: str = "key") -> DataFrame:
-    """(key, event_id, t, s, a, intensity, tau): decay state, intensity and rescaled time at each event.
+def decay_scan(rows: DataFrame, beta: float, order: list[str], key: str = "key") -> DataFrame:
+    """Adds a, the sum of s * exp(-beta * (t - t_j)), and before, the sum of s, over the key's rows before each (by ``order``, which starts with t).
 
-    One task per key; a pass over the key's events with one double of state.
+    Time is cut into blocks of 24 / beta, so a hot key is many tasks: sums inside a block are scaled to its start, and what
+    earlier blocks leave behind comes from one number each. Of these, 32 blocks count; older ones have decayed below 1e-300.
     """
-    kinds = dict(events.dtypes)
+    width = 24.0 / beta
+    placed = rows.withColumn("_b", F.floor(F.col("t") / width).cast("bigint"))
+    start = F.col("_b") * width
+    totals = placed.groupBy(key, "_b").agg(F.sum(F.col("s") * F.exp(-beta * ((F.col("_b") + 1) * width - F.col("t")))).alias("left"), F.sum("s").alias("mass"))
+    ahead = totals.select(key, "left", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("_n"), F.col("_b").alias("_from"))
+    carried = ahead.groupBy(key, (F.col("_from") + F.col("_n")).alias("_b")).agg(F.sum(F.col("left") * F.exp(-24.0 * (F.col("_n") - 1))).alias("carry"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    sums = totals.select(key, "_b", F.coalesce(F.sum("mass").over(earlier), F.lit(0.0)).alias("mass_before")).join(carried, [key, "_b"], "left")
+    w = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({"_in": F.coalesce(F.sum(F.col("s") * F.exp(beta * (F.col("t") - start))).over(w), F.lit(0.0)), "_mass": F.coalesce(F.sum("s").over(w), F.lit(0.0))})
+    out = own.join(sums, [key, "_b"])
+    a = (F.col("_in") + F.coalesce("carry", F.lit(0.0))) * F.exp(-beta * (F.col("t") - start))
+    return out.select(*rows.columns, a.alias("a"), (F.col("mass_before") + F.col("_mass")).alias("before"))
+
+
+def hawkes_states(events: DataFrame, mu: float, alpha: float, beta: float, key: str = "key") -> DataFrame:
+    """(key, event_id, t, s, a, intensity, tau): decay state, intensity and rescaled time at each event."""
+    scanned = decay_scan(events.select(key, "event_id", "t", "s"), beta, ["t", "event_id"], key)
+    return scanned.withColumns({"intensity": mu + alpha * F.col("a"), "tau": mu * F.col("t") + alpha / beta * (F.col("before") - F.col("a"))}).drop("before")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "event_id"]).reset_index(drop=True)
-        t, s = part["t"].to_numpy(float), part["s"].to_numpy(float)
-        a = kernels.decay_state(t, s, beta)
-        before = np.cumsum(s) - s
-        return part.assign(a=a, intensity=mu + alpha * a, tau=mu * t + alpha / beta * (before - a))
 
-    return events.select(key, "event_id", "t", "s").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, event_id bigint, t double, s double, a double, intensity double, tau double")
+def lambda_on_grid(events: DataFrame, grid: DataFrame, mu: float, alpha: float, beta: float, inclusive: bool = True, key: str = "key") -> DataFrame:
+    """``grid`` (key, t) with lam, the intensity there; events at the very time count if ``inclusive``."""
+    stacked = (events.select(key, "t", "s", F.lit(False).alias("_grid"))
+               .unionByName(grid.select(key, "t", F.lit(0.0).alias("s"), F.lit(True).alias("_grid"))).withColumn("_last", F.col("_grid") == F.lit(inclusive)))
+    return decay_scan(stacked, beta, ["t", "_last"], key).where("_grid").select(key, "t", (mu + alpha * F.col("a")).alias("lam"))
 
 
 def hawkes_compensator(events: DataFrame, mu: float, alpha: float, beta: float, horizon: float, key: str = "key") -> DataFrame:
@@ -83,31 +100,25 @@ def rescaled_gaps(states: DataFrame, key: str = "key") -> DataFrame:
 
 
 def ks_exponential(gaps: DataFrame, key: str = "key") -> DataFrame:
-    """(key, n, d): greatest distance of the gaps' distribution from the unit exponential."""
+    """(key, n, d, p): greatest distance of the gaps' distribution from the unit exponential, and its asymptotic p value."""
     w = Window.partitionBy(key).orderBy("gap")
     ranked = gaps.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key)), "f": 1 - F.exp(-F.col("gap"))})
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("i") / F.col("n") - F.col("f"), F.col("f") - (F.col("i") - 1) / F.col("n"))).alias("d"))
+    out = ranked.groupBy(key).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("i") / F.col("n") - F.col("f"), F.col("f") - (F.col("i") - 1) / F.col("n"))).alias("d"))
+    x2 = F.col("n") * F.col("d") * F.col("d")
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x2))
+    # where the series converges too slowly the distance is as small as can be
+    return out.withColumn("p", F.when(x2 < 0.04, 1.0).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0))))
 
 
 def lambda_daily(events: DataFrame, mu: float, alpha: float, beta: float, days: DataFrame, key: str = "key") -> DataFrame:
     """(key, day_no, lam): intensity at the end of each day, events up to and at it; null outside a key's coverage.
 
-    ``days`` has (day_no). Day ends are stacked with the events, and the state is carried by one pass per key.
+    ``days`` has (day_no).
     """
-    kinds = dict(events.dtypes)
     bounds = events.groupBy(key).agg(F.floor(F.min("t")).alias("lo"), F.floor(F.max("t")).alias("hi"))
-    grid = bounds.join(F.broadcast(days), F.lit(True)).select(key, F.col("day_no").cast("double").alias("day"), ((F.col("day_no") >= F.col("lo")) & (F.col("day_no") <= F.col("hi"))).alias("covered"))
-    stacked = events.select(key, "t", "s", F.lit(None).cast("double").alias("day"), F.lit(True).alias("covered")).unionByName(grid.select(key, (F.col("day") + 1).alias("t"), F.lit(0.0).alias("s"), "day", "covered"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(_g=part["day"].notna()).sort_values(["t", "_g"]).reset_index(drop=True)
-        a = kernels.decay_state(part["t"].to_numpy(float), part["s"].to_numpy(float), beta)
-        at = part["_g"].to_numpy()
-        lam = np.where(part["covered"], mu + alpha * a, np.nan)
-        return pd.DataFrame({key: part[key][at], "day_no": part["day"][at].astype("int64"), "lam": lam[at]})
-
-    out = stacked.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, day_no bigint, lam double")
-    return out.withColumn("lam", F.when(~F.isnan("lam"), F.col("lam")))
+    grid = bounds.join(F.broadcast(days), F.lit(True)).select(key, "day_no", (F.col("day_no") + 1).cast("double").alias("t"), ((F.col("day_no") >= F.col("lo")) & (F.col("day_no") <= F.col("hi"))).alias("covered"))
+    lam = lambda_on_grid(events, grid.select(key, "t"), mu, alpha, beta, True, key)
+    return grid.join(lam, [key, "t"]).select(key, F.col("day_no").cast("bigint").alias("day_no"), F.when(F.col("covered"), F.col("lam")).alias("lam"))
 
 
 def branching(events: DataFrame, alpha: float, beta: float, var_alpha: float, var_beta: float, cov: float, key: str = "key", level: float = 1.959963984540054, cap: float = 0.95) -> DataFrame:
@@ -120,15 +131,28 @@ def branching(events: DataFrame, alpha: float, beta: float, var_alpha: float, va
     return out.withColumns({"bounded": F.col("high") < cap, "cascade": F.when((F.col("high") < cap) & (F.col("n") < 1), 1 / (1 - F.col("n")))})
 
 
-def power_law_excess(events: DataFrame, c: float, p: float, key: str = "key") -> DataFrame:
+def power_law_excess(events: DataFrame, c: float, p: float, key: str = "key", block: int = 2_048) -> DataFrame:
     """(key, event_id, excess): sum over earlier events of s / (t - t_j + c) ** p.
 
-    The kernel has no finite state, so it is quadratic in a key's events; later events are dealt over tasks by
-    a salt, each joining the key's earlier events.
+    The kernel has no finite state, so it is quadratic in a key's events: these are dealt over blocks of about ``block``,
+    each two blocks of a key are a task of bounded size, and sums are added up.
     """
-    later, earlier = events.alias("a"), events.select(F.col(key).alias("_k"), F.col("t").alias("_t"), F.col("s").alias("_s")).alias("b")
-    joined = later.join(earlier, (F.col(key) == F.col("_k")) & (F.col("_t") < F.col("t")), "left")
-    return joined.groupBy(key, "event_id").agg(F.coalesce(F.sum(F.col("_s") / F.pow(F.col("t") - F.col("_t") + c, F.lit(p))), F.lit(0.0)).alias("excess"))
+    kinds = dict(events.dtypes)
+    sizes = events.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    placed = events.select(key, "event_id", "t", "s").join(sizes, key).withColumn("_b", F.pmod(F.xxhash64("event_id"), F.col("_k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    both = (placed.select(key, "event_id", "t", "s", F.col("_b").alias("_i"), other.alias("_j"), F.lit(True).alias("_later"))
+            .unionByName(placed.select(key, "event_id", "t", "s", other.alias("_i"), F.col("_b").alias("_j"), F.lit(False).alias("_later"))))
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        later, earlier = part[part["_later"]], part[~part["_later"]]
+        gap = later["t"].to_numpy(float)[:, None] - earlier["t"].to_numpy(float)[None, :]
+        with np.errstate(all="ignore"):
+            kernel = np.where(gap > 0, earlier["s"].to_numpy(float)[None, :] * (gap + c) ** -p, 0.0)
+        return pd.DataFrame({key: later[key].to_numpy(), "event_id": later["event_id"].to_numpy(), "part": kernel.sum(1)})
+
+    parts = both.groupBy(key, "_i", "_j").applyInPandas(add, f"{key} {kinds[key]}, event_id bigint, part double")
+    return parts.groupBy(key, "event_id").agg(F.sum("part").alias("excess"))
 
 
 def attribution(df: DataFrame, parts: dict[str, tuple[str, float]], active: set[str]) -> DataFrame:

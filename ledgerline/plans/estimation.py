@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, estimate, rolling, walkforward
+from ..operators import audit, bootstrap, estimate, rolling, walkforward
 from ..operators import calibration as cal
 from ..sources import tables as src
 
+TWO = estimate.Shape(2)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 WALK = ["series", "k", "n", "loglik", "n_starts", "n_converged", "theta"]
@@ -26,38 +27,87 @@ def _returns(spark: SparkSession, d: str, by_asset: bool = False) -> DataFrame:
 
 @query
 def fit_msgarch(spark: SparkSession, d: str) -> DataFrame:
-    """Two regimes fitted to all daily returns from several starts."""
-    return estimate.best_fit(estimate.fit_starts(_returns(spark, d), 2, starts=4, rounds=25))
+    """Two regimes fitted to all daily returns from 20 starts, to tolerance or 40 rounds."""
+    return estimate.best_fit(estimate.fit_starts(_returns(spark, d), TWO, rounds=40))
 
 
 @query
-def bic_table(spark: SparkSession, d: str) -> DataFrame:
-    """BIC of one and two regimes, and which is best."""
+def parameter_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Natural parameters of the two-regime fit with delta-method standard errors."""
     r = _returns(spark, d)
-    both = estimate.best_fit(estimate.fit_starts(r, 1, starts=2, rounds=20)).unionByName(estimate.best_fit(estimate.fit_starts(r, 2, starts=2, rounds=20)))
-    return both.select("series", "k", "n", "loglik", "bic", "aic").withColumn("best", F.rank().over(Window.partitionBy("series").orderBy("bic", "k")) == 1)
+    return estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, TWO, starts=4, rounds=60)), TWO)
 
 
 @query
-def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """One regime re-fitted from scratch on each block's train rows (2 years); log likelihood there, and of the test rows that follow."""
+def bic_table(spark: SparkSession, d: str) -> DataFrame:
+    """BIC of one and two regimes with normal and Student's t shocks, and which is best."""
+    from functools import reduce
+
+    r = _returns(spark, d)
+    specs = [(k, t) for k in (1, 2) for t in (False, True)]
+    fits = [estimate.best_fit(estimate.fit_starts(r, estimate.Shape(k, t), starts=2, rounds=40)).withColumn("dist", F.lit("t" if t else "normal")) for k, t in specs]
+    every = reduce(lambda a, b: a.unionByName(b), fits)
+    w = Window.partitionBy("series").orderBy("bic", "k", "dist")
+    return every.select("series", "k", "dist", "n", "loglik", "bic", "aic", "n_starts", "n_converged").withColumn("best", F.row_number().over(w) == 1)
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Daily returns by block and part: two years of train, half a year of test."""
     r = _returns(spark, d)
     first, last = r.agg(F.min("fecha"), F.max("fecha")).first()
-    if first is None:
-        return estimate.best_fit(estimate.fit_starts(r, 1, starts=1)).select(*WALK, F.lit(0).alias("n_test"), F.lit(0.0).alias("test_loglik"))
-    blocks = walkforward.windows_frame(spark, walkforward.windows(first, last, train_years=2, least=0))
-    rows = walkforward.assign(r, blocks).withColumn("block", F.col("block_id").cast("string"))
-    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), 1, starts=2, rounds=20, key="block")).select(*WALK)
-    return estimate.score_test(rows, fits)
+    blocks = walkforward.windows(first, last, train_years=2, least=0) if first else []
+    return walkforward.assign(r, walkforward.windows_frame(spark, blocks)).withColumn("block", F.col("block_id").cast("string"))
+
+
+@query
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Two regimes re-fitted from scratch on each block's train rows; log likelihood there, and of the test rows that follow."""
+    rows = _assigned(spark, d)
+    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), TWO, starts=2, rounds=30, key="block")).select(*WALK)
+    return estimate.score_test(rows, fits, TWO)
+
+
+@query
+def walk_forward_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every block's test rows under its own fit: predicted and filtered probabilities, log likelihood, predicted mean."""
+    rows = _assigned(spark, d)
+    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), TWO, starts=2, rounds=30, key="block"))
+    return estimate.out_of_sample(rows, fits, TWO)
+
+
+@query
+def slope_penalty(spark: SparkSession, d: str) -> DataFrame:
+    """Penalty of the slopes on yesterday's return, by temporal cross-validation."""
+    r = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)) / 50)
+    return estimate.choose_penalty(r, estimate.Shape(2, slopes=True), [0.0, 1.0, 10.0], "x", starts=1, rounds=25)
+
+
+@query
+def slope_signs(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes on yesterday's return with errors, effect on the last regime and agreement with a prior."""
+    shape = estimate.Shape(2, slopes=True)
+    r = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)) / 50)
+    table = estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, shape, starts=2, rounds=40, covariate="x")), shape, covariate="x")
+    slopes = table.where("parameter like 'B%'").select("series", F.lit("x").alias("covariate"), F.substring("parameter", 3, 1).cast("int").alias("origin"), F.substring("parameter", 4, 1).cast("int").alias("target"), F.col("estimate").alias("beta"), "se")
+    return audit.slope_signs(slopes, {"x": "-"})
+
+
+@query
+def surprise_decay(spark: SparkSession, d: str) -> DataFrame:
+    """Profile likelihood of the half-life of release surprises (by shipping date) as a driver of the regimes."""
+    v = src.one_per_vintage(src.vintages(spark, d)).groupBy(F.col("realtime_start").alias("day")).agg(((F.avg("value") - 38_000) / 10_000).alias("c"))
+    return estimate.fit_decay(_returns(spark, d), v, [5.0, 20.0, 80.0], estimate.Shape(2, slopes=True), starts=1, rounds=25)
 
 
 @query
 def block_reestimation(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance between successive blocks' parameters: re-estimated blocks differ. Vacuous without two blocks."""
-    fits = walk_forward(spark, d).withColumn("block", F.col("series").cast("int"))
-    before = F.lag("theta").over(Window.orderBy("block"))  # some ten blocks
-    gap = fits.withColumn("gap", F.array_max(F.zip_with("theta", before, lambda a, b: F.abs(a - b))))
-    return gap.agg(F.count("gap").alias("n_pairs"), F.min("gap").alias("least"), F.coalesce(F.min("gap") > 1e-8, F.lit(True)).alias("passed"), (F.count("gap") == 0).alias("vacuous"))
+    """Per block, refitted with one regime: least L-infinity distance of its parameters to any other block's, and whether it is re-estimated. No rows without two blocks."""
+    rows = _assigned(spark, d).where("part = 'train'")
+    fits = estimate.best_fit(estimate.fit_starts(rows, estimate.Shape(1), starts=2, rounds=40, key="block")).select(F.col("series").cast("int").alias("block"), "theta")
+    others = fits.select(F.col("block").alias("other"), F.col("theta").alias("theta_other"))  # some ten blocks
+    pairs = fits.join(F.broadcast(others), F.col("block") != F.col("other"))
+    gap = F.array_max(F.zip_with("theta", "theta_other", lambda a, b: F.abs(a - b)))
+    return pairs.groupBy("block").agg(F.min(gap).alias("least")).withColumn("passed", F.col("least") > 1e-8)
 
 
 @query
@@ -101,8 +151,8 @@ def garchx_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bootstrap_lr(spark: SparkSession, d: str) -> DataFrame:
-    """Two regimes against one on all daily returns, by parametric bootstrap."""
-    return estimate.bootstrap_lr(_returns(spark, d), replicas=7, starts=1, rounds=8)
+    """Two regimes against one on all daily returns, by parametric bootstrap: 49 replicas."""
+    return estimate.bootstrap_lr(_returns(spark, d), replicas=49, starts=1, rounds=30)
 
 
 @query
@@ -114,18 +164,21 @@ def branching_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ablation_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Constant, covariate-driven and reversed-covariate transitions compared by out-of-sample score: neighbours of the ladder by Diebold-Mariano."""
+    """Rungs fitted per block and compared on its test rows: one regime, two, two with t shocks, two driven by yesterday's return; neighbours by Diebold-Mariano."""
     from functools import reduce
 
-    from ..functions.kernels import Params
-    from .regime import FIXED, MOVING, _history
-
-    flipped = Params(**{**MOVING.__dict__, "B": tuple((-b[0],) for b in MOVING.B)})
-    specs = [("M0", FIXED), ("M1", MOVING), ("M2", flipped)]
-    losses = [_history(spark, d, params=p).select("asset", "fecha", (-F.col("loglik")).alias(n)) for n, p in specs]
-    wide = reduce(lambda a, b: a.join(b, ["asset", "fecha"]), losses)
-    rungs = [cal.diebold_mariano(wide, a, b).withColumns({"first": F.lit(a), "second": F.lit(b)}) for a, b in (("M1", "M0"), ("M2", "M1"))]
-    return rungs[0].unionByName(rungs[1])
+    rows = _assigned(spark, d)
+    rows = rows.withColumn("x", F.coalesce(F.lag("r").over(Window.partitionBy("block").orderBy("fecha")), F.lit(0.0)) / 50)
+    specs = [("M0", estimate.Shape(1)), ("M1", TWO), ("M2", estimate.Shape(2, student=True)), ("M3", estimate.Shape(2, slopes=True))]
+    losses = []
+    for name, shape in specs:
+        x = "x" if shape.slopes else None
+        fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), shape, starts=1, rounds=25, key="block", covariate=x))
+        losses.append(estimate.out_of_sample(rows, fits, shape, covariate=x).select("fecha", (-F.col("loglik")).alias(name)))
+    wide = reduce(lambda a, b: a.join(b, "fecha"), losses).withColumn("asset", F.lit("ALL"))
+    pairs = [(b, a) for a, b in zip([n for n, _ in specs], [n for n, _ in specs[1:]], strict=False)]
+    rungs = [cal.diebold_mariano(wide, a, b).withColumns({"first": F.lit(a), "second": F.lit(b)}) for a, b in pairs]
+    return reduce(lambda a, b: a.unionByName(b), rungs)
 
 
 @query

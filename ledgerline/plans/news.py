@@ -113,7 +113,22 @@ def hawkes_rescaled_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_GAPS}, rk as (select key, row_number() over (partition by key order by gap) as i, count(*) over (partition by key) as n, 1 - exp(-gap) as f from gp) select key, max(n) as n, round(max(greatest(cast(i as double) / n - f, f - (cast(i as double) - 1) / n)), 6) as d from rk group by 1")
 def hawkes_ks_stat(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(news.ks_exponential(news.rescaled_gaps(_states(spark, d))), "d")
+    return rounded(news.ks_exponential(news.rescaled_gaps(_states(spark, d))).drop("p"), "d")
+
+
+@query(f"""with {_GAPS}, rk as (select key, row_number() over (partition by key order by gap) as i, count(*) over (partition by key) as n, 1 - exp(-gap) as f from gp),
+k as (select key, max(n) as n, max(greatest(cast(i as double) / n - f, f - (cast(i as double) - 1) / n)) as d from rk group by 1)
+select key, round(case when n * d * d < 0.04 then 1.0 else least(1.0, greatest(0.0, (select sum(case when j % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * j * j * n * d * d)) from (select unnest(range(1, 101)) as j)))) end, 6) as p from k""")
+def hawkes_ks_p(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(news.ks_exponential(news.rescaled_gaps(_states(spark, d))).select("key", "p"), "p")
+
+
+@query(f"""with {_EV}, g as (select key, cast(h as double) / 4 as t from (select distinct key from ev), (select unnest(range(125)) as h))
+select g.key, g.t, round({MU} + {ALPHA} * coalesce(sum(s * exp(-{BETA} * (g.t - ev.t))), 0), 5) as lam from g left join ev on ev.key = g.key and ev.t < g.t group by 1, 2""")
+def hawkes_lambda_grid(spark: SparkSession, d: str) -> DataFrame:
+    e = src.point_process(spark, d)
+    grid = e.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(124))).alias("h")).select("key", (F.col("h") / 4).alias("t"))
+    return rounded(news.lambda_on_grid(e, grid, MU, ALPHA, BETA, inclusive=False), "lam", digits=5)
 
 
 _LAM = f"""{_EV}, b as (select key, floor(min(t)) as lo, floor(max(t)) as hi from ev group by 1), g as (select key, cast(d as bigint) as day_no, d >= lo and d <= hi as covered from b cross join (select unnest(range(32)) as d)),

@@ -147,20 +147,24 @@ _PY = f"{HIST}, py as (select *, q1 as p, case when x1 > x0 then 1 else 0 end as
 @query(f"""with recursive {_PY}, s as (select count(*) as n, avg(2 * (p - y) * (p - y)) as brier, avg(-ln(greatest(case when y = 1 then p else 1 - p end, 1e-15))) as logloss, avg(cast(y as double)) as f from py)
 select n, round(brier, 6) as brier, round(logloss, 6) as logloss, round(2 * f * (1 - f), 6) as brier_base, round(-(f * ln(greatest(f, 1e-15)) + (1 - f) * ln(greatest(1 - f, 1e-15))), 6) as logloss_base from s""")
 def brier_logloss(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cal.brier_logloss(cal.two_class(_history(spark, d))), "brier", "logloss", "brier_base", "logloss_base")
+    return rounded(cal.brier_logloss(_history(spark, d)), "brier", "logloss", "brier_base", "logloss_base")
 
 
 _REL = f"{_PY}, rel as (select least(cast(floor(p * 10) as integer), 9) as bin, count(*) as n, avg(p) as mean_p, avg(cast(y as double)) as observed from py group by 1)"
+_EDGES = [0.0, *cal.bin_edges(10), 1.0]
+_TOP = f"""{HIST}, tl as (select greatest(q0, q1) as c, case when (q1 > q0) = (x1 > x0) then 1.0 else 0.0 end as hit from hist),
+edges(bin, bin_lo, bin_hi) as (values {", ".join(f"({i}, cast({_EDGES[i]!r} as double), cast({_EDGES[i + 1]!r} as double))" for i in range(10))}),
+rl as (select bin, bin_lo, bin_hi, count(c) as n, avg(c) as mean_confidence, avg(hit) as accuracy from edges left join tl on c >= bin_lo and (c < bin_hi or bin = 9) group by 1, 2, 3)"""
 
 
-@query(f"with recursive {_REL} select b.bin, coalesce(n, 0) as n, round(mean_p, 6) as mean_p, round(observed, 6) as observed from (select cast(unnest(range(10)) as integer) as bin) b left join rel on rel.bin = b.bin")
+@query(f"with recursive {_TOP} select cast(bin as integer) as bin, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, n, round(mean_confidence, 6) as mean_confidence, round(accuracy, 6) as accuracy from rl")
 def reliability_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cal.reliability(cal.two_class(_history(spark, d))), "mean_p", "observed")
+    return rounded(cal.top_label_reliability(cal.top_label(_history(spark, d))), "bin_lo", "bin_hi", "mean_confidence", "accuracy")
 
 
-@query(f"with recursive {_REL} select round(sum(n * abs(mean_p - observed)) / sum(n), 6) as ece from rel")
+@query(f"with recursive {_TOP} select round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 6) as ece from rl where n > 0")
 def ece(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cal.calibration_error(cal.two_class(_history(spark, d))), "ece")
+    return rounded(cal.top_label_error(cal.top_label(_history(spark, d))), "ece")
 
 
 @query(f"with recursive {_REL}, f as (select avg(cast(y as double)) as f from py) select round(sum(n * (mean_p - observed) ** 2) / sum(n), 6) as reliability, round(sum(n * (observed - f) ** 2) / sum(n), 6) as resolution, round(max(f * (1 - f)), 6) as uncertainty from rel, f")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import estimation, news, regime, relational, streams
+from . import estimation, news, regime, relational, streams, validation
 
-_MODULES = [relational, regime, news, estimation, streams]
+_MODULES = [relational, regime, news, validation, estimation, streams]
 FLAGSHIP = "hamilton_filter"
 
 

@@ -77,12 +77,12 @@ def dedupe_keep_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select key, source_rank, id from (
-  select sha1(lower(trim(regexp_extract(text, '^[^\\n]*')))) as key, 0 as source_rank, doc_id as id from documents
-  union all select sha1(lower(trim(url))), 1, page_id from pages
-  union all select sha1(lower(trim(text))), 2, item_id from benchmark)
+  select sha1(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) as key, 0 as source_rank, doc_id as id from documents
+  union all select sha1(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g'))), 1, page_id from pages
+  union all select sha1(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))), 2, item_id from benchmark)
 qualify row_number() over (partition by key order by source_rank, id) = 1""")
 def multi_source_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    docs = src.table(spark, d, "documents").select(fn.title_key(F.regexp_extract("text", r"^[^\n]*", 0)).alias("key"), F.col("doc_id").alias("id"))
+    docs = src.table(spark, d, "documents").select(fn.title_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"))
     pages = src.table(spark, d, "pages").select(fn.title_key(F.col("url")).alias("key"), F.col("page_id").alias("id"))
     items = src.table(spark, d, "benchmark").select(fn.title_key(F.col("text")).alias("key"), F.col("item_id").alias("id"))
     return dedupe.union_dedupe([docs, pages, items], "key", ["id"])
@@ -99,29 +99,29 @@ def first_non_null_by_capture(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select event_id, raw, round(case suffix when 'K' then 1e3 when 'M' then 1e6 when 'B' then 1e9 else 1.0 end * try_cast(nullif(number, '') as double), 6) as parsed from (
-  select event_id, raw, regexp_extract(up, '^([+-]?\\d+(?:\\.\\d+)?)\\s*([KMBT%]?)$', 1) as number, regexp_extract(up, '^([+-]?\\d+(?:\\.\\d+)?)\\s*([KMBT%]?)$', 2) as suffix from (
+  select event_id, raw, regexp_extract(up, '^(-?\\d+(?:\\.\\d+)?)\\s*([KMBT%]?)$', 1) as number, regexp_extract(up, '^(-?\\d+(?:\\.\\d+)?)\\s*([KMBT%]?)$', 2) as suffix from (
     select *, upper(trim(replace(raw, ',', ''))) as up from (
-      select event_id, case event_id % 5 when 0 then cast(event_id as varchar) || '.5%' when 1 then cast(event_id as varchar) || 'K' when 2 then '1,' || lpad(cast(event_id % 1000 as varchar), 3, '0') || 'B' when 3 then 'n/a' else ' ' || cast(event_id as varchar) || ' m ' end as raw from events)))""")
+      select event_id, case event_id % 5 when 0 then case when event_id % 2 = 0 then '-' else '+' end || cast(event_id as varchar) || '.5%' when 1 then cast(event_id as varchar) || 'K' when 2 then '1,' || lpad(cast(event_id % 1000 as varchar), 3, '0') || 'B' when 3 then 'n/a' else ' ' || cast(event_id as varchar) || ' m ' end as raw from events)))""")
 def parse_human_numbers(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     s = i.cast("string")
-    raw = (F.when(i % 5 == 0, F.concat(s, F.lit(".5%"))).when(i % 5 == 1, F.concat(s, F.lit("K"))).when(i % 5 == 2, F.concat(F.lit("1,"), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit("B")))
+    raw = (F.when(i % 5 == 0, F.concat(F.when(i % 2 == 0, "-").otherwise("+"), s, F.lit(".5%"))).when(i % 5 == 1, F.concat(s, F.lit("K"))).when(i % 5 == 2, F.concat(F.lit("1,"), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit("B")))
            .when(i % 5 == 3, "n/a").otherwise(F.concat(F.lit(" "), s, F.lit(" m "))))
     rows = src.table(spark, d, "events").select("event_id", raw.alias("raw"))
     return rows.withColumn("parsed", F.round(fn.human_number(F.col("raw")), 6))
 
 
-@query("select doc_id, case " + " ".join(f"when regexp_matches(lower(title), '{p}') then '{n}'" for n, p in KEYWORDS) + " end as indicator from (select doc_id, regexp_extract(text, '^[^\\n]*') as title from documents)")
+@query("select doc_id, case " + " ".join(f"when regexp_matches(lower(title), '{p}') then '{n}'" for n, p in KEYWORDS) + " end as indicator from (select doc_id, text as title from documents)")
 def keyword_indicator(spark: SparkSession, d: str) -> DataFrame:
-    return src.table(spark, d, "documents").select("doc_id", fn.first_keyword(F.regexp_extract("text", r"^[^\n]*", 0), KEYWORDS).alias("indicator"))
+    return src.table(spark, d, "documents").select("doc_id", fn.first_keyword(F.col("text"), KEYWORDS).alias("indicator"))
 
 
-@query("select page_id, sha1(lower(trim(url))) as key from pages")
+@query(r"select page_id, sha1(lower(regexp_replace(url, '^\s+|\s+$', '', 'g'))) as key from pages")
 def title_key(spark: SparkSession, d: str) -> DataFrame:
     return src.table(spark, d, "pages").select("page_id", fn.title_key(F.col("url")).alias("key"))
 
 
-@query("select page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) as slug from pages")
+@query("select page_id, case when trim(s, '_') = '' then 'query' else substr(trim(s, '_'), 1, 60) end as slug from (select page_id, regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g') as s from pages)")
 def file_slug(spark: SparkSession, d: str) -> DataFrame:
     return src.table(spark, d, "pages").select("page_id", fn.slug(F.col("url")).alias("slug"))
 
@@ -203,13 +203,12 @@ def _lags(spark: SparkSession, d: str) -> DataFrame:
     return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select("l_returnflag", F.datediff("s", "o").alias("lag"))
 
 
-@query("""with l as (select date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) as lag from lineitem join orders on l_orderkey = o_orderkey), b as (select min(lag) as lo, max(lag) as hi from l)
-select least(cast(floor(12.0 * (lag - lo) / (hi - lo)) as bigint), 11) as bin, count(*) as n from l, b group by 1""")
+@query("""with l as (select cast(date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) as double) as lag from lineitem join orders on l_orderkey = o_orderkey), b as (select min(lag) as a, max(lag) as z from l),
+w as (select case when a = z then a - coalesce(nullif(0.001 * abs(a), 0), 0.001) else a end as lo, case when a = z then z + coalesce(nullif(0.001 * abs(z), 0), 0.001) else z end as hi, a, z from b where a is not null),
+e as (select cast(i as integer) as bin, lo + i * ((hi - lo) / 12) - case when i = 0 and a <> z then 0.001 * (hi - lo) else 0 end as edge_lo, lo + (i + 1) * ((hi - lo) / 12) as edge_hi from w, (select unnest(range(12)) as i))
+select bin, round(edge_lo, 6) as edge_lo, round(edge_hi, 6) as edge_hi, count(lag) as n from e left join l on lag > edge_lo and (lag <= edge_hi or bin = 11) group by 1, 2, 3""")
 def lag_histogram(spark: SparkSession, d: str) -> DataFrame:
-    lags = _lags(spark, d)
-    bounds = lags.agg(F.min("lag").alias("lo"), F.max("lag").alias("hi"))
-    place = F.least(F.floor(F.lit(12.0) * (F.col("lag") - F.col("lo")) / (F.col("hi") - F.col("lo"))), F.lit(11)).cast("bigint")
-    return lags.join(F.broadcast(bounds), F.lit(True)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    return rounded(coverage.lag_histogram(_lags(spark, d).select(F.col("lag").cast("double").alias("lag")), "lag", 12), "edge_lo", "edge_hi")
 
 
 _Z = "case when count(close) over w20 = 20 then (close - avg(close) over w20) / nullif(stddev_samp(close) over w20, 0) end"
@@ -307,11 +306,11 @@ p as (select h.event_id, h.key, h.t, r.t as rt, r.value from h asof left join r
 n as (select h.event_id, r.t as rt, r.value from h asof left join r on h.key = r.key and h.t <= r.t),
 m as (select p.event_id, p.key, p.t, case when n.rt is null or (p.rt is not null and p.t - p.rt <= n.rt - p.t) then p.rt else n.rt end as matched_on,
   case when n.rt is null or (p.rt is not null and p.t - p.rt <= n.rt - p.t) then p.value else n.value end as value from p join n on p.event_id = n.event_id)
-select event_id, key, t, matched_on, value from m where abs(t - matched_on) <= 600000000""")
+select event_id, key, t, cast(case when abs(t - matched_on) <= 600000000 then matched_on end as double) as matched_on, case when abs(t - matched_on) <= 600000000 then value end as value from m""")
 def asof_nearest_release(spark: SparkSession, d: str) -> DataFrame:
     e = src.table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), src.micros("ts").alias("t"), "value")
     left = e.where("event_id % 2 = 1").select("event_id", "key", "t")
-    return asof.asof_nearest(left, e.where("event_id % 2 = 0").select("key", "t", "value"), "t", ["key"], "value", 600_000_000)
+    return asof.asof_nearest(left, e.where("event_id % 2 = 0").select("key", "t", "value"), "t", ["key"], "value", 600_000_000).withColumn("matched_on", F.col("matched_on").cast("double"))
 
 
 PIT = f"""{VINTAGES}, live as (

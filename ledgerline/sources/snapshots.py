@@ -6,7 +6,9 @@ Snapshots are read with fixed schemas, exploded to rows, and de-duplicated by th
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
+from time import sleep
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,7 @@ class PagedReader(DataSourceReader):
                 except OSError:
                     if attempt == retries:
                         raise
+                    sleep(float(self.options.get("wait", "0")))
             yield from (tuple(r.get(c) for c in names) for r in rows)
             if len(rows) < size:
                 return
@@ -105,7 +108,7 @@ class PagedSource(DataSource):
     """``spark.read.format("ledgerline_paged")`` over a function ``fetch(window, page, size, query)`` named by ``module:name``.
 
     The function talks to the service (prices, vintages, headlines, sentiment, rates); windows are read in
-    parallel. Options: fetch, windows, pagesize, retries, query (JSON).
+    parallel. Options: fetch, windows, pagesize, retries, wait (seconds before asking again), query (JSON).
     """
 
     @classmethod
@@ -117,3 +120,137 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(schema, self.options)
+
+
+class RateLimited(OSError):
+    """The service asks to wait: worth asking again, unlike a refused query."""
+
+
+class CapReached(Exception):
+    """The service says that a window holds more than it gives at once."""
+
+
+def by_cursor(fetch: Callable, start, size: int, cursor: Callable) -> Iterator[dict]:
+    """Rows of ``fetch(start, size)`` page by page, the next from ``cursor(last row)`` on, until a short page.
+
+    A cursor that does not move on is an error, not an endless loop.
+    """
+    while True:
+        rows = fetch(start, size)
+        yield from rows
+        if len(rows) < size:
+            return
+        following = cursor(rows[-1])
+        if following <= start:
+            raise ValueError(f"the cursor stays at {following}")
+        start = following
+
+
+def bisected(fetch: Callable, start, end, cap: int, least: timedelta) -> Iterator[dict]:
+    """Segments (start, end, rows, cap_hit) that cover [start, end): a window that returns ``cap`` rows is split in two.
+
+    A window of at most ``least`` is kept as it is, marked cap_hit: what it lacks is then known to be censored.
+    """
+    waiting = [(start, end)]
+    while waiting:
+        a, b = waiting.pop()
+        rows = fetch(a, b)
+        full = len(rows) >= cap
+        if full and b - a > least:
+            middle = a + (b - a) / 2
+            waiting += [(middle, b), (a, middle)]
+        else:
+            yield {"start": a, "end": b, "rows": rows, "cap_hit": full}
+
+
+def in_chunks(fetch: Callable, first_year: int, last_year: int, years: int = 4) -> list[dict]:
+    """All rows of ``fetch(first_year, last_year)``; where it raises ``CapReached``, by chunks of ``years`` years."""
+    try:
+        return list(fetch(first_year, last_year))
+    except CapReached:
+        return [r for y in range(first_year, last_year + 1, years) for r in fetch(y, min(y + years - 1, last_year))]
+
+
+def vintage_rows(raw: DataFrame) -> DataFrame:
+    """Downloaded vintages with numbers: a value of '.' or other text is none and goes, as do repeats of (obs_date, realtime_start)."""
+    typed = raw.select("series_id", F.to_date("obs_date").alias("obs_date"), F.to_date("realtime_start").alias("realtime_start"), F.expr("try_cast(value as double)").alias("value"))
+    return typed.dropna().groupBy("series_id", "obs_date", "realtime_start").agg(F.max("value").alias("value"))
+
+
+def candles(raw: DataFrame, column: str = "close") -> DataFrame:
+    """(asset, fecha, ``column``) of downloaded candles (asset, open_time in ms, ``column``, ingested): the last capture of a day counts."""
+    day = F.timestamp_millis("open_time").cast("timestamp_ntz").cast("date")
+    return raw.groupBy("asset", day.alias("fecha")).agg(F.max_by(F.col(column).cast("double"), "ingested").alias(column))
+
+
+def missing_captures(days: DataFrame, captured: DataFrame, most: int | None = None) -> DataFrame:
+    """Days (``day``) of ``days`` without a capture, the newest ``most`` of them: what a resumed run still has to fetch."""
+    left = days.select("day").distinct().join(captured.select("day").distinct(), "day", "left_anti")
+    return left.orderBy(F.col("day").desc()).limit(most) if most else left
+
+
+def capture_days(days: list, fetch: Callable, write: Callable, walls: int = 5) -> tuple[list, bool]:
+    """Fetches and writes day by day, newest first: (days written, stopped). Stops after ``walls`` rate limits in a row."""
+    done, hit = [], 0
+    for day in sorted(days, reverse=True):
+        try:
+            write(day, fetch(day))
+        except RateLimited:
+            hit += 1
+            if hit >= walls:
+                return done, True
+            continue
+        hit = 0
+        done.append(day)
+    return done, False
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Appends an immutable snapshot folder: False, and nothing is written, if it is there already."""
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except Exception as error:
+        if "PATH_ALREADY_EXISTS" in str(error):
+            return False
+        raise
+    return True
+
+
+def newest_snapshot(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """The file below ``folder`` that matches ``pattern`` and has the greatest name; None without one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.agg(F.max_by("path", F.regexp_extract("path", "[^/]+$", 0))).first()[0]
+
+
+def is_fresh(spark: SparkSession, path: str, days: int = 7) -> bool:
+    """Whether the newest file of a cached table is at most ``days`` old."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("modificationTime")
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.max("modificationTime"))
+    return bool(files.agg(F.coalesce(age <= days * 86_400, F.lit(False))).first()[0])
+
+
+def cached(spark: SparkSession, path: str, load: Callable[[], DataFrame], days: int = 7) -> DataFrame:
+    """The table at ``path`` while it is fresh, else what ``load`` gives, written there first."""
+    try:
+        fresh = is_fresh(spark, path, days)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        fresh = False
+    if not fresh:
+        load().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+class Sources:
+    """Sources by name, each with the key it needs, if any."""
+
+    def __init__(self) -> None:
+        self.loaders: dict[str, tuple[Callable, str | None]] = {}
+
+    def add(self, name: str, load: Callable, key: str | None = None) -> None:
+        self.loaders[name] = load, key
+
+    def available(self, keys: dict[str, str]) -> list[str]:
+        """Names whose key is not wanted or not blank."""
+        return [n for n, (_, key) in self.loaders.items() if key is None or keys.get(key, "").strip()]

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,7 @@ def duck(sql: str, folder: str):
 def rows(frame) -> list[tuple]:
     def plain(v):
         v = v.item() if hasattr(v, "item") else v
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 

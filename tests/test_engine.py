@@ -32,7 +32,7 @@ def test_nearest_takes_the_past_on_a_tie_and_keeps_the_tolerance(spark):
     left = spark.createDataFrame([(1, "k", 10), (2, "k", 16), (3, "k", 100), (4, "z", 10)], "id int, key string, t int")
     right = spark.createDataFrame([("k", 5, 1.0), ("k", 15, 2.0), ("k", 17, 3.0)], "key string, t int, value double")
     out = {r["id"]: r["matched_on"] for r in asof.asof_nearest(left, right, "t", ["key"], "value", 5).collect()}
-    assert out == {1: 5, 2: 15}
+    assert out == {1: 5, 2: 15, 3: None, 4: None}  # rows without a match stay, with nulls
 
 
 def test_first_non_null_is_never_overwritten(spark):
@@ -135,9 +135,9 @@ def test_transitions_and_covariate_contract():
 def test_pack_and_unpack_are_inverse_and_variances_rise():
     a = FIXED.arrays()
     p = a["alpha"] + a["gamma"] / 2 + a["beta"]
-    n = estimate.unpack(estimate.pack(a["mu"], a["v"], p, a["alpha"], a["gamma"], a["P"]), 2)
+    n = estimate.unpack(estimate.pack(estimate.Shape(2), a["mu"], a["v"], a["alpha"], a["gamma"], a["beta"], a["P"]), estimate.Shape(2))
     assert all(np.allclose(n[k][0], a[k]) for k in ("mu", "v", "alpha", "gamma", "beta", "omega", "P"))
-    assert (np.diff(estimate.unpack(np.random.default_rng(0).normal(size=(5, estimate.n_params(3))), 3)["v"]) > 0).all()
+    assert (np.diff(estimate.unpack(np.random.default_rng(0).normal(size=(5, estimate.Shape(3).size)), estimate.Shape(3))["v"]) > 0).all()
 
 
 def test_minimise_finds_a_known_minimum():
@@ -150,12 +150,12 @@ def test_minimise_finds_a_known_minimum():
 def test_fit_beats_the_truth_and_starts_are_repeatable(spark):
     r, _ = estimate.simulate(FIXED, 400, 3)
     df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(r)], "asset string, fecha int, r double")
-    fits = estimate.fit_starts(df, 2, starts=3, rounds=40)
+    fits = estimate.fit_starts(df, estimate.Shape(2), starts=3, rounds=40)
     best = estimate.best_fit(fits).first()
     a = FIXED.arrays()
-    truth = estimate.pack(a["mu"], a["v"], a["alpha"] + a["gamma"] / 2 + a["beta"], a["alpha"], a["gamma"], a["P"])
-    assert best["loglik"] >= -estimate.negative_loglik(truth, r, 2)[0] - 1 and best["n_starts"] == 3
-    assert best["loglik"] == estimate.best_fit(estimate.fit_starts(df.repartition(3), 2, starts=3, rounds=40)).first()["loglik"]
+    truth = estimate.pack(estimate.Shape(2), a["mu"], a["v"], a["alpha"], a["gamma"], a["beta"], a["P"])
+    assert best["loglik"] >= -estimate.negative_loglik(truth, r, estimate.Shape(2))[0] - 1 and best["n_starts"] == 3
+    assert best["loglik"] == estimate.best_fit(estimate.fit_starts(df.repartition(3), estimate.Shape(2), starts=3, rounds=40)).first()["loglik"]
 
 
 def test_hawkes_recovery_and_diagnostics(spark):
@@ -300,5 +300,5 @@ def test_walk_forward_scores_test_rows(spark, tmp_path):
     for x in rows:
         start, test, end = (pd.Timestamp(d) for d in (("1995-01-02", "1997-01-02", "1997-07-02") if x["series"] == "0" else ("1995-07-02", "1997-07-02", "1998-01-02")))
         inside, train = r[(dates >= start) & (dates < end)], r[(dates >= start) & (dates < test)]
-        whole, first = (-estimate.negative_loglik(np.array(x["theta"]), y, 1)[0] for y in (inside, train))
+        whole, first = (-estimate.negative_loglik(np.array(x["theta"]), y, estimate.Shape(2))[0] for y in (inside, train))
         assert x["n"] == len(train) and x["n_test"] == len(inside) - len(train) and x["test_loglik"] == pytest.approx(whole - first, abs=1e-6)
