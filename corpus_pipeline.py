@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import langid, ngram_join, packing, quality
-from ledgerline.llm.common import fresh_path, table
+from ledgerline.llm.common import fresh_path, materialise, table
 from ledgerline.llm.lattice import load_vocabulary
 from ledgerline.llm.tokenizer import VOCABULARY
 
 #: A text whose best language has a lower posterior is rejected: no language stands out.
 MIN_LANGUAGE_SCORE = 0.5
+BROADCAST_IDS = 1_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +44,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null doc_ids link with nothing and stay. Of rows that repeat the kept doc_id one stays: the first by
     text, then by the other columns as JSON.
     """
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    single = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi")
+    found = materialise(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    gone = _small(found.where("doc_id <> component_id").select("doc_id").distinct())
+    several = _small(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti")
     order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")])))
-    first = repeated.withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return single.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    first = left.join(several, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return left.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast up to ``BROADCAST_IDS`` of them, so that no text is shuffled; beyond that to be joined by shuffling."""
+    ids = materialise(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
