@@ -74,23 +74,28 @@ def _directions(g: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]])
     return out
 
 
-def minimise_many(objective: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, rounds: int = 150, memory: int = 10, tolerance: float = 1e-9, step: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimise_many(objective: Callable[..., np.ndarray], starts: np.ndarray, rounds: int = 150, memory: int = 10, tolerance: float = 1e-9, step: float = 1e-5, owned: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(points, values, rounds used, converged) of L-BFGS from several starts in step, two objective calls a round.
 
     A start has converged when its value falls by no more than ``tolerance`` of itself, or its gradient vanishes; one
-    whose line search finds nothing better after a fresh gradient step stops unconverged.
+    whose line search finds nothing better after a fresh gradient step stops unconverged. With ``owned`` the objective
+    also takes the number of each point's start, so that starts can be on different data.
     """
     x = np.array(starts, float)
     m, n = x.shape
 
-    def values_and_gradients(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def call(points: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return objective(points, own) if owned else objective(points)
+
+    def values_and_gradients(at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = step * np.maximum(1.0, np.abs(at))
         shifts = h[:, None, :] * np.eye(n)
-        f = objective(np.concatenate([at, (at[:, None] + shifts).reshape(-1, n), (at[:, None] - shifts).reshape(-1, n)]))
-        own, up, down = f[: len(at)], f[len(at) : len(at) * (n + 1)].reshape(-1, n), f[len(at) * (n + 1) :].reshape(-1, n)
-        return own, (up - down) / (2 * h)
+        each = np.repeat(own, n)
+        f = call(np.concatenate([at, (at[:, None] + shifts).reshape(-1, n), (at[:, None] - shifts).reshape(-1, n)]), np.concatenate([own, each, each]))
+        here, up, down = f[: len(at)], f[len(at) : len(at) * (n + 1)].reshape(-1, n), f[len(at) * (n + 1) :].reshape(-1, n)
+        return here, (up - down) / (2 * h)
 
-    value, g = values_and_gradients(x)
+    value, g = values_and_gradients(x, np.arange(m))
     pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(m)]
     used, converged = np.zeros(m, int), np.abs(g).max(1) < 1e-6
     live = ~converged
@@ -100,7 +105,7 @@ def minimise_many(objective: Callable[[np.ndarray], np.ndarray], starts: np.ndar
         if not len(at):
             break
         direction = _directions(g[at], [pairs[k] for k in at])
-        trial = objective((x[at, None] + steps[:, None] * direction[:, None]).reshape(-1, n)).reshape(len(at), -1)
+        trial = call((x[at, None] + steps[:, None] * direction[:, None]).reshape(-1, n), np.repeat(at, len(steps))).reshape(len(at), -1)
         slope = (direction * g[at]).sum(1)
         enough = trial <= value[at, None] + 1e-4 * steps * slope[:, None]
         found = enough.any(1)
@@ -111,7 +116,7 @@ def minimise_many(objective: Callable[[np.ndarray], np.ndarray], starts: np.ndar
         if not len(at):
             continue
         new = x[at] + steps[first, None] * direction
-        new_value, new_g = values_and_gradients(new)
+        new_value, new_g = values_and_gradients(new, at)
         for i, k in enumerate(at):
             s, y = new[i] - x[k], new_g[i] - g[k]
             if s @ y > 1e-12:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.optimise import hessian, minimise, minimise_many
+from ..sources.tables import materialise
 
 INFEASIBLE = 1e12
 STARTS_A_TASK = 4
@@ -353,43 +354,189 @@ def fit_decay(series: DataFrame, contributions: DataFrame, half_lives: list[floa
     return fits.join(best, "series").select("series", "half_life", "loglik", (F.col("half_life") == F.col("_best")).alias("chosen"))
 
 
+#: Events of a key that one task may hold; a key with more is cut into stretches of time.
+HOT_EVENTS = 131_072
+#: Events of the hot keys in one partition of stretches, and hot keys that are fitted at once.
+STRETCH_EVENTS, HOT_KEYS = 1_000_000, 64
+
+
+def _decayed(t: np.ndarray, s: np.ndarray, beta: np.ndarray, begin: float, carry: np.ndarray, rows: int = 4_096):
+    """Blocks (place, states before each event (n, batch), states after the last) from ``carry``, the state at ``begin``.
+
+    a_i = exp(-beta gap_i) (a_(i-1) + s_(i-1)) is composed by doubling, some ten array passes a block.
+    """
+    for at in range(0, len(t), rows):
+        own, marks = t[at : at + rows], s[at : at + rows]
+        decay = np.exp(-np.diff(own, prepend=begin)[:, None] * beta)
+        state = decay * np.append(0.0, marks[:-1])[:, None]
+        state[0] = decay[0] * carry
+        k = 1
+        while k < len(own):
+            state[k:] += decay[k:] * state[:-k]
+            decay[k:] *= decay[:-k].copy()
+            k *= 2
+        begin, carry = own[-1], state[-1] + marks[-1]
+        yield at, state, carry
+
+
+def _hawkes_stretch(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float, begin: float, carry: np.ndarray) -> np.ndarray:
+    """Compensator's part of the events less their log intensities, of a batch of log (mu, alpha, beta)."""
+    mu, alpha, beta = np.exp(np.clip(log_params, -50, 50)).T
+    out = np.zeros(len(mu))
+    with np.errstate(all="ignore"):
+        for at, state, _ in _decayed(t, s, beta, begin, carry):
+            n = len(state)
+            out += alpha / beta * (s[at : at + n, None] * (1 - np.exp(-(horizon - t[at : at + n])[:, None] * beta))).sum(0)
+            out -= np.log(np.maximum(mu + alpha * state, 1e-300)).sum(0)
+    return out
+
+
 def hawkes_negative_loglik(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float) -> np.ndarray:
     """Negative log likelihoods of a batch of log (mu, alpha, beta) of the exponential kernel."""
-    mu, alpha, beta = np.exp(np.clip(np.atleast_2d(log_params), -50, 50)).T
-    gaps = np.diff(t)
-    a, state = np.zeros((len(t), len(mu))), np.zeros(len(mu))
-    decay = np.exp(-gaps[:, None] * beta)
-    for i in range(1, len(t)):
-        state = (state + s[i - 1]) * decay[i - 1]
-        a[i] = state
-    logs = np.log(np.maximum(mu + alpha * a, 1e-300)).sum(0)
-    total = mu * horizon + alpha / beta * (s[:, None] * (1 - np.exp(-(horizon - t)[:, None] * beta))).sum(0)
-    out = total - logs
+    log_params = np.atleast_2d(log_params)
+    out = np.exp(np.clip(log_params[:, 0], -50, 50)) * horizon
+    if len(t):
+        out = out + _hawkes_stretch(log_params, t, s, horizon, t[0], np.zeros(len(out)))
     return np.where(np.isfinite(out), out, INFEASIBLE)
 
 
-HAWKES = "key string, start int, n int, loglik double, mu double, alpha double, beta double, branching double"
+def _hot_batches(events: DataFrame, key: str, most: int):
+    """(sizes, batches) where sizes has (key, n, m) of each key of more than ``most`` events, and batches yields up to HOT_KEYS such rows."""
+    sizes = events.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n"), F.avg("s").alias("m")).where(F.col("n") > most)
+
+    def batches():
+        batch = []
+        for row in sizes.toLocalIterator():
+            batch.append(row)
+            if len(batch) == HOT_KEYS:
+                yield batch
+                batch = []
+        if batch:
+            yield batch
+
+    return sizes, batches
+
+
+def _stretches(events: DataFrame, batch: list, key: str, tag: str) -> DataFrame:
+    """(k, no, t, s): the events of a batch of hot keys (k: place in it) in stretches of an Arrow batch at most, ``no`` rising with time.
+
+    Written to the shared folder. Events of one very time and mark stay in one partition.
+    """
+    spark = events.sparkSession
+    known = spark.createDataFrame([(row["key"], i) for i, row in enumerate(batch)], "_hot string, k int")
+    parts = max(1, -(-sum(row["n"] for row in batch) // STRETCH_EVENTS))
+    own = (events.select(F.col(key).cast("string").alias("_key"), F.col("t").cast("double").alias("t"), F.col("s").cast("double").alias("s"))
+           .join(F.broadcast(known), F.col("_key").eqNullSafe(F.col("_hot"))))
+    ordered = own.select("k", "t", "s").repartitionByRange(parts, "k", "t", "s").sortWithinPartitions("k", "t", "s").withColumn("part", F.spark_partition_id())
+
+    def pack(frames):
+        count = 0
+        for frame in frames:
+            for k, rows in frame.groupby("k", sort=False):
+                yield pd.DataFrame({"k": [k], "no": [(int(rows["part"].iloc[0]) << 32) + count], "t": [rows["t"].to_numpy()], "s": [rows["s"].to_numpy()]})
+                count += 1
 
+    return materialise(ordered.mapInPandas(pack, "k int, no bigint, t array<double>, s array<double>"), tag)
 
-def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7, rounds: int = 60, key: str = "key") -> DataFrame:
-    """Best of several seeded starts per key: parameters, log likelihood and branching ratio alpha E[s] / beta."""
-    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("e")).select(F.col(key).cast("string").alias("key"), F.col("e.t").alias("t"), F.col("e.s").alias("s"))
-    jobs = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).repartition("key", "start")
+
+def _hot_objective(stretches: DataFrame, horizon: float, key_of):
+    """A batch objective (points, their starts) of log (mu, alpha, beta), one Spark job a call; ``key_of`` gives the k of starts.
+
+    Each stretch leaves its decayed sum, a key's sums are carried on in order of time (a number a stretch and point), and
+    the stretches then finish by themselves. The carried numbers are broadcast up to 32 MB, beyond that joined.
+    """
+    count = stretches.count()
+
+    def objective(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ks = key_of(starts)
+        places = {int(k): np.flatnonzero(ks == k) for k in np.unique(ks)}
+        own = {k: points[at] for k, at in places.items()}
+
+        def leave(frames):
+            for frame in frames:
+                for k, no, t, s in zip(frame["k"], frame["no"], frame["t"], frame["s"], strict=True):
+                    if k in own:
+                        beta = np.exp(np.clip(own[k][:, 2], -50, 50))
+                        for _, _, left in _decayed(np.asarray(t, float), np.asarray(s, float), beta, t[0], np.zeros(len(beta))):
+                            pass
+                        yield pd.DataFrame({"k": [k], "no": [no], "begin": [t[0]], "end": [t[-1]], "left": [left]})
+
+        def carry(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("no")
+            beta = np.exp(np.clip(own[int(rows["k"].iloc[0])][:, 2], -50, 50))
+            state, last, out = np.zeros(len(beta)), rows["begin"].iloc[0], []
+            for begin, end, left in zip(rows["begin"], rows["end"], rows["left"], strict=True):
+                state = state * np.exp(-beta * (begin - last))
+                out.append(state)
+                state, last = state * np.exp(-beta * (end - begin)) + np.asarray(left), end
+            return pd.DataFrame({"no": rows["no"], "carry": out})
+
+        def finish(frames):
+            for frame in frames:
+                for k, t, s, c in zip(frame["k"], frame["t"], frame["s"], frame["carry"], strict=True):
+                    t, s = np.asarray(t, float), np.asarray(s, float)
+                    part = _hawkes_stretch(own[k], t, s, horizon, t[0], np.asarray(c, float))
+                    yield pd.DataFrame({"place": places[k], "part": part})
+
+        carried = stretches.mapInPandas(leave, "k int, no bigint, begin double, end double, left array<double>").groupBy("k").applyInPandas(carry, "no bigint, carry array<double>")
+        if count * max(map(len, own.values())) * 8 <= 32_000_000:
+            carried = F.broadcast(carried)
+        parts = stretches.join(carried, "no").mapInPandas(finish, "place int, part double").groupBy("place").agg(F.sum("part").alias("part")).collect()  # a number a point
+        out = np.exp(np.clip(points[:, 0], -50, 50)) * horizon
+        for row in parts:
+            out[row["place"]] += row["part"]
+        return np.where(np.isfinite(out), out, INFEASIBLE)
+
+    return objective
+
+
+HAWKES = "key string, start int, n bigint, loglik double, mu double, alpha double, beta double, branching double, converged boolean"
+
+
+def _hawkes_start(seed: int, start: int, n: int, mean: float, horizon: float) -> np.ndarray:
+    g = np.random.default_rng((seed, start))
+    beta = np.exp(g.uniform(0, 4))
+    return np.log([n / horizon * g.uniform(0.3, 0.9), beta * g.uniform(0.1, 0.8) / max(mean, 1e-9), beta])
+
+
+def _packed_events(events: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """(key, t, s): events as arrays in order, of the keys that are not hot."""
+    named = events.select(F.col(key).cast("string").alias("key"), F.col("t").cast("double").alias("t"), F.col("s").cast("double").alias("s"))
+    left = named.join(hot.select(F.col("key").alias("_hot")), F.col("key").eqNullSafe(F.col("_hot")), "left_anti")
+    return left.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("e")).select("key", "e.t", "e.s")
+
+
+def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7, rounds: int = 60, key: str = "key", most: int = HOT_EVENTS) -> DataFrame:
+    """Best of several seeded starts per key: parameters, log likelihood, branching ratio alpha E[s] / beta, and whether it converged.
+
+    Keys of up to ``most`` events are a row of arrays each. Larger ones are cut into stretches of time, and each step of
+    all their starts is one Spark job over these; the likelihood and the optimiser are the same. Null times or marks
+    are left out.
+    """
+    spark = events.sparkSession
+    events = events.where("t is not null and s is not null")
+    hot, batches = _hot_batches(events, key, most)
+    columns = [c.split()[0] for c in HAWKES.split(", ")]
+
+    def rows_of(name, n, mean, theta, value, sure) -> list[tuple]:
+        mu, alpha, beta = np.exp(theta).T
+        return [(name, i, int(n), float(-value[i]), float(mu[i]), float(alpha[i]), float(beta[i]), float(alpha[i] * mean / beta[i]), bool(sure[i])) for i in range(starts)]
 
     def run(frames):
         for frame in frames:
-            rows = []
-            for k, t, s, start in zip(frame["key"], frame["t"], frame["s"], frame["start"], strict=True):
+            for k, t, s in zip(frame["key"], frame["t"], frame["s"], strict=True):
                 t, s = np.asarray(t, float), np.asarray(s, float)
-                g = np.random.default_rng((seed, int(start)))
-                beta = np.exp(g.uniform(0, 4))
-                x0 = np.log([len(t) / horizon * g.uniform(0.3, 0.9), beta * g.uniform(0.1, 0.8) / max(s.mean(), 1e-9), beta])
-                x, value, _ = minimise(lambda p, t=t, s=s: hawkes_negative_loglik(p, t, s, horizon), x0, rounds)
-                mu, alpha, beta = np.exp(x)
-                rows.append((k, int(start), len(t), -value, mu, alpha, beta, alpha * s.mean() / beta))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HAWKES.split(", ")])
-
-    fits = jobs.mapInPandas(run, HAWKES)
+                x0 = np.stack([_hawkes_start(seed, i, len(t), s.mean(), horizon) for i in range(starts)])
+                theta, value, _, sure = minimise_many(lambda p, t=t, s=s: hawkes_negative_loglik(p, t, s, horizon), x0, rounds)
+                yield pd.DataFrame(rows_of(k, len(t), s.mean(), theta, value, sure), columns=columns)
+
+    fits = _packed_events(events, hot, key).repartition("key").mapInPandas(run, HAWKES)
+    for batch in batches():
+        x0 = np.stack([_hawkes_start(seed, i, row["n"], row["m"], horizon) for row in batch for i in range(starts)])
+        objective = _hot_objective(_stretches(events, batch, key, "hawkes"), horizon, lambda own: own // starts)
+        theta, value, _, sure = minimise_many(objective, x0, rounds, owned=True)
+        own = [slice(i * starts, (i + 1) * starts) for i in range(len(batch))]
+        fits = fits.unionByName(spark.createDataFrame([r for row, o in zip(batch, own, strict=True) for r in rows_of(row["key"], row["n"], row["m"], theta[o], value[o], sure[o])], HAWKES))
     return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
 
 
@@ -530,24 +677,37 @@ def bootstrap_lr(series: DataFrame, replicas: int = 19, starts: int = 2, rounds:
     return each.where("b > 0").join(own, "series").groupBy("series").agg(F.first("own").alias("lr"), ((1 + F.count(F.when(F.col("lr") >= F.col("own"), 1))) / (F.count("*") + 1)).alias("p"), F.count("*").alias("replicas"))
 
 
-def profile_branching(events: DataFrame, horizon: float, fits: DataFrame, grid: list[float], key: str = "key") -> DataFrame:
-    """(key, n, loglik): profile likelihood of the branching ratio around a fit, a task per grid point."""
-    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("e")).select(F.col(key).cast("string").alias("key"), F.col("e.t").alias("t"), F.col("e.s").alias("s"))
-    jobs = packed.join(fits.select("key", "mu", "beta"), "key").withColumn("n", F.explode(F.lit(grid))).repartition("key", "n")
+def profile_branching(events: DataFrame, horizon: float, fits: DataFrame, grid: list[float], key: str = "key", most: int = HOT_EVENTS) -> DataFrame:
+    """(key, n, loglik): profile likelihood of the branching ratio around a fit; all grid points of a key go on in step.
+
+    Keys of more than ``most`` events are cut into stretches, as in ``hawkes_fit``.
+    """
+    spark = events.sparkSession
+    events = events.where("t is not null and s is not null")
+    hot, batches = _hot_batches(events, key, most)
+    values = np.asarray(grid, float)
+
+    def full(points: np.ndarray, at: np.ndarray, mean) -> np.ndarray:
+        """log (mu, alpha, beta) of points (log mu, log beta) at the grid's place ``at``."""
+        return np.stack([points[:, 0], np.log(values[at] / mean) + points[:, 1], points[:, 1]], 1)
 
     def run(frames):
         for frame in frames:
-            rows = []
-            for k, t, s, mu, beta, n in zip(*(frame[c] for c in ("key", "t", "s", "mu", "beta", "n")), strict=True):
+            for k, t, s, mu, beta in zip(*(frame[c] for c in ("key", "t", "s", "mu", "beta")), strict=True):
                 t, s = np.asarray(t, float), np.asarray(s, float)
-
-                def free(points, t=t, s=s, n=n):
-                    points = np.atleast_2d(points)
-                    full = np.stack([points[:, 0], np.log(n / s.mean()) + points[:, 1], points[:, 1]], 1)
-                    return hawkes_negative_loglik(full, t, s, horizon)
-
-                _, value, _ = minimise(free, np.log([mu, beta]), 30)
-                rows.append((k, float(n), -value))
-            yield pd.DataFrame(rows, columns=["key", "n", "loglik"])
-
-    return jobs.mapInPandas(run, "key string, n double, loglik double")
+                x0 = np.tile(np.log([mu, beta]), (len(values), 1))
+                value = minimise_many(lambda p, at, t=t, s=s: hawkes_negative_loglik(full(p, at, s.mean()), t, s, horizon), x0, 30, owned=True)[1]
+                yield pd.DataFrame({"key": k, "n": values, "loglik": -value})
+
+    at_fit = fits.select(F.col("key").alias("_key"), "mu", "beta")
+    jobs = _packed_events(events, hot, key).join(at_fit, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
+    out = jobs.repartition("key").mapInPandas(run, "key string, n double, loglik double")
+    for batch in batches():
+        wanted = spark.createDataFrame([(row["key"], i) for i, row in enumerate(batch)], "_hot string, k int")
+        known = {row["k"]: row for row in at_fit.join(F.broadcast(wanted), F.col("_key").eqNullSafe(F.col("_hot"))).select("k", "mu", "beta").collect()}
+        x0 = np.stack([np.log([known[i]["mu"], known[i]["beta"]]) for i in range(len(batch)) for _ in values])
+        means = np.array([row["m"] for row in batch])
+        whole = _hot_objective(_stretches(events, batch, key, "profile"), horizon, lambda own: own // len(values))
+        value = minimise_many(lambda p, own: whole(full(p, own % len(values), means[own // len(values)]), own), x0, 30, owned=True)[1]  # noqa: B023
+        out = out.unionByName(spark.createDataFrame([(row["key"], float(n), float(-value[i * len(values) + j])) for i, row in enumerate(batch) for j, n in enumerate(values)], "key string, n double, loglik double"))
+    return out

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +21,6 @@ def query(sql: str):
     return add
 
 
-def _workdir(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = src.table(spark, d, "events").schema
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -37,7 +29,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, strftime(b, '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select event_type, time_bucket(interval '15 minutes', ts) as b from events) where b + interval 15 minute <= (select max(ts) from events) - interval 2 hour group by 1, 2")
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Complete 15-minute counts per event type, up to two hours before the last event."""
-    out = jobs.run_available(jobs.window_counts(_stream(spark, d)), _workdir(spark))
+    out = jobs.run_available(jobs.window_counts(_stream(spark, d)), src.shared_path(spark, "stream"))
     end = src.table(spark, d, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("interval 2 hours")).alias("end"))
     kept = out.join(F.broadcast(end), (F.col("start") + F.expr("interval 15 minutes")) <= F.col("end"))
     return kept.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

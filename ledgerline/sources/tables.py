@@ -5,6 +5,9 @@ All times are kept as timestamps without zone (UTC by convention), so no result
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; in a local folder only where that is unset and Spark runs in one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def micros(ts: Column | str, origin: str = ORIGIN) -> Column:
     """Microseconds from ``origin`` to a timestamp, by the wall clock."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -171,6 +171,42 @@ def test_hawkes_recovery_and_diagnostics(spark):
     assert ll == pytest.approx(-estimate.hawkes_negative_loglik(np.log([20.0, 6.0, 8.0]), t, s, 60.0)[0])
 
 
+def test_hot_hawkes_keys_are_fitted_in_stretches(spark):
+    """Keys cut into stretches have the states, fits and profiles of whole ones; null keys and tied times included."""
+    rows, brute = [], {}
+    for name, seed in (("a", 3), (None, 4)):
+        t, s = estimate.simulate_hawkes(20.0, 6.0, 8.0, 20.0, seed)
+        t[5:8] = t[5]
+        rows += [(name, float(x), float(y)) for x, y in zip(t, s, strict=True)]
+        brute[name] = (t, s)
+    t, s = brute["a"]
+    order = np.lexsort((s, t))
+    t, s = t[order], s[order]
+    mu, alpha, beta = 20.0, 6.0, 8.0
+    seen = [sum(s[j] * np.exp(-beta * (t[i] - t[j])) for j in range(i)) for i in range(len(t))]
+    value = mu * 20 + alpha / beta * (s * (1 - np.exp(-beta * (20 - t)))).sum() - np.log(mu + alpha * np.array(seen)).sum()
+    assert estimate.hawkes_negative_loglik(np.log([mu, alpha, beta]), t, s, 20.0)[0] == pytest.approx(value)
+    blocks = [x for _, x, _ in estimate._decayed(t, s, np.array([beta]), t[0], np.zeros(1), rows=7)]
+    assert np.allclose(np.concatenate(blocks)[:, 0], seen)
+
+    events = spark.createDataFrame([*rows, ("a", None, 1.0)], "key string, t double, s double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        whole = {r["key"]: r for r in estimate.hawkes_fit(events, 20.0, 2, rounds=8).collect()}
+        cut = estimate.hawkes_fit(events, 20.0, 2, rounds=8, most=100)
+        cut_rows = {r["key"]: r for r in cut.collect()}
+        profiles = [{(r["key"], r["n"]): r["loglik"] for r in estimate.profile_branching(events, 20.0, cut, [0.3, 0.6], most=most).collect()} for most in (100, 10_000)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(whole) == set(cut_rows) == {"a", None}
+    for k, r in whole.items():
+        assert cut_rows[k]["n"] == r["n"] and cut_rows[k]["loglik"] == pytest.approx(r["loglik"], abs=1e-3)
+    assert profiles[0].keys() == profiles[1].keys() and len(profiles[0]) == 4
+    assert all(profiles[0][k] == pytest.approx(v, abs=1e-2) for k, v in profiles[1].items())
+    assert estimate.hawkes_fit(events.limit(0), 20.0, 2).count() == 0
+
+
 def test_bootstrap_covers_and_suppresses(spark):
     rng = np.random.default_rng(0)
     rows = [("a", i, float(x)) for i, x in enumerate(rng.normal(0.05, 1, 400))] + [("few", i, float(i)) for i in range(10)]
