@@ -32,7 +32,8 @@ MAX_DOCS = 2_000  # labelled documents of a language that are learned from
 MAX_LANGUAGES = 512
 ROUNDS = 3
 SMOOTHING = 0.02  # added to every piece's expected count
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+BATCH_WORDS = 4_000  # words in one lattice
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -62,8 +63,8 @@ def expected_counts(vocab: Vocabulary, words: list[bytes], weights: np.ndarray,
     """Expected uses of each piece over the words' segmentations, weighted: one E step for one language."""
     out = np.zeros(vocab.size + 1)
     short = sorted((k for k, w in enumerate(words) if len(w) <= VECTOR_BYTES), key=lambda k: len(words[k]))
-    for at in range(0, len(short), 20_000):
-        part = short[at : at + 20_000]
+    for at in range(0, len(short), BATCH_WORDS):
+        part = short[at : at + BATCH_WORDS]
         lens, steps = lattice(vocab, [words[k] for k in part])
         alpha = forward(lens, steps, probs[:, None])[:, :, 0]
         beta = backward(lens, steps, probs)
@@ -97,8 +98,8 @@ class LanguageModel:
         out = np.zeros((len(words), len(self.languages)))
         probs = np.exp(self.log_probs)
         short = sorted((k for k, w in enumerate(words) if len(w) <= VECTOR_BYTES), key=lambda k: len(words[k]))
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(short), BATCH_WORDS):
+            part = short[at : at + BATCH_WORDS]
             lens, steps = lattice(self.vocab, [words[k] for k in part])
             alpha = forward(lens, steps, probs)
             out[part] = np.log(alpha[np.arange(len(part)), lens]) - (lens * np.log(SCALE))[:, None]
