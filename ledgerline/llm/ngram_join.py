@@ -45,7 +45,7 @@ LOW = 0.4  # share of the hash range in which all lists are counted; most sets a
 MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
 SHARE = 6
-BUCKET_POSTINGS = 400_000
+BUCKET_POSTINGS = 200_000
 MOST_BUCKETS = 1 << 20
 BROADCAST_CLASSES = 200_000
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
