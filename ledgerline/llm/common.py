@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
+#: Bytes of one Arrow batch between the JVM and Python. Both hold several (read, converted, written) for each running task.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``, through Spark's own reader."""
@@ -42,6 +46,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on an Arrow batch to ``BATCH_BYTES``; a lower one stays.
+
+    The limit is on bytes, as rows of long texts or sets differ in size by orders; a longer row is a batch of its own.
+    No result depends on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)([kmg]?)", spark.conf.get(name).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, component), component = smallest node reachable.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 from .lattice import _UP, SCALE, VECTOR_BYTES, Vocabulary, backward, forward, lattice, load_vocabulary, word_edges, word_log_forward
 from .tokenizer import VOCABULARY, runs_of_bytes
 
@@ -115,6 +115,7 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
     What reaches the driver is one number per language and piece used: bounded by the vocabulary.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.where(F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
@@ -152,6 +153,7 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability, both as new columns (replacing same names)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.vocab, model.languages, model.log_probs))
     docs = docs.drop(*[c for c in (lang_pred, score) if c in docs.columns])
     spec = spark.createDataFrame([], docs.schema).selectExpr("*", f"cast(null as string) as `{lang_pred}`", f"cast(null as double) as `{score}`").schema

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, table
+from .common import bounded_batches, connected_components, materialise, table
 
 LONG = 32
 LOW = 0.4  # share of the hash range in which all lists are counted; most sets are filed there
@@ -47,6 +47,7 @@ BLOCK = 256
 SHARE = 6
 BUCKET_POSTINGS = 200_000
 MOST_BUCKETS = 1 << 20
+COUNT_KEYS = 1_000_000  # keys that a task counts before it sends the counts on
 BROADCAST_CLASSES = 200_000
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -146,6 +147,8 @@ def long_keys(sets: DataFrame, buckets: int, percent: int, known=None) -> DataFr
     the rest, over the sets that have too few short lists in the low part and so are filed beyond it.
     """
 
+    most = COUNT_KEYS
+
     def part(h: np.ndarray) -> np.ndarray:
         at = _low(h)
         if known is None:
@@ -153,8 +156,15 @@ def long_keys(sets: DataFrame, buckets: int, percent: int, known=None) -> DataFr
         return h[at:] if at - int(known.value.holds(h[:at] >> np.uint64(16)).sum()) < filed_under(len(h), percent) else h[:0]
 
     def count(batches):
-        for batch in batches:
-            keys, n = np.unique(np.concatenate([part(h) for h in _sets(batch)] or [np.zeros(0, np.uint64)]) >> np.uint64(16), return_counts=True)
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(np.concatenate([part(h) for h in _sets(batch)] or [np.zeros(0, np.uint64)]) >> np.uint64(16))
+                size += len(held[-1])
+            if not size or batch is not None and size < most:
+                continue
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
             to = ((keys >> np.uint64(15)) % np.uint64(buckets)).astype(np.int32)
             rows = _by_bucket(to, np.argsort(to, kind="stable"))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([_pack(keys[x]) for _, x in rows], pa.binary()),
@@ -489,6 +499,7 @@ def _verify_rest(clusters: DataFrame, components: DataFrame, facts: DataFrame, s
 def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, ``text``)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
 
     def hash_sets(batches):

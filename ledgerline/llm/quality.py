@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 from .langid import held_out
 from .tokenizer import runs_of_bytes
 
@@ -142,6 +142,7 @@ def logistic_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> t
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, bits: int = BITS) -> QualityModel:
     """Fits the model to ``docs`` (doc_id, text) with 0/1 labels (doc_id, ``label``)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"))
     total = marked.count()
     share = min(1.0, max_rows / max(total, 1))
@@ -197,6 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with score (probability of label 1) and predicted (1 from ``threshold`` on), replacing columns of those names."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop(*[c for c in (score, predicted) if c in docs.columns])
     spec = spark.createDataFrame([], docs.schema).selectExpr("*", f"cast(null as double) as `{score}`", f"cast(null as int) as `{predicted}`").schema

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from ledgerline.llm import langid, tokenizer
+from ledgerline.llm.common import bounded_batches
 from ledgerline.llm.lattice import SCALE, Vocabulary, backward, double_array, forward, lattice, load_vocabulary, viterbi, word_edges, word_log_forward, word_viterbi
 
 PIECES = [b"a", b"b", b"ab", b"ba", b"abb", b" ", b" a", "é".encode(), "éa".encode()]
@@ -158,3 +159,13 @@ def test_held_out_fold(spark):
 
     out = langid.held_out(spark.createDataFrame([(i,) for i in [None, *range(50)]], "doc_id bigint"), 4, 2).collect()
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for value, after in (("64m", "8388608"), ("4m", "4m"), ("67108864b", "8388608"), ("1g", "8388608"), ("1048576", "1048576")):
+        spark.conf.set(name, value)
+        bounded_batches(spark)
+        assert spark.conf.get(name) == after
+    spark.conf.set(name, before)
