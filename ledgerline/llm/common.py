@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches, whose workers give Arrow's free memory back when a task ends.
+
+    Spark keeps idle workers for later tasks; what their pools hold counts beside the memory of the tasks that run.
+    """
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, component), component = smallest node reachable.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import map_batches, materialise, table
 from .lattice import _UP, SCALE, VECTOR_BYTES, Vocabulary, backward, forward, lattice, load_vocabulary, word_edges, word_log_forward
 from .tokenizer import VOCABULARY, runs_of_bytes
 
@@ -56,7 +56,7 @@ def _count_words(sample: DataFrame, lang: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     return (sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
-            .mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+            .transform(map_batches, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
 def expected_counts(vocab: Vocabulary, words: list[bytes], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -115,7 +115,6 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
     What reaches the driver is one number per language and piece used: bounded by the vocabulary.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     known = docs.where(F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
@@ -140,7 +139,7 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
                     ids = np.flatnonzero(found > 0)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(found[ids])], names=["lang", "id", "n"])
 
-        rows = counts.mapInArrow(expect, "lang string, id int, n double").groupBy("lang", "id").agg(F.sum("n").alias("n")).toPandas()
+        rows = counts.transform(map_batches, expect, "lang string, id int, n double").groupBy("lang", "id").agg(F.sum("n").alias("n")).toPandas()
         shared.unpersist()
         for name, part in rows.groupby("lang"):
             found = np.full(vocab.size + 1, smoothing)
@@ -153,7 +152,6 @@ def learn(docs: DataFrame, vocab: Vocabulary, lang: str = "lang", text: str = "t
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability, both as new columns (replacing same names)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.vocab, model.languages, model.log_probs))
     docs = docs.drop(*[c for c in (lang_pred, score) if c in docs.columns])
     spec = spark.createDataFrame([], docs.schema).selectExpr("*", f"cast(null as string) as `{lang_pred}`", f"cast(null as double) as `{score}`").schema
@@ -187,7 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pre
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_pred, score])
 
-    return docs.mapInArrow(run, spec)
+    return docs.transform(map_batches, run, spec)
 
 
 def held_out(docs: DataFrame, folds: int, fold: int, doc_id: str = "doc_id") -> DataFrame:

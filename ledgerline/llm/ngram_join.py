@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialise, table
+from .common import connected_components, map_batches, materialise, table
 
 LONG = 32
 LOW = 0.4  # share of the hash range in which all lists are counted; most sets are filed there
@@ -130,7 +130,7 @@ def marks_of(keys: DataFrame) -> Marks:
             x = np.concatenate(Marks.places(batch.column("key").to_numpy().astype(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((x >> 5).astype(np.int32)), pa.array(np.left_shift(1, x & 31))], names=["word", "mask"])
 
-    found = keys.mapInArrow(place, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = keys.transform(map_batches, place, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(bits // 32, np.uint32)
     words[found["word"]] = found["mask"].to_numpy().astype(np.uint64).astype(np.uint32)
     return Marks(words)
@@ -181,8 +181,8 @@ def long_keys(sets: DataFrame, buckets: int, percent: int, known=None) -> DataFr
             keys, n = _sum(parts)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > LONG].astype(np.int64))], names=["key"])
 
-    return (sets.select("hashes").mapInArrow(count, "bucket int, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(merge, "key bigint"))
+    return (sets.select("hashes").transform(map_batches, count, "bucket int, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .transform(map_batches, merge, "key bigint"))
 
 
 def _by_bucket(part: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -428,7 +428,7 @@ def _sets_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(wanted.value.holds(batch.column("rid").to_numpy().astype(np.uint64))))
 
-    return sets.select("rid", "hashes").mapInArrow(keep, "rid bigint, hashes binary")
+    return sets.select("rid", "hashes").transform(map_batches, keep, "rid bigint, hashes binary")
 
 
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -444,7 +444,7 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     b = _sets_of(sets, pairs.select(F.col("b").alias("key"))).select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
     a = _sets_of(sets, pairs.select(F.col("a").alias("key"))).select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "hb").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "hb").transform(map_batches, check, "a bigint, b bigint")
 
 
 def _verify_rest(clusters: DataFrame, components: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -493,13 +493,12 @@ def _verify_rest(clusters: DataFrame, components: DataFrame, facts: DataFrame, s
         if len(rows) > 1:
             yield solve(key, rows)
 
-    return grouped.mapInArrow(run, "a bigint, b bigint")
+    return grouped.transform(map_batches, run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, ``text``)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
 
     def hash_sets(batches):
@@ -509,7 +508,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array([len(h) for h in found], pa.int64()), pa.array([b and hashlib.blake2b(b, digest_size=16).digest() for b in blobs], pa.binary()), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "n", "digest", "hashes"])
 
     # written once, so each row keeps its number
-    rows = materialise(docs.mapInArrow(hash_sets, "doc_id bigint, rid bigint, n bigint, digest binary, hashes binary"), "sets")
+    rows = materialise(docs.transform(map_batches, hash_sets, "doc_id bigint, rid bigint, n bigint, digest binary, hashes binary"), "sets")
     sets = rows.where("digest is not null and doc_id is not null")
     buckets = min(MOST_BUCKETS, 1 << max(5, int((sets.agg(F.sum("n")).first()[0] or 0) * 0.26 / BUCKET_POSTINGS).bit_length()))
     low = materialise(long_keys(sets, buckets, percent), "long")
@@ -522,7 +521,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
             found = [filing_keys(h, marks.value, percent) for h in _sets(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "n", "digest")), pa.array([h for _, h in found], pa.int64()), pa.array([_pack(k) for k, _ in found], pa.binary())], names=["doc_id", "rid", "n", "digest", "held", "keys"])
 
-    filed = sets.mapInArrow(file, "doc_id bigint, rid bigint, n bigint, digest binary, held bigint, keys binary")
+    filed = sets.transform(map_batches, file, "doc_id bigint, rid bigint, n bigint, digest binary, held bigint, keys binary")
     classes = materialise(filed.groupBy("digest").agg(F.min(F.struct("rid", "n", "held", "keys")).alias("c"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("digest", "least", "copies", "c.*"), "classes")
 
     def post(batches):
@@ -536,9 +535,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, text:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *[pa.array([f(x) for _, x in out], pa.binary()) for f in (
                 lambda x: _pack(keys[x]), lambda x: reps[row[x]].astype("<i8").tobytes(), lambda x: n[row[x]].astype("<i4").tobytes(), lambda x: held[row[x]].astype("<i4").tobytes())]], names=["bucket", "keys", "rep", "n", "held"])
 
-    posted = classes.select("rid", "n", "held", "keys").mapInArrow(post, "bucket int, keys binary, rep binary, n binary, held binary")
-    received = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _list_rows(b, percent), "a bigint, list int, b bigint, need int")
-    found = materialise(received.repartition(buckets, "a").sortWithinPartitions("a", "list", "b").mapInArrow(_merge_lists, "a bigint, b bigint, dense boolean"), "candidates")
+    posted = classes.select("rid", "n", "held", "keys").transform(map_batches, post, "bucket int, keys binary, rep binary, n binary, held binary")
+    received = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(map_batches, lambda b: _list_rows(b, percent), "a bigint, list int, b bigint, need int")
+    found = materialise(received.repartition(buckets, "a").sortWithinPartitions("a", "list", "b").transform(map_batches, _merge_lists, "a bigint, b bigint, dense boolean"), "candidates")
     links = materialise(_verify_pairs(found.select("a", "b"), sets, percent), "links")
     # a doc_id with several texts is one node
     several = sets.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import map_batches, materialise, table
 from .langid import held_out
 from .tokenizer import runs_of_bytes
 
@@ -142,7 +142,6 @@ def logistic_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> t
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, bits: int = BITS) -> QualityModel:
     """Fits the model to ``docs`` (doc_id, text) with 0/1 labels (doc_id, ``label``)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"))
     total = marked.count()
     share = min(1.0, max_rows / max(total, 1))
@@ -157,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             ids = list(features.of(batch.column("text").cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("y"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["shard", "y", "ids"])
 
-    rows = materialise(sample.mapInArrow(featurise, "shard int, y int, ids array<int>"), "quality")
+    rows = materialise(sample.transform(map_batches, featurise, "shard int, y int, ids array<int>"), "quality")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     size = 1 << bits
     if not sizes or len(sizes) < 2:
@@ -190,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             out = [_margin(np.array(x, np.int64), shared.value, *others.value[k]) for k, x in zip(shard, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.float64())], names=["y", "m"])
 
-    seen = rows.mapInArrow(margins, "y int, m double").toPandas().sort_values(["m", "y"])
+    seen = rows.transform(map_batches, margins, "y int, m double").toPandas().sort_values(["m", "y"])
     slope, offset = logistic_fit(seen["m"].to_numpy(), seen["y"].to_numpy())
     return QualityModel(ratio, *mean(), slope, offset)
 
@@ -198,7 +197,6 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with score (probability of label 1) and predicted (1 from ``threshold`` on), replacing columns of those names."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop(*[c for c in (score, predicted) if c in docs.columns])
     spec = spark.createDataFrame([], docs.schema).selectExpr("*", f"cast(null as double) as `{score}`", f"cast(null as int) as `{predicted}`").schema
@@ -210,7 +208,7 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold
             scores = np.array([held.score(x) for x in features.of(batch.column(text).cast(pa.binary()).to_pylist())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
 
-    return docs.mapInArrow(run, spec)
+    return docs.transform(map_batches, run, spec)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
