@@ -151,6 +151,26 @@ def walk(terms: np.ndarray, rows: np.ndarray, n_rows: int, tree: list[tuple[np.n
     return at
 
 
+def _level_steps(known, n_terms: int) -> tuple:
+    """The two steps of a level: documents to the nodes they have reached, and the bisection of a node's documents."""
+
+    def place(batches):
+        columns, nodes = known.value
+        for batch in batches:
+            terms, rows = _lists(batch.column("terms"))
+            terms = columns[terms]
+            at = walk(terms[terms >= 0], rows[terms >= 0], batch.num_rows, nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["node", *batch.schema.names])
+
+    def fit(part):
+        terms, rows = _lists(part.column("terms"))
+        terms = known.value[0][terms]
+        weights, threshold = bisect(terms[terms >= 0], rows[terms >= 0], part.num_rows, n_terms)
+        return pa.table({"node": part.column("node")[:1], "weights": pa.array([weights.tobytes()], pa.binary()), "threshold": pa.array([threshold])})
+
+    return place, fit
+
+
 def fit_tree(counts: DataFrame, n_docs: int, n_terms: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(fitted, tree): the tree, and for each term its column in it (-1: not fitted), from about ``FIT_DOCS`` documents.
 
@@ -169,22 +189,7 @@ def fit_tree(counts: DataFrame, n_docs: int, n_terms: int) -> tuple[np.ndarray,
         return fitted, tree
     n = len(common)
     for level in range(depth):
-        known = spark.sparkContext.broadcast((fitted, list(tree)))
-
-        def place(batches, known=known):
-            columns, nodes = known.value
-            for batch in batches:
-                terms, rows = _lists(batch.column("terms"))
-                terms = columns[terms]
-                at = walk(terms[terms >= 0], rows[terms >= 0], batch.num_rows, nodes)
-                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("terms")], names=["node", "terms"])
-
-        def fit(part: pa.Table, known=known, n=n) -> pa.Table:
-            terms, rows = _lists(part.column("terms"))
-            terms = known.value[0][terms]
-            weights, threshold = bisect(terms[terms >= 0], rows[terms >= 0], part.num_rows, n)
-            return pa.table({"node": part.column("node")[:1], "weights": pa.array([weights.tobytes()], pa.binary()), "threshold": pa.array([threshold])})
-
+        place, fit = _level_steps(spark.sparkContext.broadcast((fitted, list(tree))), n)
         nodes = map_batches(sample, place, "node bigint, terms array<int>").groupBy("node").applyInArrow(fit, "node bigint, weights binary, threshold double").collect()
         weights, thresholds = np.zeros((1 << level, n), np.float32), np.zeros(1 << level)
         for r in nodes:
@@ -202,18 +207,9 @@ def clustered_index(counts: DataFrame, n_docs: int, n_words: int, n_terms: int)
     The list of ``terms[k]`` is docs and impacts from ``starts[k]`` to ``starts[k + 1]``; ``docs`` are places in ``doc_ids``.
     """
     fitted, tree = fit_tree(counts, n_docs, n_terms)
-    known = counts.sparkSession.sparkContext.broadcast((fitted, tree))
-
-    def place(batches):
-        columns, nodes = known.value
-        for batch in batches:
-            terms, rows = _lists(batch.column("terms"))
-            terms = columns[terms]
-            at = walk(terms[terms >= 0], rows[terms >= 0], batch.num_rows, nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["leaf", *batch.schema.names])
-
+    place, _ = _level_steps(counts.sparkSession.sparkContext.broadcast((fitted, tree)), 0)
     able = counts.where("doc_id is not null and size(terms) > 0")
-    placed = materialise(map_batches(able, place, "leaf bigint, " + ", ".join(f"{c} {t}" for c, t in able.dtypes)), "placed")
+    placed = materialise(map_batches(able, place, "node bigint, " + ", ".join(f"{c} {t}" for c, t in able.dtypes)).withColumnRenamed("node", "leaf"), "placed")
     sizes = placed.groupBy("leaf").agg(F.ceil(F.sum(F.size("terms")) / SHARD_POSTINGS).alias("parts"))  # one row a leaf, 256 at most
     dealt = placed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).select("leaf", "part", "doc_id", "n", "terms", "tfs")
 
