@@ -16,6 +16,7 @@ _REGISTERED = {
     "op8_language_id": ("langid", None),
     "op9_embedding_near_dedup": ("lattice_dedup", "OP9_SQL"),
     "op10_html_extraction": ("html_extract", None),
+    "op11_pii": ("pii", None),
     "op12_lexical_search": ("lexical_search", "OP12_SQL"),
     "op13_conversation_trie": ("prefix_trie", "OP13_SQL"),
 }
