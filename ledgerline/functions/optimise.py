@@ -140,3 +140,34 @@ def hessian(objective: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step:
     out = np.zeros((n, n))
     out[i, j] = (f[0] - f[1] - f[2] + f[3]) / (4 * h[i] * h[j])
     return out + np.triu(out, 1).T
+
+
+def minimise_by_gradient(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 200, memory: int = 10, tolerance: float = 1e-10) -> tuple[np.ndarray, float, int, bool]:
+    """(point, value, rounds used, converged) of L-BFGS for an objective that gives its own gradient, one call a trial step."""
+    x = np.asarray(start, float)
+    value, g = objective(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(rounds):
+        if np.abs(g).max() < 1e-6 * max(1.0, abs(value)):
+            return x, value, k, True
+        direction, step = _directions(g[None], [pairs])[0], 1.0
+        slope = direction @ g
+        while step > 1e-9:
+            new = x + step * direction
+            new_value, new_g = objective(new)
+            if np.isfinite(new_value) and new_value <= value + 1e-4 * step * slope:
+                break
+            step *= 0.4
+        else:
+            if not pairs:
+                return x, value, k, False
+            pairs = []  # once more from the plain gradient
+            continue
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[-(memory - 1):], (s, y)]
+        fall = value - new_value
+        x, value, g = new, new_value, new_g
+        if fall <= tolerance * max(1.0, abs(value)):
+            return x, value, k + 1, True
+    return x, value, rounds, False

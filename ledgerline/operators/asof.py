@@ -1,4 +1,4 @@
-"""As-of, nearest and bitemporal operators by carry windows: one sort per key, no range join."""
+"""As-of, nearest and bitemporal operators by carried values: stacked sides in order, no range join."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import business_days_later
+from . import prefix
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -19,8 +20,7 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str
     right = right.groupBy(*keys, on).agg(F.max(F.struct(*values)).alias("_v"))
     stacked = left.withColumn("_v", F.lit(None).cast(right.schema["_v"].dataType)).withColumn("_left", F.lit(1)).unionByName(
         right.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(on, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1")
+    carried = prefix.scan(stacked, keys, [on, "_left"], lasts={"_v": F.col("_v")}).where("_left = 1")
     return carried.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -33,9 +33,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str]
     right = right.groupBy(*keys, on).agg(F.max(value).alias("_value")).withColumn("_v", F.struct(F.col(on).alias("at"), F.col("_value").alias("value"))).drop("_value")
     stacked = left.withColumn("_v", F.lit(None).cast(right.schema["_v"].dataType)).withColumn("_left", F.lit(1)).unionByName(
         right.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    back = Window.partitionBy(*keys).orderBy(on, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(on).desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
-    both = stacked.withColumns({"_p": F.last("_v", ignorenulls=True).over(back), "_n": F.last("_v", ignorenulls=True).over(ahead)}).where("_left = 1")
+    both = prefix.scan(stacked, keys, [on, "_left"], lasts={"_p": F.col("_v")}, nexts={"_n": F.col("_v")}, back=[F.col(on).desc(), "_left"]).where("_left = 1")
     past, future = F.col(on) - F.col("_p.at"), F.col("_n.at") - F.col(on)
     use_past = F.col("_n").isNull() | (F.col("_p").isNotNull() & (past <= future))
     picked = both.withColumn("_m", F.when(use_past, F.col("_p")).otherwise(F.col("_n")))

@@ -614,24 +614,6 @@ def grid_fit(series: DataFrame, values: list[str], objective, starts, names: lis
     return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
 
 
-def power_law_negative_loglik(points: np.ndarray, t: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Batch of log (mu, alpha, c, p - 1): intensity mu + alpha sum s / (t - t_j + c) ** p up to the last event.
-
-    Quadratic in the events, computed in blocks of rows.
-    """
-    mu, alpha, c, p1 = np.exp(np.clip(np.atleast_2d(points), -30, 30)).T
-    horizon, out = t[-1], np.zeros(len(mu))
-    for at in range(0, len(t), 256):
-        gap = t[at : at + 256, None] - t[None, :]
-        earlier = np.arange(len(t))[None, :] < np.arange(at, min(at + 256, len(t)))[:, None]
-        for k in range(len(mu)):
-            kernel = np.where(earlier, s[None, :] * (np.maximum(gap, 0) + c[k]) ** -(p1[k] + 1), 0.0).sum(1)
-            out[k] -= np.log(np.maximum(mu[k] + alpha[k] * kernel, 1e-300)).sum()
-    tail = horizon - t
-    out += mu * horizon + alpha / p1 * (s[:, None] * (c**-p1 - (tail[:, None] + c) ** -p1)).sum(0)
-    return np.where(np.isfinite(out), out, INFEASIBLE)
-
-
 def garchx_negative_loglik(points: np.ndarray, r: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Batch of (mu, log omega, logit persistence, logit alpha's share, log theta) of a GARCH with a lagged driver."""
     points = np.atleast_2d(points)

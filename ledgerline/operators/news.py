@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from . import prefix
 
 
 def impact_weights(pairs: DataFrame, z: str = "z", move: str = "move", key: str = "indicator", least: int = 3, t_min: float = 2.0) -> DataFrame:
@@ -36,22 +34,19 @@ def weighted_events(scored: DataFrame, weights: DataFrame, key: str = "indicator
 def surprise_index(events: DataFrame, days: DataFrame, decay: float, day: str = "day") -> DataFrame:
     """(day, value) for each target day: contributions up to the day, each decayed by exp(-decay) a calendar day.
 
-    A running sum of c * exp(decay * age), scaled back: exact while decay times the span stays below 700.
+    The decay scan carries sums from block to block of time, so any decay and any span will do.
     """
-    stacked = days.select(day).distinct().withColumns({"c": F.lit(None).cast("double"), "target": F.lit(1)}).unionByName(events.select(day, "c").withColumn("target", F.lit(0)))
-    # one key: the series is a calendar, at most some ten thousand days
-    first = F.min(day).over(Window.partitionBy(F.lit(0)))
-    dated = stacked.withColumn("age", F.datediff(day, first).cast("double"))
-    rows = Window.partitionBy(F.lit(0)).orderBy(day, "target").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.coalesce("c", F.lit(0.0)) * F.exp(F.col("age") * decay)).over(rows)
-    return dated.withColumn("value", total * F.exp(-F.col("age") * decay)).where("target = 1").select(day, "value")
+    stacked = days.select(day).distinct().withColumns({"s": F.lit(0.0), "target": F.lit(1)}).unionByName(events.select(day, F.coalesce("c", F.lit(0.0)).alias("s")).withColumn("target", F.lit(0)))
+    dated = stacked.withColumns({"t": F.unix_date(F.col(day).cast("date")).cast("double"), "key": F.lit(0)})
+    return decay_scan(dated, decay, ["t", "target"]).where("target = 1").select(day, F.col("a").alias("value"))
 
 
-def decay_scan(rows: DataFrame, beta: float, order: list[str], key: str = "key") -> DataFrame:
+def decay_scan(rows: DataFrame, beta: float | Column, order: list[str], key: str = "key") -> DataFrame:
     """Adds a, the sum of s * exp(-beta * (t - t_j)), and before, the sum of s, over the key's rows before each (by ``order``, which starts with t).
 
     Time is cut into blocks of 24 / beta, so a hot key is many tasks: sums inside a block are scaled to its start, and what
     earlier blocks leave behind comes from one number each. Of these, 32 blocks count; older ones have decayed below 1e-300.
+    ``beta`` may be a column of ``rows`` that is constant within a key.
     """
     width = 24.0 / beta
     placed = rows.withColumn("_b", F.floor(F.col("t") / width).cast("bigint"))
@@ -95,14 +90,14 @@ def hawkes_loglik(events: DataFrame, mu: float, alpha: float, beta: float, horiz
 
 def rescaled_gaps(states: DataFrame, key: str = "key") -> DataFrame:
     """Adds gap, the difference of successive rescaled times; the first event of a key has none."""
-    w = Window.partitionBy(key).orderBy("t", "event_id")
-    return states.withColumn("gap", F.col("tau") - F.lag("tau").over(w)).where("gap is not null")
+    return prefix.scan(states, [key], ["t", "event_id"], lags={"_before": F.col("tau")}).withColumn("gap", F.col("tau") - F.col("_before")).where("gap is not null").drop("_before")
 
 
 def ks_exponential(gaps: DataFrame, key: str = "key") -> DataFrame:
     """(key, n, d, p): greatest distance of the gaps' distribution from the unit exponential, and its asymptotic p value."""
-    w = Window.partitionBy(key).orderBy("gap")
-    ranked = gaps.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key)), "f": 1 - F.exp(-F.col("gap"))})
+    ranked = prefix.scan(gaps.select(key, "gap"), [key], ["gap"], position="i").withColumn("f", 1 - F.exp(-F.col("gap")))
+    sizes = ranked.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    ranked = ranked.join(sizes, F.col(key).eqNullSafe(F.col("_key")))
     out = ranked.groupBy(key).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("i") / F.col("n") - F.col("f"), F.col("f") - (F.col("i") - 1) / F.col("n"))).alias("d"))
     x2 = F.col("n") * F.col("d") * F.col("d")
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x2))
@@ -131,30 +126,6 @@ def branching(events: DataFrame, alpha: float, beta: float, var_alpha: float, va
     return out.withColumns({"bounded": F.col("high") < cap, "cascade": F.when((F.col("high") < cap) & (F.col("n") < 1), 1 / (1 - F.col("n")))})
 
 
-def power_law_excess(events: DataFrame, c: float, p: float, key: str = "key", block: int = 2_048) -> DataFrame:
-    """(key, event_id, excess): sum over earlier events of s / (t - t_j + c) ** p.
-
-    The kernel has no finite state, so it is quadratic in a key's events: these are dealt over blocks of about ``block``,
-    each two blocks of a key are a task of bounded size, and sums are added up.
-    """
-    kinds = dict(events.dtypes)
-    sizes = events.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
-    placed = events.select(key, "event_id", "t", "s").join(sizes, key).withColumn("_b", F.pmod(F.xxhash64("event_id"), F.col("_k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
-    both = (placed.select(key, "event_id", "t", "s", F.col("_b").alias("_i"), other.alias("_j"), F.lit(True).alias("_later"))
-            .unionByName(placed.select(key, "event_id", "t", "s", other.alias("_i"), F.col("_b").alias("_j"), F.lit(False).alias("_later"))))
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        later, earlier = part[part["_later"]], part[~part["_later"]]
-        gap = later["t"].to_numpy(float)[:, None] - earlier["t"].to_numpy(float)[None, :]
-        with np.errstate(all="ignore"):
-            kernel = np.where(gap > 0, earlier["s"].to_numpy(float)[None, :] * (gap + c) ** -p, 0.0)
-        return pd.DataFrame({key: later[key].to_numpy(), "event_id": later["event_id"].to_numpy(), "part": kernel.sum(1)})
-
-    parts = both.groupBy(key, "_i", "_j").applyInPandas(add, f"{key} {kinds[key]}, event_id bigint, part double")
-    return parts.groupBy(key, "event_id").agg(F.sum("part").alias("excess"))
-
-
 def attribution(df: DataFrame, parts: dict[str, tuple[str, float]], active: set[str]) -> DataFrame:
     """Shares share_<name> of |weight * column|, inactive parts 0; if all are 0 the first takes all."""
     sizes = {n: F.abs(F.col(c) * w) if n in active else F.lit(0.0) for n, (c, w) in parts.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
+
 TRADING_DAYS = 252
 
 
@@ -48,9 +50,9 @@ def expanding_surprise_z(calendar: DataFrame, min_count: int = 12, key: str = "i
     Events without consensus or actual are left out, never filled in; the surprise is not demeaned.
     """
     valid = calendar.where("actual is not null and consensus is not null").withColumn("surprise", F.col("actual") - F.col("consensus"))
-    rows = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n, sigma = F.count("surprise").over(rows), F.stddev_samp("surprise").over(rows)
-    return valid.withColumns({"n_seen": n, "sigma": sigma, "z": F.when(n >= min_count, F.try_divide(F.col("surprise"), sigma))})
+    seen = prefix.scan(valid, [key], list(order), moments={"_m": F.col("surprise")})
+    n, sigma = F.col("_m.n"), prefix.sample_deviation(F.col("_m"))
+    return seen.withColumns({"n_seen": n, "sigma": sigma, "z": F.when(n >= min_count, F.try_divide(F.col("surprise"), sigma))}).drop("_m")
 
 
 def equity(returns: DataFrame, r: str = "r", key: str = "asset", order: str = "fecha") -> DataFrame:

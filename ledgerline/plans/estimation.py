@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, bootstrap, estimate, rolling, walkforward
+from ..operators import audit, bootstrap, estimate, powerlaw, prefix, rolling, walkforward
 from ..operators import calibration as cal
 from ..sources import tables as src
 
@@ -130,13 +130,14 @@ def optimal_block_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def powerlaw_mle(spark: SparkSession, d: str) -> DataFrame:
-    """Power-law kernel fitted to the events of each user with at least 30: log (mu, alpha, c, p - 1)."""
-    import numpy as np
+    """Power-law kernel fitted to all events of each type from eight starts, to tolerance, with standard errors and AIC."""
+    return powerlaw.power_law_fit(src.point_process(spark, d), 31.0)
+
 
-    e = src.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (src.micros("ts") / 86_400_000_000).alias("t"), (F.col("value") / 1000).alias("s"))
-    begin = lambda g, t, s: np.log([len(t) / t[-1] * 0.7, 1.0, 0.1 * np.exp(g.normal()), 0.5])
-    counted = e.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size >= 30")
-    return estimate.grid_fit(counted, ["t", "s"], estimate.power_law_negative_loglik, begin, ["log_mu", "log_alpha", "log_c", "log_p1"], 1, rounds=10)
+@query
+def kernel_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The exponential and the power-law kernel fitted to each event type on one window: AIC, rescaled waiting times, which is preferred."""
+    return powerlaw.compare_kernels(src.point_process(spark, d), 31.0)
 
 
 @query
@@ -198,6 +199,6 @@ def rubin_by_dither(spark: SparkSession, d: str) -> DataFrame:
     seeds = e.withColumn("seed", F.explode(F.lit([1, 2, 3, 4, 5])))
     u = F.pmod(F.xxhash64("event_id", "seed"), F.lit(1_000_000)) / 1e6
     t = seeds.withColumn("t", F.col("bin") + u * 900)
-    gap = t.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("key", "seed").orderBy("t", "event_id")))
+    gap = prefix.scan(t, ["key", "seed"], ["t", "event_id"], lags={"_before": F.col("t")}).withColumn("gap", F.col("t") - F.col("_before"))
     rows = gap.groupBy("seed").agg(F.avg("gap").alias("estimate"), (F.var_samp("gap") / F.count("gap")).alias("variance"))
     return cal.rubin_pool(rows)

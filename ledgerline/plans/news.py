@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import news, rolling
+from ..operators import news, powerlaw, rolling
 from ..sources import tables as src
 from .relational import DAILY, SURPRISE, rounded
 
@@ -152,10 +152,42 @@ def lambda_z(spark: SparkSession, d: str) -> DataFrame:
     return z.select("key", "day_no", F.round(F.lag("z").over(w), 5).alias("lambda_z"))
 
 
-@query(f"with {_EV}, u as (select cast(user_id as varchar) as key, e.event_id, t, s from ev e join events x on e.event_id = x.event_id) select a.key, a.event_id, round(coalesce(sum(b.s / power(a.t - b.t + 0.01, 1.3)), 0), 6) as excess from u a left join u b on a.key = b.key and b.t < a.t group by 1, 2")
+C, THETA = 0.01, 0.3  # of the fixed power-law kernel
+_USERS = f"""{_EV}, u as (select cast(user_id as varchar) as key, e.event_id, t, s from ev e join events x on e.event_id = x.event_id),
+pw as (select a.key, a.event_id, a.t, a.s, coalesce(sum(b.s / power(a.t - b.t + {C}, {1 + THETA})), 0) as excess, coalesce(sum(b.s * (power({C}, -{THETA}) - power(a.t - b.t + {C}, -{THETA}))), 0) as reach
+  from u a left join u b on a.key = b.key and b.t < a.t group by 1, 2, 3, 4)"""
+
+
+def _by_user(spark: SparkSession, d: str) -> DataFrame:
+    return src.point_process(spark, d).select(F.col("user_id").cast("string").alias("key"), "event_id", "t", "s")
+
+
+def _power_law(spark: SparkSession, d: str) -> DataFrame:
+    rates = powerlaw.rates_for(C, HORIZON)
+    return powerlaw.power_law_states(powerlaw.with_kernel(powerlaw.chunks(_by_user(spark, d), rates), MU, ALPHA / 100, C, THETA), rates, HORIZON)
+
+
+@query(f"with {_USERS} select key, event_id, round(excess, 6) as excess from pw")
 def powerlaw_excess(spark: SparkSession, d: str) -> DataFrame:
-    e = src.point_process(spark, d).select(F.col("user_id").cast("string").alias("key"), "event_id", "t", "s")
-    return rounded(news.power_law_excess(e, 0.01, 1.3), "excess")
+    return rounded(_power_law(spark, d).select("key", "event_id", "excess"), "excess")
+
+
+@query(f"with {_USERS} select key, event_id, round({MU} + {ALPHA / 100} * excess, 5) as intensity, round({MU} * t + {ALPHA / 100 / THETA} * reach, 5) as tau from pw")
+def powerlaw_rescaling(spark: SparkSession, d: str) -> DataFrame:
+    """Intensity and rescaled time of each user's events under a fixed power-law kernel."""
+    return rounded(_power_law(spark, d).select("key", "event_id", "intensity", "tau"), "intensity", "tau", digits=5)
+
+
+@query(f"""with {_USERS} select key, count(*) as n, round(sum(ln(greatest({MU} + {ALPHA / 100} * excess, 1e-300))) - ({MU * HORIZON} + {ALPHA / 100 / THETA} * sum(s * (power({C}, -{THETA}) - power({HORIZON} - t + {C}, -{THETA})))), 4) as loglik from pw group by 1""")
+def powerlaw_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Log likelihood of each user's events under a fixed power-law kernel."""
+    return rounded(powerlaw.power_law_loglik(_by_user(spark, d), MU, ALPHA / 100, C, THETA, HORIZON), "loglik", digits=4)
+
+
+@query(f"""with {_EV}, b as (select key, count(*) as events, {ALPHA / 1000} * power({C}, -{THETA}) / {THETA} * avg(s) as n from ev group by 1) select key, events, round(n, 6) as n, round(case when n < 1 then 1 / (1 - n) end, 6) as cascade from b""")
+def powerlaw_branching(spark: SparkSession, d: str) -> DataFrame:
+    """Branching ratio of each event type under a fixed power-law kernel."""
+    return rounded(powerlaw.power_law_branching(src.point_process(spark, d), ALPHA / 1000, C, THETA), "n", "cascade")
 
 
 @query(f"""with {_EV}, m as (select key, count(*) as events, avg(s) as m, var_samp(s) / count(*) as vm from ev group by 1),

@@ -66,10 +66,10 @@ def one_per_vintage(rows: DataFrame) -> DataFrame:
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """calendar(indicator, event_id, ts, actual, consensus): the consensus is the indicator's value before (first: null)."""
-    from pyspark.sql import Window
+    from ..operators import prefix
 
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("indicator"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("actual"))
-    return events.withColumn("consensus", F.lag("actual").over(Window.partitionBy("indicator").orderBy("ts", "event_id")))
+    return prefix.scan(events, ["indicator"], ["ts", "event_id"], lags={"consensus": F.col("actual")})
 
 
 def point_process(spark: SparkSession, sf_dir: str) -> DataFrame:

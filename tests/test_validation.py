@@ -85,14 +85,6 @@ def test_decay_scan_against_a_loop(spark, beta):
     assert np.allclose([out[i]["before"] for i in range(202)], np.cumsum(s) - s)
 
 
-def test_power_law_blocks_agree_with_all_pairs(spark):
-    g = np.random.default_rng(4)
-    t, s = g.uniform(0, 10, 90), g.uniform(size=90)
-    rows = spark.createDataFrame([("k", i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, s))], "key string, event_id long, t double, s double")
-    out = {r["event_id"]: r["excess"] for r in news.power_law_excess(rows, 0.1, 1.5, block=16).collect()}
-    assert all(out[i] == pytest.approx(sum(s[j] * (t[i] - t[j] + 0.1) ** -1.5 for j in range(90) if t[j] < t[i])) for i in range(90))
-
-
 def test_conditional_statistics_are_suppressed(spark):
     g = np.random.default_rng(5)
     rows = [("a", i, float(g.normal(0, 1)), i % 2) for i in range(600)] + [("a", 1000 + i, float(g.normal()), 2) for i in range(20)]
