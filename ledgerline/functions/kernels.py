@@ -117,6 +117,25 @@ def run_filter(r: np.ndarray, params: Params, x: np.ndarray | None = None) -> di
     return {"s2": s2, "predicted": predicted, "filtered": filtered, "ll": ll}
 
 
+def filter_step(params: Params, r: float, state: tuple[float, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One day on, with constant transitions: variances, predicted and filtered probabilities, log likelihood.
+
+    ``state`` is the day before's return, variances and filtered probabilities; without one the series starts.
+    """
+    a = params.arrays()
+    if state is None:
+        s2, predicted = a["v"].astype(float), stationary(a["P"])
+    else:
+        before, s2, filtered = state
+        e = before - a["mu"]
+        s2 = a["omega"] + (a["alpha"] + a["gamma"] * (e < 0)) * e * e + a["beta"] * s2
+        predicted = filtered @ a["P"]
+    logf = log_density(np.array([r]), a["mu"], s2[None], a.get("nu"))[0]
+    top = logf.max()
+    weight = predicted * np.exp(logf - top)
+    return s2, predicted, weight / weight.sum(), float(np.log(weight.sum()) + top)
+
+
 def garchx_variances(r: np.ndarray, x_lag: np.ndarray, mu: float, omega: float, alpha: float, beta: float, theta: float, floor: float = 1e-12) -> np.ndarray:
     """Variances with an exogenous lagged driver, started where the recursion rests at the driver's mean."""
     out = np.empty(len(r))

@@ -253,6 +253,7 @@ def test_paged_source(spark):
 
 
 def test_streams(spark, tmp_path):
+    jobs.use_state_store(spark)
     for k, rows in enumerate(([("k", 0.0, 1.0), ("k", 0.5, 0.5)], [("k", 0.25, 1.0), ("k", 1.0, 0.2)])):
         spark.createDataFrame(rows, "key string, t double, s double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
     got = []
@@ -264,6 +265,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_stream_keeps_the_earliest_capture(spark, tmp_path):
+    jobs.use_state_store(spark)
     schema = "indicator string, captured_at double, actual double, consensus double"
     for k, rows in enumerate(([("CPI", 2.0, None, 3.0)], [("CPI", 3.0, 9.0, 8.0), ("CPI", 1.0, None, 2.5)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
