@@ -21,7 +21,7 @@ from ..functions.kernels import Params
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
 #: Days by which numeric times are moved, as a stream takes nothing at or before the first watermark, which is 1970.
-SHIFT = 100_000
+SHIFT = 40_000
 
 
 def window_counts(events: DataFrame, ts: str = "ts", width: str = "15 minutes", late: str = "1 hour", key: str = "event_type") -> DataFrame:
