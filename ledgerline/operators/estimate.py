@@ -229,26 +229,6 @@ def score_test(assigned: DataFrame, fits: DataFrame, shape: Shape, key: str = "b
     return fits.join(rows, "series", "left").withColumns({"n_test": F.coalesce("n_test", F.lit(0)), "test_loglik": F.coalesce("test_loglik", F.lit(0.0))})
 
 
-def walk_forward(assigned: DataFrame, path: str, shape: Shape, starts: int = 20, rounds: int = 150, seed: int = 42, order: str = "fecha", r: str = "r") -> DataFrame:
-    """Out-of-sample rows of all blocks, resumed: blocks that ``path`` holds are not fitted again, the others are fitted and appended.
-
-    ``assigned`` has (block_id, part). A block's fit does not depend on what else is fitted, so a resumed run gives the
-    rows of one that was never stopped.
-    """
-    spark = assigned.sparkSession
-    rows = assigned.withColumn("block", F.col("block_id").cast("string"))
-    try:
-        done = spark.read.parquet(path).select("block").distinct()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = None
-    left = rows if done is None else rows.join(F.broadcast(done), "block", "left_anti")  # some ten blocks
-    fits = best_fit(fit_starts(left.where("part = 'train'"), shape, starts, seed, rounds, key="block", order=order, r=r))
-    out_of_sample(left, fits, shape, "block", order, r).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
 def covariance(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None) -> np.ndarray:
     """Covariance of the unconstrained parameters, by the inverse Hessian."""
     return np.linalg.pinv(hessian(lambda t: negative_loglik(t, r, shape, x), theta))

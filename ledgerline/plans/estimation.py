@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, bootstrap, estimate, powerlaw, prefix, rolling, walkforward
+from ..operators import audit, bootstrap, committed, estimate, powerlaw, prefix, rolling, walkforward
 from ..operators import calibration as cal
 from ..sources import tables as src
 
 TWO = estimate.Shape(2)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WALK = ["series", "k", "n", "loglik", "n_starts", "n_converged", "theta"]
+WALK = ["series", "k", "n", "loglik", "n_starts", "n_converged", "n_stopped_by_rule", "theta"]
 
 
 def query(f):
@@ -61,18 +61,27 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Two regimes re-fitted from scratch on each block's train rows; log likelihood there, and of the test rows that follow."""
-    rows = _assigned(spark, d)
-    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), TWO, starts=2, rounds=30, key="block")).select(*WALK)
-    return estimate.score_test(rows, fits, TWO)
+    """Two regimes re-fitted from scratch on each block's train rows, a commit a block; log likelihood there, and of the test rows that follow."""
+    assigned = _assigned(spark, d)
+    rows, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), TWO, starts=4, rounds=60)
+    sums = rows.groupBy(F.col("block").alias("series")).agg(F.count("*").cast("int").alias("n_test"), F.sum("loglik").alias("test_loglik"))
+    return fits.select(*WALK).join(sums, "series")
 
 
 @query
 def walk_forward_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every block's test rows under its own fit: predicted and filtered probabilities, log likelihood, predicted mean."""
-    rows = _assigned(spark, d)
-    fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), TWO, starts=2, rounds=30, key="block"))
-    return estimate.out_of_sample(rows, fits, TWO)
+    return committed.walk_forward(_assigned(spark, d), src.shared_path(spark, "walk"), TWO, starts=4, rounds=60)[0]
+
+
+@query
+def walk_forward_driven(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions driven by yesterday's return, scaled on each block's train rows, the slopes' penalty chosen there: fit, penalty, scaler and test likelihood a block."""
+    rows = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)))
+    assigned = _assigned(spark, d).join(rows.select("fecha", "x"), "fecha")
+    out, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), estimate.Shape(2, slopes=True), starts=4, rounds=60, covariate="x", penalties=[0.0, 10.0], cv_starts=1)
+    sums = out.groupBy(F.col("block").alias("series")).agg(F.count("*").cast("int").alias("n_test"), F.sum("loglik").alias("test_loglik"))
+    return fits.select(*WALK, "penalty", "scaler_mean", "scaler_std").join(sums, "series")
 
 
 @query

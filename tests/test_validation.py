@@ -226,15 +226,6 @@ def test_errors_penalties_and_decay(spark, small):
         estimate.fit_starts(small, slopes)
 
 
-def test_resumed_walk_forward_equals_direct(spark, small, tmp_path):
-    blocks = walkforward.windows_frame(spark, [(k, date(2000, 1, 1), date(2000, 7 + 2 * k, 1), date(2000, 9 + 2 * k, 1)) for k in range(2)])
-    rows = walkforward.assign(small.select("asset", "fecha", "r"), blocks)
-    run = lambda part, path: estimate.walk_forward(part, f"{tmp_path}/{path}", estimate.Shape(1), 1, 6).orderBy("block", "fecha").collect()
-    direct = run(rows, "direct")
-    run(rows.where("block_id = 0"), "resumed")
-    assert run(rows, "resumed") == direct and len(direct) == rows.where("part = 'test'").count() and run(rows, "resumed") == direct
-
-
 def test_bootstrap_ratio_of_a_small_series(spark, small):
     out = estimate.bootstrap_lr(small.limit(150), replicas=3, starts=1, rounds=5).first()
     assert 0 < out["p"] <= 1 and out["replicas"] == 3
