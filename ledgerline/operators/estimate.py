@@ -486,8 +486,18 @@ def _packed_events(events: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     return left.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("e")).select("key", "e.t", "e.s")
 
 
+def best_start(fits: DataFrame) -> DataFrame:
+    """The start of each key with the greatest likelihood, the first of equal ones."""
+    return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
+
+
 def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7, rounds: int = 60, key: str = "key", most: int = HOT_EVENTS) -> DataFrame:
-    """Best of several seeded starts per key: parameters, log likelihood, branching ratio alpha E[s] / beta, and whether it converged.
+    """Best of several seeded starts per key, as ``hawkes_starts`` gives them."""
+    return best_start(hawkes_starts(events, horizon, starts, seed, rounds, key, most))
+
+
+def hawkes_starts(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7, rounds: int = 60, key: str = "key", most: int = HOT_EVENTS) -> DataFrame:
+    """Each seeded start per key: parameters, log likelihood, branching ratio alpha E[s] / beta, and whether it converged.
 
     Keys of up to ``most`` events are a row of arrays each. Larger ones are cut into stretches of time, and each step of
     all their starts is one Spark job over these; the likelihood and the optimiser are the same. Null times or marks
@@ -499,7 +509,8 @@ def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7
     columns = [c.split()[0] for c in HAWKES.split(", ")]
 
     def rows_of(name, n, mean, theta, value, sure) -> list[tuple]:
-        mu, alpha, beta = np.exp(theta).T
+        mu, alpha, beta = np.exp(np.clip(theta, -50, 50)).T
+        sure = sure & (np.abs(theta) < 50).all(1)  # a start that ran away has not converged
         return [(name, i, int(n), float(-value[i]), float(mu[i]), float(alpha[i]), float(beta[i]), float(alpha[i] * mean / beta[i]), bool(sure[i])) for i in range(starts)]
 
     def run(frames):
@@ -517,7 +528,7 @@ def hawkes_fit(events: DataFrame, horizon: float, starts: int = 4, seed: int = 7
         theta, value, _, sure = minimise_many(objective, x0, rounds, owned=True)
         own = [slice(i * starts, (i + 1) * starts) for i in range(len(batch))]
         fits = fits.unionByName(spark.createDataFrame([r for row, o in zip(batch, own, strict=True) for r in rows_of(row["key"], row["n"], row["m"], theta[o], value[o], sure[o])], HAWKES))
-    return fits.groupBy("key").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("loglik", -F.col("start"))).alias("b")).select("key", "b.*")
+    return fits
 
 
 def simulate(params: kernels.Params, n: int, seed: int, burn: int = 500, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

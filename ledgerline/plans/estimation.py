@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, bootstrap, committed, estimate, powerlaw, prefix, rolling, walkforward
+from ..operators import audit, bootstrap, committed, estimate, hawkes_errors, powerlaw, prefix, rolling, walkforward
 from ..operators import calibration as cal
 from ..sources import tables as src
 
@@ -122,7 +122,23 @@ def block_reestimation(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hawkes_mle(spark: SparkSession, d: str) -> DataFrame:
     """Exponential kernel fitted to each event type."""
-    return estimate.hawkes_fit(src.point_process(spark, d), 31.0, starts=2, rounds=25)
+    return estimate.hawkes_fit(src.point_process(spark, d), 31.0, starts=4, rounds=100)
+
+
+@query
+def hawkes_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Each event type's branching ratio with standard errors by curvature and the likelihood-ratio interval."""
+    e = src.point_process(spark, d)
+    fits = src.materialise(estimate.hawkes_fit(e, 31.0, starts=4, rounds=100), "hawkes")
+    return fits.select("key", "mu", "alpha", "beta", "loglik", "converged").join(hawkes_errors.hawkes_intervals(e, 31.0, fits), "key")
+
+
+@query
+def dithering_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Each event type's branching ratio under five ditherings of 15-minute bins and four starts each, pooled over the ditherings."""
+    e = src.point_process(spark, d)
+    bins = e.withColumn("t", F.floor(F.col("t") * 96) / 96)
+    return hawkes_errors.dither_sweep(bins, 1 / 96, 31.0)
 
 
 @query
