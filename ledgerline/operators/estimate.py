@@ -366,7 +366,7 @@ def _hawkes_stretch(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizo
     with np.errstate(all="ignore"):
         for at, state, _ in _decayed(t, s, beta, begin, carry):
             n = len(state)
-            out += alpha / beta * (s[at : at + n, None] * (1 - np.exp(-(horizon - t[at : at + n])[:, None] * beta))).sum(0)
+            out += alpha / beta * (s[at : at + n, None] * -np.expm1(-np.maximum(horizon - t[at : at + n], 0)[:, None] * beta)).sum(0)
             out -= np.log(np.maximum(mu + alpha * state, 1e-300)).sum(0)
     return out
 
