@@ -391,8 +391,10 @@ def deduce(tokens: list[dict], valid: set[int]) -> tuple[int | None, list[int]]:
     named_same = sorted(t["token"] for t in constant if t["either"])
     for tag in ("article", "main"):
         found = [t for t in tokens if t["token"] in valid and t["tag"] == tag and t["uses"] == t["pages"] and not t["outside"]]
+        if len(found) == 1:
+            return found[0]["token"], named_same
         if found:
-            return max(found, key=lambda t: (t["pages"], t["token"]))["token"], named_same
+            return None, named_same  # several articles: the pages' own rule takes them all
     if any(t["tag"] in ("article", "main") and not t["outside"] for t in tokens):
         return None, named_same  # none of the template or several to a page: the pages' own rule takes them all
     blocks = {t["token"] for t in constant if t["tag"] not in HEADINGS | INLINE | {"p", "", "html", "body"}}
