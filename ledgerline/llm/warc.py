@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, table
 
+#: Compressed bytes that are taken from an archive at a time.
+SLICE = 1 << 20
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 6_000
@@ -103,8 +105,15 @@ def _open(content: bytes):
         return io.BufferedReader(io.BytesIO(content))
 
     class Members(io.RawIOBase):
+        """Bytes go in by slices of a megabyte, so what is left of the archive is never copied."""
+
         def __init__(self) -> None:
-            self.rest, self.z = content, zlib.decompressobj(31)
+            self.at, self.rest, self.z = 0, b"", zlib.decompressobj(31)
+
+        def more(self) -> bool:
+            self.rest = content[self.at : self.at + SLICE]
+            self.at += len(self.rest)
+            return bool(self.rest)
 
         def readable(self) -> bool:
             return True
@@ -113,16 +122,23 @@ def _open(content: bytes):
             while True:
                 if self.z.eof:
                     self.rest = self.z.unused_data.lstrip(b"\0")
-                    if not self.rest:
-                        return 0
+                    while not self.rest:  # zeros may pad a member's end
+                        if not self.more():
+                            return 0
+                        self.rest = self.rest.lstrip(b"\0")
                     self.z = zlib.decompressobj(31)
+                elif not self.rest and not self.more():
+                    # the object may still hold output
+                    out = self.z.decompress(b"", len(buffer))
+                    if not out:
+                        raise ValueError("a gzip member of the archive is cut off")
+                    buffer[: len(out)] = out
+                    return len(out)
                 out = self.z.decompress(self.rest, len(buffer))
-                self.rest = self.z.unconsumed_tail if not self.z.eof else self.rest
+                self.rest = self.z.unconsumed_tail
                 if out:
                     buffer[: len(out)] = out
                     return len(out)
-                if not self.z.eof and not self.rest:
-                    raise ValueError("a gzip member of the archive is cut off")
 
     return io.BufferedReader(Members(), 1 << 16)
 
