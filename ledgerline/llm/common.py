@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -59,16 +61,25 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns free memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with bounded batches, whose workers give Arrow's free memory back when a task ends.
+    """``df.mapInArrow`` with bounded batches, whose workers give free memory back when a task ends, Arrow's and the allocator's.
 
-    Spark keeps idle workers for later tasks; what their pools hold counts beside the memory of the tasks that run.
+    Spark keeps idle workers for later tasks; what they hold counts beside the memory of the tasks that run.
     """
     bounded_batches(df.sparkSession)
 
     def run(batches):
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
