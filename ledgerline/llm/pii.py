@@ -47,7 +47,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider patterns, each with a cheap test that a text must pass first.
 SPOKEN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{](?:at|AT)[)\]}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[(\[{](?:dot|DOT|punkt|point|punto)[)\]}]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}+"
 IPV6 = r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
-NATIONAL_PHONE = r"(?<![0-9A-Za-z+(.-])(?<![0-9] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![ .-]?[0-9A-Za-z])"
+NATIONAL_PHONE = r"(?<![0-9A-Za-z+(.-])(?<![0-9] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])(?![ .-][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?|Sra?)\.? \p{Lu}\p{Ll}{2,30}(?: \p{Lu}\p{Ll}{2,30})?(?!\p{L})"

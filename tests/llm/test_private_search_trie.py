@@ -66,6 +66,7 @@ def test_long_runs_need_no_stack(spark):
 def test_added_spans_are_those_the_labelers_trust(spark):
     rows = [(i, f"word contact: user{i}@mail.example.com or call +1 ({200 + i % 700}) 555-{1000 + i % 9000} soon") for i in range(400)]
     rows += [(1_000, "reach ann (at) example (dot) com today"), (1_001, "my phone (017) 555-7713 rings"), (1_002, "order 1234567812345678 shipped"), (1_003, "plain words and 12 numbers, 3.5 of them"), (1_004, "my ssn is 219-09-9999 ok")]
+    rows += [(2_000 + i, f"my phone ({100 + i}) 555-{7000 + i} rings") for i in range(60)]
     out = {r["doc_id"]: r for r in spans_of(spark, rows)}
     assert out[1_000]["spans"] == "email:6:32" and out[1_001]["spans"] == "phone:9:23"
     assert out[1_002]["spans"] == "" and out[1_003]["spans"] == ""
