@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, bootstrap, committed, estimate, hawkes_errors, powerlaw, prefix, rolling, walkforward
+from ..operators import audit, bootstrap, committed, decay_fit, estimate, hawkes_errors, powerlaw, prefix, rolling, walkforward
 from ..operators import calibration as cal
 from ..sources import tables as src
 
@@ -108,6 +108,13 @@ def surprise_decay(spark: SparkSession, d: str) -> DataFrame:
     return estimate.fit_decay(_returns(spark, d), v, [5.0, 20.0, 80.0], estimate.Shape(2, slopes=True), starts=1, rounds=25)
 
 
+@query
+def surprise_half_life(spark: SparkSession, d: str) -> DataFrame:
+    """The half-life of release surprises fitted with the regimes' model, with its error and interval."""
+    v = src.one_per_vintage(src.vintages(spark, d)).groupBy(F.col("realtime_start").alias("day")).agg(((F.avg("value") - 38_000) / 10_000).alias("c"))
+    return decay_fit.fit_half_life(_returns(spark, d), v, starts=8, rounds=60)
+
+
 @query
 def block_reestimation(spark: SparkSession, d: str) -> DataFrame:
     """Per block, refitted with one regime: least L-infinity distance of its parameters to any other block's, and whether it is re-estimated. No rows without two blocks."""

@@ -7,7 +7,7 @@ from ledgerline.plans import registry
 from .oracle import assert_equal
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"walk_forward", "walk_forward_rows", "walk_forward_driven", "ablation_ladder", "bootstrap_lr"}  # test_engine runs their operators on small series
+SLOW = {"walk_forward", "walk_forward_rows", "walk_forward_driven", "surprise_half_life", "ablation_ladder", "bootstrap_lr"}  # test_engine runs their operators on small series
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
