@@ -75,7 +75,7 @@ def _directions(g: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]])
 
 
 def minimise_many(objective: Callable[..., np.ndarray], starts: np.ndarray, rounds: int = 150, memory: int = 10, tolerance: float = 1e-9, step: float = 1e-5, owned: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(points, values, rounds used, converged) of L-BFGS from several starts in step, two objective calls a round.
+    """(points, values, rounds used, converged) of L-BFGS from several starts in step, one objective call in most rounds.
 
     A start has converged when its value falls by no more than ``tolerance`` of itself, or its gradient vanishes; one
     whose line search finds nothing better after a fresh gradient step stops unconverged. With ``owned`` the objective
@@ -99,24 +99,33 @@ def minimise_many(objective: Callable[..., np.ndarray], starts: np.ndarray, roun
     pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(m)]
     used, converged = np.zeros(m, int), np.abs(g).max(1) < 1e-6
     live = ~converged
-    steps = 0.4 ** np.arange(0, 10)
+    steps = 0.4 ** np.arange(1, 10)
     for _ in range(rounds):
         at = np.flatnonzero(live)
         if not len(at):
             break
         direction = _directions(g[at], [pairs[k] for k in at])
-        trial = call((x[at, None] + steps[:, None] * direction[:, None]).reshape(-1, n), np.repeat(at, len(steps))).reshape(len(at), -1)
         slope = (direction * g[at]).sum(1)
-        enough = trial <= value[at, None] + 1e-4 * steps * slope[:, None]
-        found = enough.any(1)
-        for k in at[~found]:
-            live[k] = bool(pairs[k])  # once more from the plain gradient
-            pairs[k] = []
-        at, first, direction = at[found], enough[found].argmax(1), direction[found]
+        # most starts take the whole step, so its gradient is asked for at once
+        new = x[at] + direction
+        new_value, new_g = values_and_gradients(new, at)
+        whole = (new_value <= value[at] + 1e-4 * slope) & np.isfinite(new_g).all(1)
+        short = np.flatnonzero(~whole)
+        if len(short):
+            trial = call((x[at[short], None] + steps[:, None] * direction[short, None]).reshape(-1, n), np.repeat(at[short], len(steps))).reshape(len(short), -1)
+            enough = trial <= value[at[short], None] + 1e-4 * steps * slope[short, None]
+            found = enough.any(1)
+            for k in at[short[~found]]:
+                live[k] = bool(pairs[k])  # once more from the plain gradient
+                pairs[k] = []
+            some = short[found]
+            if len(some):
+                new[some] = x[at[some]] + steps[enough[found].argmax(1), None] * direction[some]
+                new_value[some], new_g[some] = values_and_gradients(new[some], at[some])
+                whole[some] = True
+        at, new, new_value, new_g = at[whole], new[whole], new_value[whole], new_g[whole]
         if not len(at):
             continue
-        new = x[at] + steps[first, None] * direction
-        new_value, new_g = values_and_gradients(new, at)
         for i, k in enumerate(at):
             s, y = new[i] - x[k], new_g[i] - g[k]
             if s @ y > 1e-12:

@@ -128,10 +128,53 @@ def step_logliks(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray |
     return (ll, *kept) if states else ll
 
 
+#: Numbers of one batch of step matrices; more points go in several batches.
+STEP_NUMBERS = 4_000_000
+
+
+def total_loglik(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None) -> np.ndarray:
+    """Log likelihoods of a batch of vectors: the sum of ``step_logliks``, without the states.
+
+    A step multiplies the regimes' weights by a small matrix, and products of matrices may be taken in any grouping: neighbours are
+    multiplied for all steps at once, then their products, some dozen passes instead of one for each day. Each product is scaled
+    by its greatest entry, whose logarithm is kept.
+    """
+    theta, k = np.atleast_2d(theta), shape.k
+    most = max(1, STEP_NUMBERS // max(1, len(r) * k * k))
+    if len(theta) > most:
+        cut = lambda a: x[:, a : a + most] if x is not None and x.ndim > 1 else x
+        return np.concatenate([total_loglik(theta[a : a + most], r, shape, cut(a)) for a in range(0, len(theta), most)])
+    n = unpack(theta, shape)
+    s2 = kernels.gjr_variances(r, n["mu"], n["omega"], n["alpha"], n["gamma"], n["beta"], n["v"])
+    logf = kernels.log_density(r, n["mu"], s2, n.get("nu"))
+    if k == 1 or not len(r):
+        return logf[..., 0].sum(0)
+    top = logf.max(-1)
+    f = np.exp(logf - top[..., None])
+    if x is None or len(r) == 1:
+        P = n["P"][None]
+    else:
+        logits = shape.split(theta)["moves"] + n["B"].reshape(len(theta), -1) * np.asarray(x, float)[1:].reshape(len(r) - 1, -1, 1)
+        P = _rows_of(logits.reshape(-1, logits.shape[-1]), k).reshape(len(r) - 1, len(theta), k, k)
+    steps = [[P[..., i, j] * f[1:, :, j] for j in range(k)] for i in range(k)]
+    start = _stationary(n["P"]) * f[0]
+    total = top.sum(0)
+    while len(steps[0][0]) > 1:
+        odd = len(steps[0][0]) % 2
+        a, b = [[m[: len(m) - odd : 2] for m in row] for row in steps], [[m[1::2] for m in row] for row in steps]
+        both = [[sum(a[i][h] * b[h][j] for h in range(k)) for j in range(k)] for i in range(k)]
+        scale = np.maximum.reduce([m for row in both for m in row])
+        total = total + np.log(scale).sum(0)
+        steps = [[np.concatenate([m / scale, last[-1:]]) if odd else m / scale for m, last in zip(row, old, strict=True)] for row, old in zip(both, steps, strict=True)]
+    if len(steps[0][0]):
+        start = np.stack([sum(start[:, i] * steps[i][j][0] for i in range(k)) for j in range(k)], 1)
+    return total + np.log(start.sum(1))
+
+
 def negative_loglik(theta: np.ndarray, r: np.ndarray, shape: Shape, x: np.ndarray | None = None, penalty: float = 0.0) -> np.ndarray:
     """Negative log likelihoods of a batch of vectors, plus ``penalty`` times the smoothed absolute slopes."""
     with np.errstate(all="ignore"):
-        out = -step_logliks(theta, r, shape, x).sum(0)
+        out = -total_loglik(theta, r, shape, x)
     if penalty:
         out = out + penalty * np.sqrt(shape.split(theta)["slopes"] ** 2 + 1e-6).sum(1)
     return np.where(np.isfinite(out), np.minimum(out, INFEASIBLE), INFEASIBLE)

@@ -27,15 +27,15 @@ def _returns(spark: SparkSession, d: str, by_asset: bool = False) -> DataFrame:
 
 @query
 def fit_msgarch(spark: SparkSession, d: str) -> DataFrame:
-    """Two regimes fitted to all daily returns from 20 starts, to tolerance or 40 rounds."""
-    return estimate.best_fit(estimate.fit_starts(_returns(spark, d), TWO, rounds=40))
+    """Two regimes fitted to all daily returns from 20 starts, to tolerance (or 200 rounds; n_stopped_by_rule tells how many got there)."""
+    return estimate.best_fit(estimate.fit_starts(_returns(spark, d), TWO, rounds=200))
 
 
 @query
 def parameter_errors(spark: SparkSession, d: str) -> DataFrame:
     """Natural parameters of the two-regime fit with delta-method standard errors."""
     r = _returns(spark, d)
-    return estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, TWO, starts=4, rounds=60)), TWO)
+    return estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, TWO, starts=8, rounds=150)), TWO)
 
 
 @query
@@ -45,10 +45,10 @@ def bic_table(spark: SparkSession, d: str) -> DataFrame:
 
     r = _returns(spark, d)
     specs = [(k, t) for k in (1, 2) for t in (False, True)]
-    fits = [estimate.best_fit(estimate.fit_starts(r, estimate.Shape(k, t), starts=2, rounds=40)).withColumn("dist", F.lit("t" if t else "normal")) for k, t in specs]
+    fits = [estimate.best_fit(estimate.fit_starts(r, estimate.Shape(k, t), starts=8, rounds=120)).withColumn("dist", F.lit("t" if t else "normal")) for k, t in specs]
     every = reduce(lambda a, b: a.unionByName(b), fits)
     w = Window.partitionBy("series").orderBy("bic", "k", "dist")
-    return every.select("series", "k", "dist", "n", "loglik", "bic", "aic", "n_starts", "n_converged").withColumn("best", F.row_number().over(w) == 1)
+    return every.select("series", "k", "dist", "n", "loglik", "bic", "aic", "n_starts", "n_converged", "n_stopped_by_rule").withColumn("best", F.row_number().over(w) == 1)
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """Two regimes re-fitted from scratch on each block's train rows, a commit a block; log likelihood there, and of the test rows that follow."""
     assigned = _assigned(spark, d)
-    rows, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), TWO, starts=4, rounds=60)
+    rows, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), TWO, starts=8, rounds=120)
     sums = rows.groupBy(F.col("block").alias("series")).agg(F.count("*").cast("int").alias("n_test"), F.sum("loglik").alias("test_loglik"))
     return fits.select(*WALK).join(sums, "series")
 
@@ -71,7 +71,7 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
 @query
 def walk_forward_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every block's test rows under its own fit: predicted and filtered probabilities, log likelihood, predicted mean."""
-    return committed.walk_forward(_assigned(spark, d), src.shared_path(spark, "walk"), TWO, starts=4, rounds=60)[0]
+    return committed.walk_forward(_assigned(spark, d), src.shared_path(spark, "walk"), TWO, starts=8, rounds=120)[0]
 
 
 @query
@@ -79,7 +79,7 @@ def walk_forward_driven(spark: SparkSession, d: str) -> DataFrame:
     """Transitions driven by yesterday's return, scaled on each block's train rows, the slopes' penalty chosen there: fit, penalty, scaler and test likelihood a block."""
     rows = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)))
     assigned = _assigned(spark, d).join(rows.select("fecha", "x"), "fecha")
-    out, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), estimate.Shape(2, slopes=True), starts=4, rounds=60, covariate="x", penalties=[0.0, 10.0], cv_starts=1)
+    out, fits = committed.walk_forward(assigned, src.shared_path(spark, "walk"), estimate.Shape(2, slopes=True), starts=4, rounds=100, covariate="x", penalties=[0.0, 10.0], cv_starts=2)
     sums = out.groupBy(F.col("block").alias("series")).agg(F.count("*").cast("int").alias("n_test"), F.sum("loglik").alias("test_loglik"))
     return fits.select(*WALK, "penalty", "scaler_mean", "scaler_std").join(sums, "series")
 
@@ -88,7 +88,7 @@ def walk_forward_driven(spark: SparkSession, d: str) -> DataFrame:
 def slope_penalty(spark: SparkSession, d: str) -> DataFrame:
     """Penalty of the slopes on yesterday's return, by temporal cross-validation."""
     r = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)) / 50)
-    return estimate.choose_penalty(r, estimate.Shape(2, slopes=True), [0.0, 1.0, 10.0], "x", starts=1, rounds=25)
+    return estimate.choose_penalty(r, estimate.Shape(2, slopes=True), [0.0, 1.0, 10.0], "x", starts=4, rounds=100)
 
 
 @query
@@ -96,7 +96,7 @@ def slope_signs(spark: SparkSession, d: str) -> DataFrame:
     """Slopes on yesterday's return with errors, effect on the last regime and agreement with a prior."""
     shape = estimate.Shape(2, slopes=True)
     r = _returns(spark, d).withColumn("x", F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0)) / 50)
-    table = estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, shape, starts=2, rounds=40, covariate="x")), shape, covariate="x")
+    table = estimate.parameter_table(r, estimate.best_fit(estimate.fit_starts(r, shape, starts=8, rounds=150, covariate="x")), shape, covariate="x")
     slopes = table.where("parameter like 'B%'").select("series", F.lit("x").alias("covariate"), F.substring("parameter", 3, 1).cast("int").alias("origin"), F.substring("parameter", 4, 1).cast("int").alias("target"), F.col("estimate").alias("beta"), "se")
     return audit.slope_signs(slopes, {"x": "-"})
 
@@ -105,7 +105,7 @@ def slope_signs(spark: SparkSession, d: str) -> DataFrame:
 def surprise_decay(spark: SparkSession, d: str) -> DataFrame:
     """Profile likelihood of the half-life of release surprises (by shipping date) as a driver of the regimes."""
     v = src.one_per_vintage(src.vintages(spark, d)).groupBy(F.col("realtime_start").alias("day")).agg(((F.avg("value") - 38_000) / 10_000).alias("c"))
-    return estimate.fit_decay(_returns(spark, d), v, [5.0, 20.0, 80.0], estimate.Shape(2, slopes=True), starts=1, rounds=25)
+    return estimate.fit_decay(_returns(spark, d), v, [5.0, 20.0, 80.0], estimate.Shape(2, slopes=True), starts=4, rounds=100)
 
 
 @query
@@ -119,7 +119,7 @@ def surprise_half_life(spark: SparkSession, d: str) -> DataFrame:
 def block_reestimation(spark: SparkSession, d: str) -> DataFrame:
     """Per block, refitted with one regime: least L-infinity distance of its parameters to any other block's, and whether it is re-estimated. No rows without two blocks."""
     rows = _assigned(spark, d).where("part = 'train'")
-    fits = estimate.best_fit(estimate.fit_starts(rows, estimate.Shape(1), starts=2, rounds=40, key="block")).select(F.col("series").cast("int").alias("block"), "theta")
+    fits = estimate.best_fit(estimate.fit_starts(rows, estimate.Shape(1), starts=4, rounds=120, key="block")).select(F.col("series").cast("int").alias("block"), "theta")
     others = fits.select(F.col("block").alias("other"), F.col("theta").alias("theta_other"))  # some ten blocks
     pairs = fits.join(F.broadcast(others), F.col("block") != F.col("other"))
     gap = F.array_max(F.zip_with("theta", "theta_other", lambda a, b: F.abs(a - b)))
@@ -179,20 +179,20 @@ def garchx_fit(spark: SparkSession, d: str) -> DataFrame:
 
     r = _returns(spark, d, by_asset=True).withColumn("x", F.abs(F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0))))
     begin = lambda g, r, x: np.array([r.mean(), np.log(r.var() * 0.1), 2.0 + g.normal() * 0.3, -2.0, -1.0])
-    return estimate.grid_fit(r, ["r", "x"], estimate.garchx_negative_loglik, begin, ["mu", "log_omega", "logit_persistence", "logit_share", "log_theta"], 2, rounds=25, key="asset", order="fecha")
+    return estimate.grid_fit(r, ["r", "x"], estimate.garchx_negative_loglik, begin, ["mu", "log_omega", "logit_persistence", "logit_share", "log_theta"], 6, rounds=120, key="asset", order="fecha")
 
 
 @query
 def bootstrap_lr(spark: SparkSession, d: str) -> DataFrame:
     """Two regimes against one on all daily returns, by parametric bootstrap: 49 replicas."""
-    return estimate.bootstrap_lr(_returns(spark, d), replicas=49, starts=1, rounds=30)
+    return estimate.bootstrap_lr(_returns(spark, d), replicas=49, starts=2, rounds=60)
 
 
 @query
 def branching_profile(spark: SparkSession, d: str) -> DataFrame:
     """Profile likelihood of each event type's branching ratio."""
     e = src.point_process(spark, d)
-    return estimate.profile_branching(e, 31.0, estimate.hawkes_fit(e, 31.0, starts=1, rounds=25), [0.05, 0.2, 0.5, 0.8])
+    return estimate.profile_branching(e, 31.0, src.materialise(estimate.hawkes_fit(e, 31.0, starts=4, rounds=100), "hawkes"), [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 
 
 @query
@@ -206,7 +206,7 @@ def ablation_ladder(spark: SparkSession, d: str) -> DataFrame:
     losses = []
     for name, shape in specs:
         x = "x" if shape.slopes else None
-        fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), shape, starts=1, rounds=25, key="block", covariate=x))
+        fits = estimate.best_fit(estimate.fit_starts(rows.where("part = 'train'"), shape, starts=4, rounds=100, key="block", covariate=x))
         losses.append(estimate.out_of_sample(rows, fits, shape, covariate=x).select("fecha", (-F.col("loglik")).alias(name)))
     wide = reduce(lambda a, b: a.join(b, "fecha"), losses).withColumn("asset", F.lit("ALL"))
     pairs = [(b, a) for a, b in zip([n for n, _ in specs], [n for n, _ in specs[1:]], strict=False)]
