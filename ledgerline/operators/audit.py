@@ -34,6 +34,46 @@ def params_table(spark: SparkSession, params: Params) -> DataFrame:
     return spark.createDataFrame(rows, "regime int, label string, kappa double, p_stay double, expected_duration double, near_rank_one boolean")
 
 
+def empirical_transitions(filtered: DataFrame, k: int = 2, key: str = "asset", order: str = "fecha") -> DataFrame:
+    """(key, regime, n, p_0 .. p_(k-1)): shares of the next day's most probable regime after each regime, over a key's filtered days."""
+    states = filtered.withColumn("_next", F.lead("argmax_idx").over(Window.partitionBy(key).orderBy(order))).where("_next is not null")
+    counts = states.groupBy(key, F.col("argmax_idx").alias("regime")).agg(F.count("*").alias("n"), *[F.count(F.when(F.col("_next") == j, 1)).alias(f"_{j}") for j in range(k)])
+    return counts.select(key, "regime", "n", *[(F.col(f"_{j}") / F.col("n")).alias(f"p_{j}") for j in range(k)])
+
+
+def transition_rows(transitions: DataFrame, k: int = 2, key: str = "asset", near: float = 0.05) -> DataFrame:
+    """Adds p_stay, expected_duration (1 / (1 - p), p held below one), degenerate (shorter than two days) and near_rank_one: all rows of a key's matrix within ``near`` of each other."""
+    stay = F.element_at(F.array(*[F.col(f"p_{j}") for j in range(k)]), F.col("regime") + 1)
+    own = Window.partitionBy(key)  # k rows a key
+    flat = F.lit(True)
+    for j in range(k):
+        flat = flat & (F.max(f"p_{j}").over(own) - F.min(f"p_{j}").over(own) < near)
+    out = transitions.withColumns({"p_stay": stay, "near_rank_one": flat & (F.count("*").over(own) > 1)})
+    out = out.withColumn("expected_duration", 1 / (1 - F.least("p_stay", F.lit(1 - 1e-12))))
+    return out.withColumn("degenerate", F.col("expected_duration") < 2)
+
+
+def transition_rules(transitions: DataFrame, k: int = 2, key: str = "asset") -> DataFrame:
+    """(key, rule, passed) of each key's transition rows: sums of one, entries in range, as many rows as regimes, persistence below one."""
+    ps = [F.col(f"p_{j}") for j in range(k)]
+    total = ps[0]
+    for p in ps[1:]:
+        total = total + p
+    stay = F.element_at(F.array(*ps), F.col("regime") + 1)
+    rules = {"rows_sum_to_one": F.bool_and(F.abs(total - 1) < 1e-9), "entries_in_range": F.bool_and((F.least(*ps) >= 0) & (F.greatest(*ps) <= 1)), "every_regime_is_left": F.bool_and(stay < 1), "all_regimes_seen": F.count("*") == k}
+    facts = transitions.groupBy(key).agg(*[c.alias(n) for n, c in rules.items()])
+    return facts.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("passed")) for n in rules])).alias("r")).select(key, "r.rule", "r.passed")
+
+
+def measured_lag(df: DataFrame, feature: str, raw: str, key: str = "asset", order: str = "fecha", most: int = 2) -> DataFrame:
+    """(n, shift): rows that have the feature, and by how many rows it lags behind ``raw``: the shift up to ``most`` at which all of them agree, else null."""
+    w = Window.partitionBy(key).orderBy(order)
+    shifted = df.select(key, F.col(feature).alias("_f"), *[F.lag(raw, j).over(w).alias(f"_{j}") for j in range(most + 1)]).where("_f is not null")
+    same = [F.count(F.when(F.col("_f") == F.col(f"_{j}"), 1)) for j in range(most + 1)]
+    n = F.count("*")
+    return shifted.agg(n.alias("n"), F.coalesce(*[F.when((s == n) & (n > 0), j) for j, s in enumerate(same)]).alias("shift"))
+
+
 def degenerate(table: DataFrame, least_days: float = 2.0) -> DataFrame:
     """Adds degenerate: the regime is expected to last less than ``least_days``."""
     return table.withColumn("degenerate", F.col("expected_duration") < least_days)

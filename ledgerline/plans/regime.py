@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Params
-from ..operators import calibration as cal
+from ..operators import calibration as cal, promotion, publish
 from ..operators import economic, regimes, rolling, walkforward
 from ..sources import tables as src
 from .relational import DAILY, MULTI, rounded
@@ -272,3 +272,17 @@ def prefix_invariance(spark: SparkSession, d: str) -> DataFrame:
     part = part.select(F.col("s")[0].alias("asset"), F.col("s")[1].cast("int").alias("cut"), "fecha", "cut_value")
     whole = regimes.hamilton_filter(returns, FIXED).select("asset", "fecha", "xi_f_1")
     return part.join(whole, ["asset", "fecha"]).groupBy("asset", "cut").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("cut_value") - F.col("xi_f_1"))), 10).alias("max_diff")).withColumn("passed", F.col("max_diff") < 1e-10)
+
+
+@query(f"with recursive {HIST} select asset, cast(fecha as varchar) as fecha, round(x0, 6) as xi_f_0, round(x1, 6) as xi_f_1 from hist")
+def promoted_history(spark: SparkSession, d: str) -> DataFrame:
+    """The filter's history written as a run's artifact, held against the contract, promoted, and read again through the pointer."""
+    history = regimes.with_regime(_history(spark, d))
+    art = promotion.Artifacts(spark, src.shared_path(spark, "artifacts"))
+    days = history.agg(F.count("*").alias("n"), F.max("fecha").alias("last")).first()
+    run = publish.run_id("fixed", "tables", 0, 1)
+    head = {"version": "V1", "run_id": run, "asof": str(days["last"]), "generated_at": str(days["last"]), "n_starts": 20, "commit": run, "model": {"covariates": [], "moving": False}}
+    art.write("first", {"history": history}, {"summary.json": head, "audit.json": {"run_id": run, "days": days["n"]}, "walkforward.json": {"blocks": 0}})
+    art.promote("first", "query")
+    kept = spark.read.parquet(f"{art.store.root}/runs/{art.latest()['run']}/history")
+    return rounded(kept.select("asset", "fecha", "xi_f_0", "xi_f_1"), "xi_f_0", "xi_f_1")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as fn
-from ..operators import asof, coverage, dedupe, rolling
+from ..operators import asof, audit, coverage, dedupe, rolling
 from ..sources import tables as src
 
 QUERIES: dict = {}
@@ -386,14 +388,22 @@ def recent_missing_days(spark: SparkSession, d: str) -> DataFrame:
     return coverage.missing_days(days, "fecha").orderBy(F.desc("fecha")).limit(10).select(F.col("fecha").cast("string").alias("fecha"))
 
 
-#: The covariates' declared lags; observations enter unlagged.
-FEATURES = [("sma_gap", "covariate", 1), ("bb_width", "covariate", 1), ("bb_width_z", "covariate", 1), ("surprise", "covariate", 1), ("lambda_z", "covariate", 1), ("r", "observation", 0)]
-
-
-@query("select name, role, shift, case when role = 'covariate' then shift >= 1 else shift = 0 end as passed from (values " + ", ".join(f"('{n}', '{r}', {k})" for n, r, k in FEATURES) + ") as f(name, role, shift)")
+@query(f"""with {DAILY}, f as (select asset, fecha, close, count(close) over s = 20 as ok, avg(close) over s as m, avg(close) over l as ml, count(close) over l = 200 as okl, stddev_samp(close) over s as sd from daily
+  window s as (partition by asset order by fecha rows between 19 preceding and current row), l as (partition by asset order by fecha rows between 199 preceding and current row)),
+n as (select count(*) filter (where gap is not null) as gaps, count(*) filter (where width is not null) as widths from (select lag(case when okl and sd <> 0 then (m - ml) / sd end) over (partition by asset order by fecha) as gap, lag(case when ok and m <> 0 then 4 * sd / m end) over (partition by asset order by fecha) as width from f))
+select 'bb_width' as name, 'covariate' as role, widths as n, case when widths > 0 then 1 end as shift, widths > 0 as passed from n union all select 'r', 'observation', (select count(*) from ret), 0, true union all select 'sma_gap', 'covariate', gaps, case when gaps > 0 then 1 end, gaps > 0 from n""")
 def lag_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(FEATURES, "name string, role string, shift int")
-    return rows.withColumn("passed", F.when(F.col("role") == "covariate", F.col("shift") >= 1).otherwise(F.col("shift") == 0))
+    """By how many days each feature, as built, lags behind what it is made of: covariates by one at least, observations by none."""
+    prices = src.daily_close(spark, d)
+    w, c = rolling.series(), F.col("close")
+    mean, wide, dev = (rolling.full_window(c, f, n, w) for f, n in ((F.avg, 20), (F.avg, 200), (F.stddev_samp, 20)))
+    built = rolling.technical_features(prices).withColumns({"raw_gap": F.try_divide(mean - wide, dev), "raw_width": F.try_divide(4.0 * dev, mean)})
+    returns = rolling.log_returns(prices)
+    previous = prices.withColumn("raw", F.ln(c / F.lag("close").over(w)) * 100).select("asset", "fecha", "raw")
+    observed = returns.join(previous, ["asset", "fecha"])
+    parts = [("sma_gap", "covariate", audit.measured_lag(built, "sma_gap", "raw_gap")), ("bb_width", "covariate", audit.measured_lag(built, "bb_width", "raw_width")), ("r", "observation", audit.measured_lag(observed, "r", "raw"))]
+    rows = reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("name"), F.lit(role).alias("role"), "n", "shift") for name, role, f in parts])
+    return rows.withColumn("passed", F.coalesce(F.when(F.col("role") == "covariate", F.col("shift") >= 1).otherwise(F.col("shift") == 0), F.lit(False)))
 
 
 @query(f"""with {VINTAGES}, f as (select series_id, obs_date, arg_min(value, realtime_start) as first_print, arg_max(value, realtime_start) as last_vintage from v group by 1, 2),

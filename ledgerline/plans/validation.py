@@ -10,7 +10,7 @@ from ..operators import asof, audit, bootstrap, coverage, economic, regimes, rol
 from ..operators import calibration as cal
 from ..sources import tables as src
 from .news import _INDEX, _index
-from .regime import _STRAT, _TOP, FIXED, HIST, _history
+from .regime import _STRAT, _TOP, FIXED, HIST, HIST_MULTI, _history
 from .relational import CALENDAR, DAILY, KEYWORDS, PIT, VINTAGES, _tech, rounded
 
 QUERIES: dict = {}
@@ -58,9 +58,20 @@ def regime_table(spark: SparkSession, d: str) -> DataFrame:
 _P = FIXED.P
 
 
-@query(f"with {_MODEL} select cast(regime as integer) as regime, label, round(1 / (1 - p_stay), 6) as expected_duration, 1 / (1 - p_stay) < 2 as degenerate, abs({_P[1][0]} - {_P[0][0]}) < 0.05 and abs({_P[1][1]} - {_P[0][1]}) < 0.05 as near_rank_one from model")
+_TRANSITIONS = f"""{HIST_MULTI}, y as (select asset, fecha, case when x1 > x0 then 1 else 0 end as y from hist), nx as (select asset, y, lead(y) over (partition by asset order by fecha) as ny from y),
+tr as (select asset, y as regime, count(*) as n, avg(case when ny = 0 then 1.0 else 0 end) as p_0, avg(case when ny = 1 then 1.0 else 0 end) as p_1 from nx where ny is not null group by 1, 2)"""
+
+
+def _transitions(spark: SparkSession, d: str) -> DataFrame:
+    return audit.empirical_transitions(regimes.with_regime(_history(spark, d, by_asset=True)))
+
+
+@query(f"""with recursive {_TRANSITIONS}, st as (select *, case when regime = 0 then p_0 else p_1 end as p_stay, max(p_0) over w - min(p_0) over w < 0.05 and max(p_1) over w - min(p_1) over w < 0.05 and count(*) over w > 1 as near_rank_one from tr window w as (partition by asset))
+select asset, cast(regime as integer) as regime, n, round(1 / (1 - least(p_stay, 1 - 1e-12)), 6) as expected_duration, 1 / (1 - least(p_stay, 1 - 1e-12)) < 2 as degenerate, near_rank_one from st""")
 def transition_flags(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(audit.degenerate(audit.params_table(spark, FIXED)).drop("kappa", "p_stay"), "expected_duration")
+    """How long each asset's regimes last as filtered, which are degenerate, and whether tomorrow depends on today at all."""
+    rows = audit.transition_rows(_transitions(spark, d))
+    return rounded(rows.select("asset", "regime", "n", "expected_duration", "degenerate", "near_rank_one"), "expected_duration")
 
 
 @query(f"""with {DAILY}, {PIT}, g as (
@@ -204,9 +215,11 @@ def history_checks(spark: SparkSession, d: str) -> DataFrame:
     return audit.history_checks(_history(spark, d))
 
 
-@query(f"select unnest(['rows_sum_to_one', 'entries_in_range', 'variances_ascend', 'persistence_below_one']) as rule, unnest([abs({_P[0][0]} + {_P[0][1]} - 1) < 1e-9 and abs({_P[1][0]} + {_P[1][1]} - 1) < 1e-9, true, {_A['v'][0]} < {_A['v'][1]}, {_A['alpha'][1] + _A['gamma'][1] / 2 + _A['beta'][1]} < 1]) as passed")
+@query(f"""with recursive {_TRANSITIONS}, f as (select asset, bool_and(abs(p_0 + p_1 - 1) < 1e-9) as a, bool_and(least(p_0, p_1) >= 0 and greatest(p_0, p_1) <= 1) as b, bool_and(case when regime = 0 then p_0 else p_1 end < 1) as c, count(*) = 2 as e from tr group by 1)
+select asset, unnest(['rows_sum_to_one', 'entries_in_range', 'every_regime_is_left', 'all_regimes_seen']) as rule, unnest([a, b, c, e]) as passed from f""")
 def transition_checks(spark: SparkSession, d: str) -> DataFrame:
-    return audit.transition_checks(spark, FIXED)
+    """Rules that each asset's filtered transitions keep or break."""
+    return audit.transition_rules(_transitions(spark, d))
 
 
 @query(f"""with {CALENDAR}, want as (select unnest(['click', 'view', 'absent']) as indicator), c as (select w.indicator, count(c.event_id) as n, count(c.consensus) as n_with_consensus from want w left join cal c on c.indicator = w.indicator group by 1)
