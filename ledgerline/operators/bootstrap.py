@@ -28,7 +28,9 @@ def optimal_block(x: np.ndarray) -> float:
     gamma = np.array([(e[j:] * e[: n - j]).sum() / n for j in range(min(most, n - 1) + 1)])
     rho = gamma / gamma[0]
     small = np.abs(rho[1:]) < 2 * np.sqrt(np.log10(n) / n)
-    m = next((j for j in range(len(small) - k + 1) if small[j : j + k].all()), len(small))
+    significant = np.flatnonzero(~small) + 1
+    # without a run of insignificant lags the last significant one counts
+    m = next((j for j in range(len(small) - k + 1) if small[j : j + k].all()), significant[-1] if len(significant) else 1)
     m = max(1, m)
     lags = np.arange(1, min(2 * m, len(gamma) - 1) + 1)
     weight = np.where(lags / (2 * m) <= 0.5, 1.0, 2 * (1 - lags / (2 * m)))

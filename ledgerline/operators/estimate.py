@@ -625,7 +625,7 @@ def simulate_hawkes(mu: float, alpha: float, beta: float, horizon: float, seed:
 
 
 def grid_fit(series: DataFrame, values: list[str], objective, starts, names: list[str], n_starts: int, rounds: int = 60, key: str = "key", order: str = "t") -> DataFrame:
-    """Best of seeded starts of any batch objective: (key, n, start, loglik, one column per parameter).
+    """Best of seeded starts of any batch objective: (key, n, start, loglik, one column per parameter, and se_ of each by the curvature, null where that is not positive definite).
 
     ``objective(points, *arrays)`` gives negative log likelihoods of a batch of unconstrained points, and
     ``starts(rng, *arrays)`` a start; the arrays are the ``values`` columns of a key in order. Parameters come
@@ -633,7 +633,7 @@ def grid_fit(series: DataFrame, values: list[str], objective, starts, names: lis
     """
     packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[v for v in values if v != order]))).alias("x")).select(F.col(key).cast("string").alias("key"), *[F.col(f"x.{v}").alias(v) for v in values])
     jobs = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_starts - 1)))).repartition("key", "start")
-    spec = ", ".join(["key string", "n int", "start int", "loglik double", *[f"{n} double" for n in names]])
+    spec = ", ".join(["key string", "n int", "start int", "loglik double", *[f"{n} double" for n in names], *[f"se_{n} double" for n in names]])
 
     def run(frames):
         for frame in frames:
@@ -641,7 +641,10 @@ def grid_fit(series: DataFrame, values: list[str], objective, starts, names: lis
             for _, row in frame.iterrows():
                 arrays = [np.asarray(row[v], float) for v in values]
                 x, value, _ = minimise(lambda p, a=arrays: objective(p, *a), starts(np.random.default_rng((17, int(row["start"]))), *arrays), rounds)
-                rows.append((row["key"], len(arrays[0]), int(row["start"]), -value, *map(float, x)))
+                bend = hessian(lambda p, a=arrays: objective(p, *a), x)
+                definite = np.all(np.isfinite(bend)) and np.linalg.eigvalsh(bend).min() > 0
+                se = np.sqrt(np.diag(np.linalg.inv(bend))).tolist() if definite else [None] * len(names)
+                rows.append((row["key"], len(arrays[0]), int(row["start"]), -value, *map(float, x), *se))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in spec.split(", ")])
 
     fits = jobs.mapInPandas(run, spec)

@@ -174,12 +174,14 @@ def kernel_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def garchx_fit(spark: SparkSession, d: str) -> DataFrame:
-    """GARCH with yesterday's absolute return as driver, fitted to each asset."""
+    """GARCH with yesterday's absolute return as driver, fitted to each asset, with standard errors; theta is the driver's weight."""
     import numpy as np
 
     r = _returns(spark, d, by_asset=True).withColumn("x", F.abs(F.coalesce(F.lag("r").over(rolling.series()), F.lit(0.0))))
     begin = lambda g, r, x: np.array([r.mean(), np.log(r.var() * 0.1), 2.0 + g.normal() * 0.3, -2.0, -1.0])
-    return estimate.grid_fit(r, ["r", "x"], estimate.garchx_negative_loglik, begin, ["mu", "log_omega", "logit_persistence", "logit_share", "log_theta"], 6, rounds=120, key="asset", order="fecha")
+    fits = estimate.grid_fit(r, ["r", "x"], estimate.garchx_negative_loglik, begin, ["mu", "log_omega", "logit_persistence", "logit_share", "log_theta"], 6, rounds=120, key="asset", order="fecha")
+    theta = F.exp("log_theta")
+    return fits.withColumns({"theta": theta, "se_theta": theta * F.col("se_log_theta")})
 
 
 @query
