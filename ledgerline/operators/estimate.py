@@ -19,7 +19,7 @@ from ..functions.optimise import hessian, minimise, minimise_many
 from ..sources.tables import materialise
 
 INFEASIBLE = 1e12
-STARTS_A_TASK = 4
+STARTS_A_TASK = 3
 
 
 @dataclass(frozen=True)
