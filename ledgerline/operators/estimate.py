@@ -380,47 +380,110 @@ def fit_decay(series: DataFrame, contributions: DataFrame, half_lives: list[floa
 #: Events of a key that one task may hold; a key with more is cut into stretches of time.
 HOT_EVENTS = 131_072
 #: Events of the hot keys in one partition of stretches, and hot keys that are fitted at once.
-STRETCH_EVENTS, HOT_KEYS = 1_000_000, 64
+STRETCH_EVENTS, HOT_KEYS = 500_000, 64
 
 
-def _decayed(t: np.ndarray, s: np.ndarray, beta: np.ndarray, begin: float, carry: np.ndarray, rows: int = 4_096):
-    """Blocks (place, states before each event (n, batch), states after the last) from ``carry``, the state at ``begin``.
+#: Events in a row of ``_excited``'s blocks, and numbers (events times points) of a block.
+ROW, BLOCK_NUMBERS = 32, 65_536
+
+
+def _excited(t: np.ndarray, s: np.ndarray, beta: np.ndarray, begin: float, carry: np.ndarray, slope: np.ndarray, rows: int | None = None):
+    """Blocks (place, n, a, b, carry, slope): for each event and point a, the sum of s_j exp(-beta (t - t_j)) over the events before, and b, that of s_j (t - t_j) exp(-beta (t - t_j)).
 
-    a_i = exp(-beta gap_i) (a_(i-1) + s_(i-1)) is composed by doubling, some ten array passes a block.
+    ``carry`` and ``slope`` are a and b at ``begin``, and are given back after the block's last event. a and b of a block are (ROW, m, points), its
+    event i at place (i % ROW, i // ROW); what lies behind n is padding. Rows of events go on in step, their ends are composed by doubling.
     """
+    rows = rows or max(ROW, BLOCK_NUMBERS // len(beta) // ROW * ROW)
     for at in range(0, len(t), rows):
-        own, marks = t[at : at + rows], s[at : at + rows]
-        decay = np.exp(-np.diff(own, prepend=begin)[:, None] * beta)
-        state = decay * np.append(0.0, marks[:-1])[:, None]
-        state[0] = decay[0] * carry
+        n = len(t[at : at + rows])
+        m = -(-n // ROW)
+        times, marks = np.full(m * ROW, t[at + n - 1]), np.zeros(m * ROW)
+        times[:n], marks[:n] = t[at : at + n], s[at : at + n]
+        times, marks = np.ascontiguousarray(times.reshape(m, ROW).T), np.ascontiguousarray(marks.reshape(m, ROW).T)[..., None]
+        gap = np.diff(times, axis=0, prepend=times[:1])[..., None]
+        left = np.exp(-gap * beta)  # becomes what is left of a row's start at each event
+        a, b = np.zeros_like(left), np.zeros_like(left)
+        for i in range(1, ROW):
+            np.multiply(left[i], a[i - 1] + marks[i - 1], out=a[i])
+            np.multiply(left[i], b[i - 1], out=b[i])
+            b[i] += gap[i] * a[i]
+            left[i] *= left[i - 1]
+        lead, rest = times[0, 0] - begin, (np.append(times[0, 1:], times[-1, -1]) - times[-1])[:, None]
+        first, between, last = np.exp(-beta * lead), np.exp(-rest * beta), a[-1] + marks[-1]
+        start, bend = np.concatenate([(first * carry)[None], between * last]), np.concatenate([(first * (slope + lead * carry))[None], between * (b[-1] + rest * last)])
+        share, span = np.concatenate([np.ones((1, len(beta))), between * left[-1]]), np.concatenate([np.zeros((1, 1)), rest + (times[-1] - times[0])[:, None]])
         k = 1
-        while k < len(own):
-            state[k:] += decay[k:] * state[:-k]
-            decay[k:] *= decay[:-k].copy()
+        while k <= m:
+            bend[k:] += share[k:] * (bend[:-k] + span[k:] * start[:-k])
+            start[k:] += share[k:] * start[:-k]
+            share[k:] *= share[:-k].copy()
+            span[k:] += span[:-k].copy()
             k *= 2
-        begin, carry = own[-1], state[-1] + marks[-1]
-        yield at, state, carry
+        b += left * (bend[:-1] + (times - times[0])[..., None] * start[:-1])
+        a += left * start[:-1]
+        begin, carry, slope = times[-1, -1], start[-1], bend[-1]
+        yield at, n, a, b, carry, slope
 
 
-def _hawkes_stretch(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float, begin: float, carry: np.ndarray) -> np.ndarray:
-    """Compensator's part of the events less their log intensities, of a batch of log (mu, alpha, beta)."""
+def _decayed(t: np.ndarray, s: np.ndarray, beta: np.ndarray, begin: float, carry: np.ndarray, rows: int = 4_096):
+    """Blocks (place, states before each event (n, batch), states after the last) from ``carry``, the state at ``begin``."""
+    for at, n, a, _, carry, _ in _excited(t, s, beta, begin, carry, np.zeros(len(beta)), rows):
+        yield at, a.transpose(1, 0, 2).reshape(-1, len(beta))[:n], carry
+
+
+def _left_behind(t: np.ndarray, s: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """(2, batch): a and b of ``_excited`` after the last event, of the events alone; what has decayed below 1e-300 is left out."""
+    out = np.zeros((2, len(beta)))
+    for k, rate in enumerate(beta):
+        i = int(np.searchsorted(t, t[-1] - 700 / rate))
+        ago = t[-1] - t[i:]
+        weight = s[i:] * np.exp(-rate * ago)
+        out[:, k] = weight.sum(), weight @ ago
+    return out
+
+
+def _hawkes_stretch(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float, begin: float, carry: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """(4, batch): compensator's part of the events less their log intensities, of a batch of log (mu, alpha, beta), and its slopes on these."""
     mu, alpha, beta = np.exp(np.clip(log_params, -50, 50)).T
-    out = np.zeros(len(mu))
+    out = np.zeros((4, len(mu)))
     with np.errstate(all="ignore"):
-        for at, state, _ in _decayed(t, s, beta, begin, carry):
-            n = len(state)
-            out += alpha / beta * (s[at : at + n, None] * -np.expm1(-np.maximum(horizon - t[at : at + n], 0)[:, None] * beta)).sum(0)
-            out -= np.log(np.maximum(mu + alpha * state, 1e-300)).sum(0)
+        for at, n, a, b, _, _ in _excited(t, s, beta, begin, carry, slope):
+            own, rest = s[at : at + n], np.maximum(horizon - t[at : at + n], 0)
+            near = np.flatnonzero(beta * rest[-1] < 40)  # elsewhere nothing but the marks' sum is left in doubles
+            mass, late = np.full(len(mu), own.sum()), np.zeros(len(mu))
+            if len(near):
+                fall = np.expm1(-rest[:, None] * beta[near])
+                mass[near], late[near] = -(own @ fall), (own * rest) @ (1 + fall)
+            real = (np.arange(ROW)[:, None] + ROW * np.arange(a.shape[1]) < n).astype(float).ravel()
+            a, b = a.reshape(-1, len(mu)), b.reshape(-1, len(mu))
+            lam = np.maximum(mu + alpha * a, 1e-300)
+            each = 1 / lam
+            out[0] += alpha / beta * mass - real @ np.log(lam)
+            out[1] -= mu * (real @ each)
+            out[2] += alpha / beta * mass - alpha * (real @ (a * each))
+            out[3] += alpha * late - alpha / beta * mass + alpha * beta * (real @ (b * each))
     return out
 
 
+def _with_base(log_params: np.ndarray, parts: np.ndarray, horizon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log likelihoods and their slopes of the events' parts (4, batch); parameters beyond 50 have no slope."""
+    base = np.exp(np.clip(log_params[:, 0], -50, 50)) * horizon
+    value, slopes = base + parts[0], parts[1:].T.copy()
+    slopes[:, 0] += base
+    fine = np.isfinite(value) & np.isfinite(slopes).all(1)
+    return np.where(fine, value, INFEASIBLE), np.where(fine[:, None] & (np.abs(log_params) <= 50), slopes, 0.0)
+
+
+def hawkes_value_and_slopes(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log likelihoods (batch) and their slopes (batch, 3) of a batch of log (mu, alpha, beta) of the exponential kernel."""
+    log_params = np.atleast_2d(log_params)
+    none = np.zeros(len(log_params))
+    return _with_base(log_params, _hawkes_stretch(log_params, t, s, horizon, t[0], none, none) if len(t) else np.zeros((4, len(log_params))), horizon)
+
+
 def hawkes_negative_loglik(log_params: np.ndarray, t: np.ndarray, s: np.ndarray, horizon: float) -> np.ndarray:
     """Negative log likelihoods of a batch of log (mu, alpha, beta) of the exponential kernel."""
-    log_params = np.atleast_2d(log_params)
-    out = np.exp(np.clip(log_params[:, 0], -50, 50)) * horizon
-    if len(t):
-        out = out + _hawkes_stretch(log_params, t, s, horizon, t[0], np.zeros(len(out)))
-    return np.where(np.isfinite(out), out, INFEASIBLE)
+    return hawkes_value_and_slopes(log_params, t, s, horizon)[0]
 
 
 def _hot_batches(events: DataFrame, key: str, most: int):
@@ -441,7 +504,7 @@ def _hot_batches(events: DataFrame, key: str, most: int):
 
 
 def _stretches(events: DataFrame, batch: list, key: str, tag: str) -> DataFrame:
-    """(k, no, t, s): the events of a batch of hot keys (k: place in it) in stretches of an Arrow batch at most, ``no`` rising with time.
+    """(k, no, t, s): the events of a batch of hot keys (k: place in it) in stretches of an Arrow batch at most, ``no`` rising with time; t and s are the bytes of doubles.
 
     Written to the shared folder. Events of one very time and mark stay in one partition.
     """
@@ -456,21 +519,21 @@ def _stretches(events: DataFrame, batch: list, key: str, tag: str) -> DataFrame:
         count = 0
         for frame in frames:
             for k, rows in frame.groupby("k", sort=False):
-                yield pd.DataFrame({"k": [k], "no": [(int(rows["part"].iloc[0]) << 32) + count], "t": [rows["t"].to_numpy()], "s": [rows["s"].to_numpy()]})
+                yield pd.DataFrame({"k": [k], "no": [(int(rows["part"].iloc[0]) << 32) + count], "t": [rows["t"].to_numpy().tobytes()], "s": [rows["s"].to_numpy().tobytes()]})
                 count += 1
 
-    return materialise(ordered.mapInPandas(pack, "k int, no bigint, t array<double>, s array<double>"), tag)
+    return materialise(ordered.mapInPandas(pack, "k int, no bigint, t binary, s binary"), tag)
 
 
 def _hot_objective(stretches: DataFrame, horizon: float, key_of):
     """A batch objective (points, their starts) of log (mu, alpha, beta), one Spark job a call; ``key_of`` gives the k of starts.
 
-    Each stretch leaves its decayed sum, a key's sums are carried on in order of time (a number a stretch and point), and
-    the stretches then finish by themselves. The carried numbers are broadcast up to 32 MB, beyond that joined.
+    It gives values and slopes. Each stretch leaves its decayed sums, a key's sums are carried on in order of time (two numbers a stretch
+    and point), and the stretches then finish by themselves. The carried numbers are broadcast up to 32 MB, beyond that joined.
     """
     count = stretches.count()
 
-    def objective(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def objective(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ks = key_of(starts)
         places = {int(k): np.flatnonzero(ks == k) for k in np.unique(ks)}
         own = {k: points[at] for k, at in places.items()}
@@ -479,36 +542,41 @@ def _hot_objective(stretches: DataFrame, horizon: float, key_of):
             for frame in frames:
                 for k, no, t, s in zip(frame["k"], frame["no"], frame["t"], frame["s"], strict=True):
                     if k in own:
-                        beta = np.exp(np.clip(own[k][:, 2], -50, 50))
-                        for _, _, left in _decayed(np.asarray(t, float), np.asarray(s, float), beta, t[0], np.zeros(len(beta))):
-                            pass
-                        yield pd.DataFrame({"k": [k], "no": [no], "begin": [t[0]], "end": [t[-1]], "left": [left]})
+                        t = np.frombuffer(t)
+                        left = _left_behind(t, np.frombuffer(s), np.exp(np.clip(own[k][:, 2], -50, 50)))
+                        yield pd.DataFrame({"k": [k], "no": [no], "begin": [t[0]], "end": [t[-1]], "left": [left.ravel()]})
 
         def carry(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("no")
             beta = np.exp(np.clip(own[int(rows["k"].iloc[0])][:, 2], -50, 50))
-            state, last, out = np.zeros(len(beta)), rows["begin"].iloc[0], []
+            state, last, out = np.zeros((2, len(beta))), rows["begin"].iloc[0], []
+
+            def moved(state: np.ndarray, by: float) -> np.ndarray:
+                return np.exp(-beta * by) * np.stack([state[0], state[1] + by * state[0]])
+
             for begin, end, left in zip(rows["begin"], rows["end"], rows["left"], strict=True):
-                state = state * np.exp(-beta * (begin - last))
-                out.append(state)
-                state, last = state * np.exp(-beta * (end - begin)) + np.asarray(left), end
+                state = moved(state, begin - last)
+                out.append(state.ravel())
+                state, last = moved(state, end - begin) + np.asarray(left).reshape(2, -1), end
             return pd.DataFrame({"no": rows["no"], "carry": out})
 
         def finish(frames):
             for frame in frames:
+                sums = {}
                 for k, t, s, c in zip(frame["k"], frame["t"], frame["s"], frame["carry"], strict=True):
-                    t, s = np.asarray(t, float), np.asarray(s, float)
-                    part = _hawkes_stretch(own[k], t, s, horizon, t[0], np.asarray(c, float))
-                    yield pd.DataFrame({"place": places[k], "part": part})
+                    t, c = np.frombuffer(t), np.asarray(c, float).reshape(2, -1)
+                    sums[k] = sums.get(k, 0.0) + _hawkes_stretch(own[k], t, np.frombuffer(s), horizon, t[0], *c)
+                for k, part in sums.items():
+                    yield pd.DataFrame({"place": places[k], **dict(zip("vxyz", part, strict=True))})
 
         carried = stretches.mapInPandas(leave, "k int, no bigint, begin double, end double, left array<double>").groupBy("k").applyInPandas(carry, "no bigint, carry array<double>")
-        if count * max(map(len, own.values())) * 8 <= 32_000_000:
+        if count * max(map(len, own.values())) * 16 <= 32_000_000:
             carried = F.broadcast(carried)
-        parts = stretches.join(carried, "no").mapInPandas(finish, "place int, part double").groupBy("place").agg(F.sum("part").alias("part")).collect()  # a number a point
-        out = np.exp(np.clip(points[:, 0], -50, 50)) * horizon
-        for row in parts:
-            out[row["place"]] += row["part"]
-        return np.where(np.isfinite(out), out, INFEASIBLE)
+        each = stretches.join(carried, "no").mapInPandas(finish, "place int, v double, x double, y double, z double")
+        parts = np.zeros((4, len(points)))
+        for row in each.groupBy("place").agg(*[F.sum(c).alias(c) for c in "vxyz"]).collect():  # four numbers a point
+            parts[:, row["place"]] = row["v"], row["x"], row["y"], row["z"]
+        return _with_base(points, parts, horizon)
 
     return objective
 
@@ -561,14 +629,14 @@ def hawkes_starts(events: DataFrame, horizon: float, starts: int = 4, seed: int
             for k, t, s in zip(frame["key"], frame["t"], frame["s"], strict=True):
                 t, s = np.asarray(t, float), np.asarray(s, float)
                 x0 = np.stack([_hawkes_start(seed, i, len(t), s.mean(), horizon) for i in range(starts)])
-                theta, value, _, sure = minimise_many(lambda p, t=t, s=s: hawkes_negative_loglik(p, t, s, horizon), x0, rounds)
+                theta, value, _, sure = minimise_many(lambda p, t=t, s=s: hawkes_value_and_slopes(p, t, s, horizon), x0, rounds, slopes=True)
                 yield pd.DataFrame(rows_of(k, len(t), s.mean(), theta, value, sure), columns=columns)
 
     fits = _packed_events(events, hot, key).repartition("key").mapInPandas(run, HAWKES)
     for batch in batches():
         x0 = np.stack([_hawkes_start(seed, i, row["n"], row["m"], horizon) for row in batch for i in range(starts)])
         objective = _hot_objective(_stretches(events, batch, key, "hawkes"), horizon, lambda own: own // starts)
-        theta, value, _, sure = minimise_many(objective, x0, rounds, owned=True)
+        theta, value, _, sure = minimise_many(objective, x0, rounds, owned=True, slopes=True)
         own = [slice(i * starts, (i + 1) * starts) for i in range(len(batch))]
         fits = fits.unionByName(spark.createDataFrame([r for row, o in zip(batch, own, strict=True) for r in rows_of(row["key"], row["n"], row["m"], theta[o], value[o], sure[o])], HAWKES))
     return fits
@@ -710,12 +778,16 @@ def profile_branching(events: DataFrame, horizon: float, fits: DataFrame, grid:
         """log (mu, alpha, beta) of points (log mu, log beta) at the grid's place ``at``."""
         return np.stack([points[:, 0], np.log(values[at] / mean) + points[:, 1], points[:, 1]], 1)
 
+    def on_two(value: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes on (log mu, log beta), with which log alpha goes."""
+        return value, np.stack([slopes[:, 0], slopes[:, 1] + slopes[:, 2]], 1)
+
     def run(frames):
         for frame in frames:
             for k, t, s, mu, beta in zip(*(frame[c] for c in ("key", "t", "s", "mu", "beta")), strict=True):
                 t, s = np.asarray(t, float), np.asarray(s, float)
                 x0 = np.tile(np.log([mu, beta]), (len(values), 1))
-                value = minimise_many(lambda p, at, t=t, s=s: hawkes_negative_loglik(full(p, at, s.mean()), t, s, horizon), x0, 30, owned=True)[1]
+                value = minimise_many(lambda p, at, t=t, s=s: on_two(*hawkes_value_and_slopes(full(p, at, s.mean()), t, s, horizon)), x0, 30, owned=True, slopes=True)[1]
                 yield pd.DataFrame({"key": k, "n": values, "loglik": -value})
 
     at_fit = fits.select(F.col("key").alias("_key"), "mu", "beta")
@@ -727,6 +799,6 @@ def profile_branching(events: DataFrame, horizon: float, fits: DataFrame, grid:
         x0 = np.stack([np.log([known[i]["mu"], known[i]["beta"]]) for i in range(len(batch)) for _ in values])
         means = np.array([row["m"] for row in batch])
         whole = _hot_objective(_stretches(events, batch, key, "profile"), horizon, lambda own: own // len(values))
-        value = minimise_many(lambda p, own: whole(full(p, own % len(values), means[own // len(values)]), own), x0, 30, owned=True)[1]  # noqa: B023
+        value = minimise_many(lambda p, own: on_two(*whole(full(p, own % len(values), means[own // len(values)]), own)), x0, 30, owned=True, slopes=True)[1]  # noqa: B023
         out = out.unionByName(spark.createDataFrame([(row["key"], float(n), float(-value[i * len(values) + j])) for i, row in enumerate(batch) for j, n in enumerate(values)], "key string, n double, loglik double"))
     return out

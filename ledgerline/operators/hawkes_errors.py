@@ -1,6 +1,6 @@
 """Errors and intervals of fits of the exponential kernel, and how they move with dithering and starts.
 
-Everything here asks for likelihoods only, so keys in a task and hot keys cut into stretches (a Spark job a batch of points) go
+Everything here asks for likelihoods and their slopes only, so keys in a task and hot keys cut into stretches (a Spark job a batch of points) go
 one way; all keys of a batch go on in step.
 """
 
@@ -21,27 +21,24 @@ ERRORS = "key string, n double, se_mu double, se_alpha double, se_beta double, s
 
 
 def _curvature(objective, theta: np.ndarray) -> np.ndarray:
-    """Hessians [keys, 3, 3] by second differences, one call for all keys."""
+    """Hessians [keys, 3, 3] by differences of the slopes, one call for all keys."""
     m, k = theta.shape
-    e = 2e-3 * np.eye(k)
-    i, j = np.triu_indices(k)
-    shifts = np.concatenate([e[i] + e[j], e[i] - e[j], e[j] - e[i], -e[i] - e[j]])
-    f = objective((theta[:, None] + shifts).reshape(-1, k), np.repeat(np.arange(m), len(shifts))).reshape(m, 4, -1)
-    out = np.zeros((m, k, k))
-    out[:, i, j] = out[:, j, i] = (f[:, 0] - f[:, 1] - f[:, 2] + f[:, 3]) / (4 * 2e-3**2)
-    return out
+    shifts = 2e-3 * np.concatenate([np.eye(k), -np.eye(k)])
+    g = objective((theta[:, None] + shifts).reshape(-1, k), np.repeat(np.arange(m), len(shifts)))[1].reshape(m, 2, k, k)
+    out = (g[:, 0] - g[:, 1]) / (2 * 2e-3)
+    return (out + out.transpose(0, 2, 1)) / 2
 
 
 def intervals(objective, theta: np.ndarray, mean: np.ndarray, mean_variance: np.ndarray, most: int = 20, close: float = 5e-3) -> pd.DataFrame:
     """Errors by curvature and likelihood-ratio bounds of the branching ratio, a row a key.
 
-    ``objective(points, own)`` gives negative log likelihoods of log (mu, alpha, beta) of the keys ``own``; ``theta`` are their minima.
+    ``objective(points, own)`` gives negative log likelihoods of log (mu, alpha, beta) of the keys ``own``, and their slopes; ``theta`` are their minima.
     A bound is where the root of twice the fall of the profile likelihood is ``Z``. Each side starts at the curvature's guess, goes
     out until it brackets the bound and then closes in by secants kept inside the bracket, for all keys and sides together. ``settled`` tells that both came within ``close``; it is false where the profile jumps across the
     bound to another mode (in short records a very slow decay can stand in for the base rate): the bound is then the place of the jump.
     """
     keys = len(theta)
-    value = objective(theta, np.arange(keys))
+    value = objective(theta, np.arange(keys))[0]
     covariance = np.full((keys, 3, 3), np.nan)
     for k, h in enumerate(_curvature(objective, theta)):
         if np.all(np.isfinite(h)) and np.linalg.eigvalsh(h).min() > 0:
@@ -58,14 +55,15 @@ def intervals(objective, theta: np.ndarray, mean: np.ndarray, mean_variance: np.
         if not len(live):
             break
 
-        def profile(points: np.ndarray, place: np.ndarray, live=live) -> np.ndarray:
+        def profile(points: np.ndarray, place: np.ndarray, live=live) -> tuple[np.ndarray, np.ndarray]:
             problem = live[place // 2]
             alpha = at[own[problem]] + side[problem] * away[problem] - np.log(mean[own[problem]]) + points[:, 1]
-            return objective(np.stack([points[:, 0], alpha, points[:, 1]], 1), own[problem])
+            each, slopes = objective(np.stack([points[:, 0], alpha, points[:, 1]], 1), own[problem])
+            return each, np.stack([slopes[:, 0], slopes[:, 1] + slopes[:, 2]], 1)
 
         # from where the last step ended, and from where the bracket's inner end did
         both = np.stack([inner[live], inner_inside[live]], 1).reshape(-1, 2)
-        points, values, _, _ = minimise_many(profile, both, 60, owned=True)
+        points, values, _, _ = minimise_many(profile, both, 60, owned=True, slopes=True)
         first = values.reshape(-1, 2).argmin(1)
         inner[live], found = points.reshape(-1, 2, 2)[np.arange(len(live)), first], values.reshape(-1, 2).min(1)
         z = np.sqrt(2 * np.maximum(found - value[own[live]], 0))
@@ -82,17 +80,17 @@ def intervals(objective, theta: np.ndarray, mean: np.ndarray, mean_variance: np.
     se = np.sqrt(np.diagonal(covariance, axis1=1, axis2=2)) * np.exp(theta)
     n = np.exp(at)
     se_n = n * np.sqrt(covariance[:, 1, 1] + covariance[:, 2, 2] - 2 * covariance[:, 1, 2] + mean_variance / mean**2)
-    bounds, sure = np.exp(at[own] + side * away).reshape(keys, 2), settled.reshape(keys, 2).all(1)
+    bounds, sure = np.exp(at[own] + side * away).reshape(keys, 2) if most else np.full((keys, 2), np.nan), settled.reshape(keys, 2).all(1)
     return pd.DataFrame({"n": n, "se_mu": se[:, 0], "se_alpha": se[:, 1], "se_beta": se[:, 2], "se_n": se_n, "low": bounds[:, 0], "high": bounds[:, 1], "settled": sure})
 
 
-def hawkes_intervals(events: DataFrame, horizon: float, fits: DataFrame, key: str = "key", most: int = estimate.HOT_EVENTS) -> DataFrame:
+def hawkes_intervals(events: DataFrame, horizon: float, fits: DataFrame, key: str = "key", most: int = estimate.HOT_EVENTS, bounds: bool = True) -> DataFrame:
     """(key, n, se_mu, se_alpha, se_beta, se_n, low, high, settled) of ``fits`` (key, mu, alpha, beta): standard errors (NaN where the
-    curvature is not positive definite) and the 95 % likelihood-ratio interval of the branching ratio n, at the marks' mean.
+    curvature is not positive definite) and the 95 % likelihood-ratio interval of the branching ratio n, at the marks' mean. Without ``bounds`` the interval is not sought: low and high are NaN.
 
     Keys of more than ``most`` events are cut into stretches, as in ``hawkes_fit``.
     """
-    spark = events.sparkSession
+    spark, rounds = events.sparkSession, 20 if bounds else 0
     events = events.where("t is not null and s is not null")
     hot, batches = estimate._hot_batches(events, key, most)
     at_fit = fits.select(F.col("key").alias("_key"), "mu", "alpha", "beta")
@@ -102,7 +100,7 @@ def hawkes_intervals(events: DataFrame, horizon: float, fits: DataFrame, key: st
         for frame in frames:
             for k, t, s, *theta in zip(*(frame[c] for c in ("key", "t", "s", "mu", "alpha", "beta")), strict=True):
                 t, s = np.asarray(t, float), np.asarray(s, float)
-                out = intervals(lambda p, own, t=t, s=s: estimate.hawkes_negative_loglik(p, t, s, horizon), np.log([theta]), np.array([s.mean()]), np.array([s.var() / len(s)]))
+                out = intervals(lambda p, own, t=t, s=s: estimate.hawkes_value_and_slopes(p, t, s, horizon), np.log([theta]), np.array([s.mean()]), np.array([s.var() / len(s)]), rounds)
                 out.insert(0, "key", k)
                 yield out[columns]
 
@@ -116,7 +114,7 @@ def hawkes_intervals(events: DataFrame, horizon: float, fits: DataFrame, key: st
         places = [i for i in range(len(batch)) if i in known]
         if places:
             whole = estimate._hot_objective(estimate._stretches(events, batch, key, "errors"), horizon, lambda own, places=places: np.array(places)[own])
-            rows = intervals(whole, np.log([[known[i]["mu"], known[i]["alpha"], known[i]["beta"]] for i in places]), np.array([batch[i]["m"] for i in places]), np.array([variance[i] for i in places]))
+            rows = intervals(whole, np.log([[known[i]["mu"], known[i]["alpha"], known[i]["beta"]] for i in places]), np.array([batch[i]["m"] for i in places]), np.array([variance[i] for i in places]), rounds)
             out = out.unionByName(spark.createDataFrame([(batch[i]["key"], *(float(v) if c != "settled" else bool(v) for c, v in zip(columns[1:], row, strict=True))) for i, row in zip(places, rows[columns[1:]].itertuples(index=False), strict=True)], ERRORS))
     return out
 
@@ -138,7 +136,7 @@ def dither_sweep(binned: DataFrame, width: float, horizon: float, seeds: int = 5
     drawn = materialise(dithered(binned, width, seeds, key).withColumn("fit", F.to_json(F.struct("key", "seed"), {"ignoreNullFields": "false"})), "dither")
     every = materialise(estimate.hawkes_starts(drawn, horizon, starts, rounds=rounds, key="fit"), "starts")
     best = estimate.best_start(every)
-    errors = hawkes_intervals(drawn, horizon, best, key="fit")
+    errors = hawkes_intervals(drawn, horizon, best, key="fit", bounds=False)  # pooling asks for variances alone
     named = drawn.select("fit", "key", "seed").distinct()
     rows = best.select(F.col("key").alias("fit"), "branching").join(errors.select(F.col("key").alias("fit"), (F.col("se_n") * F.col("se_n")).alias("variance")), "fit").join(named, "fit")
     m = F.count("*")
