@@ -567,6 +567,7 @@ def _hot_objective(stretches: DataFrame, horizon: float, key_of):
                     t, c = np.frombuffer(t), np.asarray(c, float).reshape(2, -1)
                     sums[k] = sums.get(k, 0.0) + _hawkes_stretch(own[k], t, np.frombuffer(s), horizon, t[0], *c)
                 for k, part in sums.items():
+                    part = np.where(np.isnan(part), np.inf, part)  # NaN would be a null, which sums pass over
                     yield pd.DataFrame({"place": places[k], **dict(zip("vxyz", part, strict=True))})
 
         carried = stretches.mapInPandas(leave, "k int, no bigint, begin double, end double, left array<double>").groupBy("k").applyInPandas(carry, "no bigint, carry array<double>")

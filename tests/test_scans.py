@@ -106,3 +106,30 @@ def test_power_law_fit_beats_the_truth_and_comparison_prefers_it(spark):
 def test_power_law_fit_of_too_few_events(spark):
     few = spark.createDataFrame([("k", i, float(i), 1.0) for i in range(5)], "key string, event_id bigint, t double, s double")
     assert powerlaw.power_law_fit(few, 10.0).collect() == []
+
+
+def test_power_law_states_come_in_slices(spark):
+    """No more than ``SLICE`` chunks are laid out at once, with the states of all."""
+    g = np.random.default_rng(2)
+    n = powerlaw.SLICE * powerlaw.LENGTH + 500
+    t, s = np.sort(g.uniform(0, 31, n)), g.uniform(0, 1, n)
+    events = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(zip(t, s))], "key string, event_id bigint, t double, s double")
+    rates = powerlaw.rates_for(0.05, 31.0)
+    frames = list(powerlaw._states(powerlaw.with_kernel(powerlaw.chunks(events, rates), 0.5, 0.2, 0.05, 0.6).toPandas(), rates, 31.0))
+    assert len(frames) > 1 and max(map(len, frames)) <= powerlaw.SLICE * powerlaw.LENGTH and sum(map(len, frames)) == n
+    some = np.concatenate([f["excess"].to_numpy()[np.argsort(f["event_id"])][-3:] for f in frames])
+    at = np.concatenate([np.sort(f["event_id"])[-3:] for f in frames])
+    assert np.allclose(some, [(s[:i] * (t[i] - t[:i] + 0.05) ** -1.6).sum() for i in at], rtol=1e-6)
+
+
+def test_power_law_keys_in_blocks_have_the_same_fit(spark, process):
+    """Keys beyond ``most`` events are fitted over blocks of chunks; null keys and tied times included."""
+    t, s = powerlaw.simulate_power_law(5.0, 0.1, 0.05, 0.6, 30.0, 3)
+    own = spark.createDataFrame([("k", i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, s))], "key string, event_id bigint, t double, s double")
+    events = own.unionByName(process[3].where("key is null or key = 'a'"))
+    whole, cut = ({r["key"]: r for r in powerlaw.power_law_fit(events, 31.0, starts=2, most=most).collect()} for most in (10_000, 50))
+    assert set(cut) == set(whole) == {"a", "k", None}
+    for k, r in whole.items():
+        assert cut[k]["n"] == r["n"] and cut[k]["n_starts"] == 2 and cut[k]["loglik"] == pytest.approx(r["loglik"], abs=2e-3), k
+    assert cut["k"]["branching"] == pytest.approx(whole["k"]["branching"], rel=2e-2) and cut["k"]["converged"]
+    assert cut["k"]["se_mu"] == pytest.approx(whole["k"]["se_mu"], rel=5e-2)
