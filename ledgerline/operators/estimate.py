@@ -213,7 +213,8 @@ def fit_starts(series: DataFrame, shape: Shape = Shape(), starts: int = 20, seed
         raise ValueError("a lagged covariate goes with slopes, and only with them")
     columns = [r, *([covariate] if covariate else [])]
     groups = -(-starts // STARTS_A_TASK)
-    jobs = _packed(series, key, order, columns).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "series", "group")
+    jobs = _packed(series, key, order, columns).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    jobs = jobs.repartition(max(groups, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "series", "group")  # many series, many tasks
 
     def run(frames):
         for frame in frames:

@@ -53,7 +53,7 @@ def bic_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     """Daily returns by block and part: two years of train, half a year of test."""
-    r = _returns(spark, d)
+    r = src.materialise(_returns(spark, d), "returns")  # a row a day; the orders are read once
     first, last = r.agg(F.min("fecha"), F.max("fecha")).first()
     blocks = walkforward.windows(first, last, train_years=2, least=0) if first else []
     return walkforward.assign(r, walkforward.windows_frame(spark, blocks)).withColumn("block", F.col("block_id").cast("string"))
@@ -202,7 +202,7 @@ def ablation_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Rungs fitted per block and compared on its test rows: one regime, two, two with t shocks, two driven by yesterday's return; neighbours by Diebold-Mariano."""
     from functools import reduce
 
-    rows = _assigned(spark, d)
+    rows = src.materialise(_assigned(spark, d), "ladder")  # the days, read by every rung
     rows = rows.withColumn("x", F.coalesce(F.lag("r").over(Window.partitionBy("block").orderBy("fecha")), F.lit(0.0)) / 50)
     specs = [("M0", estimate.Shape(1)), ("M1", TWO), ("M2", estimate.Shape(2, student=True)), ("M3", estimate.Shape(2, slopes=True))]
     losses = []

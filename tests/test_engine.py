@@ -340,3 +340,10 @@ def test_walk_forward_scores_test_rows(spark, tmp_path):
         inside, train = r[(dates >= start) & (dates < end)], r[(dates >= start) & (dates < test)]
         whole, first = (-estimate.negative_loglik(np.array(x["theta"]), y, estimate.Shape(2))[0] for y in (inside, train))
         assert x["n"] == len(train) and x["n_test"] == len(inside) - len(train) and x["test_loglik"] == pytest.approx(whole - first, abs=1e-6)
+
+
+def test_fits_of_many_series_are_many_tasks(spark):
+    """A few starts of many series do not share a task or two."""
+    r, _ = estimate.simulate(FIXED, 200, 3)
+    df = spark.createDataFrame([(f"s{k}", i, float(v)) for k in range(16) for i, v in enumerate(r)], "asset string, fecha int, r double")
+    assert estimate.fit_starts(df, estimate.Shape(1), starts=1, rounds=1).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
